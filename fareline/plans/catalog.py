@@ -17,7 +17,7 @@ from fareline.sources.tables import load_tables, write_tables
 from fareline.streaming import live
 
 AS_OF = "2024-06-01"
-SEARCH_ORIGIN, SEARCH_DESTINATION = " an", "I"
+SEARCH_ORIGIN, SEARCH_DESTINATION = " nation_1", "N_2"
 STATUS, JOURNEY_DATE = "confirmed", "2024-01-03"
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -180,7 +180,7 @@ booking_list AS (
   FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN routes r ON r.route_id = b.route_id
     JOIN buses bus ON bus.bus_id = b.bus_id LEFT JOIN payments p ON p.booking_id = b.booking_id),
 searched AS (
-  SELECT * FROM routes WHERE is_active = 1 AND origin_city ILIKE '%an%' AND destination_city ILIKE '%I%'),
+  SELECT * FROM routes WHERE is_active = 1 AND origin_city ILIKE '%nation_1%' AND destination_city ILIKE '%N_2%'),
 with_buses AS (
   SELECT r.*, (SELECT count(*) FROM bus_route br WHERE br.route_id = r.route_id) AS available_buses
   FROM routes r WHERE is_active = 1)
