@@ -25,16 +25,17 @@ ROUTE_DETAIL = [
 ]
 
 
-def with_payments(listed: DataFrame, payments: DataFrame) -> DataFrame:
+def with_payments(bookings: DataFrame, payments: DataFrame) -> DataFrame:
     """Left join on ``booking_id`` that repeats a booking for each of its payments.
 
-    Written as paid rows plus unpaid rows: an inner join can be cut on either side
-    when one booking holds very many payments, which a left join cannot. Both
-    branches read the same shuffle of ``listed``.
+    Written as paid rows plus unpaid rows: when one booking holds very many
+    payments an inner join can be cut on that side, which a left join cannot.
+    Both branches read the same shuffle of the bookings, which is why the test for
+    a key (never missing) stands in front of both.
     """
-    paid = listed.join(payments, "booking_id")
-    has_payment = payments.select("booking_id").distinct()
-    unpaid = listed.join(has_payment, "booking_id", "left_anti")
+    keyed = bookings.filter(F.col("booking_id").isNotNull())
+    paid = keyed.join(payments, "booking_id")
+    unpaid = keyed.join(payments.select("booking_id").distinct(), "booking_id", "left_anti")
     return paid.unionByName(unpaid, allowMissingColumns=True)
 
 
@@ -49,27 +50,27 @@ def booking_list(
     ordered: bool = True,
 ) -> DataFrame:
     """All bookings with passenger, route, bus and payment."""
-    listed = (
-        filter_bookings(t.bookings, status, journey_date)
+    payments = t.payments.select(
+        "booking_id", "payment_status", "payment_method", F.col("amount").alias("payment_amount")
+    )
+    out = (
+        with_payments(filter_bookings(t.bookings, status, journey_date), payments)
         .join(t.buses.select("bus_id", "bus_number"), "bus_id")
         .join(t.routes.select(*ROUTE_NAMES), "route_id")
         .join(t.users.select("user_id", "username", "email"), "user_id")
     )
-    payments = t.payments.select(
-        "booking_id", "payment_status", "payment_method", F.col("amount").alias("payment_amount")
-    )
-    out = with_payments(listed, payments)
     return newest_first(out, "booking_id") if ordered else out
 
 
 def user_bookings(t, user_id: int | None = None, ordered: bool = True) -> DataFrame:
     """One user's bookings, or everybody's, with route, bus and payment."""
     mine = t.bookings if user_id is None else owned_by(t.bookings, user_id)
-    listed = mine.join(t.buses.select("bus_id", "bus_number", "bus_model"), "bus_id").join(
-        t.routes.select(*ROUTE_NAMES, "departure_time"), "route_id"
-    )
     payments = t.payments.select("booking_id", "payment_status", "payment_method", "transaction_id")
-    out = with_payments(listed, payments)
+    out = (
+        with_payments(mine, payments)
+        .join(t.buses.select("bus_id", "bus_number", "bus_model"), "bus_id")
+        .join(t.routes.select(*ROUTE_NAMES, "departure_time"), "route_id")
+    )
     return newest_first(out, "booking_id") if ordered else out
 
 

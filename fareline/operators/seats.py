@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareline.functions.display import joined
@@ -11,10 +11,10 @@ from fareline.functions.fixed_values import STATUS_CANCELLED
 TRIP = ["bus_id", "route_id", "journey_date"]
 
 # Seat ids are taken in blocks of this many, so no set of held seats outgrows it.
-SEAT_BLOCK = 1024
+SEAT_BLOCK = 128
 
 
-def _block(seat_id: str):
+def _block(seat_id: str) -> Column:
     return F.floor(F.col(seat_id) / SEAT_BLOCK).alias("block")
 
 
@@ -31,20 +31,21 @@ def live_holds(t) -> DataFrame:
 def seat_map(t, trips: DataFrame, ordered: bool = False) -> DataFrame:
     """Every seat of every trip's bus, flagged when a live booking holds it.
 
-    The held seats are folded into one small set per trip and seat block before
-    the seats are attached, so the shuffles carry one row per trip and block and
-    never the trip x seat result. ``trips`` holds distinct
+    The held seats of a route and day are folded into one bounded set per block of
+    seat ids before the seats are attached, so the shuffles carry one row per trip
+    and block and never the trip x seat result. A seat belongs to one bus, so the
+    sets need not tell buses apart. ``trips`` holds distinct
     ``(bus_id, route_id, journey_date)``.
     """
     seats = t.seats.select("seat_id", "bus_id", "seat_number", _block("seat_id"))
+    day = ["route_id", "journey_date"]
     held = (
         live_holds(t)
-        .join(t.seats.select("seat_id", "bus_id"), "seat_id")
-        .groupBy(*TRIP, _block("seat_id"))
+        .groupBy(*day, _block("seat_id"))
         .agg(F.collect_set("seat_id").alias("held"))
     )
     blocks = seats.select("bus_id", "block").distinct()
-    marked = trips.select(*TRIP).join(blocks, "bus_id").join(held, [*TRIP, "block"], "left")
+    marked = trips.select(*TRIP).join(blocks, "bus_id").join(held, [*day, "block"], "left")
     out = marked.join(seats, ["bus_id", "block"]).select(
         *TRIP,
         "seat_id",

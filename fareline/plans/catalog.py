@@ -12,7 +12,7 @@ from fareline.functions import text as X
 from fareline.operators import audits, changes, counters, filters, listings, seats, signups
 from fareline.session import work_folder
 from fareline.sources.derived import DerivedTables
-from fareline.sources.schemas import TABLES
+from fareline.sources.schemas import RAW, TABLES
 from fareline.sources.tables import load_tables, write_tables
 from fareline.streaming import live
 
@@ -476,7 +476,7 @@ def _(t):
 
 
 def change_stream(t: DerivedTables) -> DataFrame:
-    events = live.file_stream(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    events = live.file_stream(t.spark, t.sf_dir, RAW["events"], "events.parquet")
     return t.payers(t.changes_from(events, t.n_users))
 
 

@@ -3,6 +3,10 @@
 Definitions follow FIXTURES.md. Each frame is built only when it is asked for.
 Row counts that set key ranges come in as scalar subqueries, so nothing is
 cross joined and every derived table stays one pass over its source.
+
+Bookings and their seats come out of joins over the largest sources. They are
+written once per application to the shared work folder and read back from there,
+as a cluster would read its stored tables.
 """
 
 from __future__ import annotations
@@ -11,6 +15,14 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from fareline.session import work_folder
+from fareline.sources.schemas import PARTITIONING, RAW, TABLES
+from fareline.sources.tables import write_table
+
+# (application, source folder, table) -> folder the table was written to
+_WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
 
@@ -38,7 +50,7 @@ class DerivedTables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def n_routes(self) -> Column:
@@ -52,6 +64,14 @@ class DerivedTables:
     def n_users(self) -> Column:
         return _row_count(self.raw("customer"))
 
+    def _written(self, name: str, build, schema: StructType) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            folder = work_folder(self.spark, name)
+            write_table(build(), folder, PARTITIONING.get(name, []))
+            _WRITTEN[key] = folder
+        return self.spark.read.schema(schema).parquet(_WRITTEN[key])
+
     # ---- stored tables -------------------------------------------------
 
     @cached_property
@@ -161,6 +181,9 @@ class DerivedTables:
 
     @cached_property
     def booking_seat(self) -> DataFrame:
+        return self._written("booking_seat", self._derive_seats, TABLES["booking_seat"])
+
+    def _derive_seats(self) -> DataFrame:
         lines = self.raw("lineitem").select(F.col("l_orderkey").alias("booking_id"), "l_linenumber")
         placed = lines.join(self.trip.select("booking_id", "bus_id"), "booking_id").join(
             self.buses.select("bus_id", "capacity"), "bus_id"
@@ -172,6 +195,10 @@ class DerivedTables:
 
     @cached_property
     def _priced(self) -> DataFrame:
+        schema = StructType([*TABLES["bookings"].fields, StructField("o_orderpriority", StringType())])
+        return self._written("bookings", self._derive_bookings, schema)
+
+    def _derive_bookings(self) -> DataFrame:
         counts = self.booking_seat.groupBy("booking_id").agg(
             F.count(F.lit(1)).cast("int").alias("seat_count")
         )
@@ -203,7 +230,7 @@ class DerivedTables:
 
     @cached_property
     def bookings(self) -> DataFrame:
-        return self._priced.drop("o_orderpriority")
+        return self._priced.select(*TABLES["bookings"].names)
 
     @cached_property
     def payments(self) -> DataFrame:

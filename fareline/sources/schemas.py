@@ -1,19 +1,22 @@
-"""Declared schemas of the eight stored tables (never inferred)."""
+"""Declared schemas (never inferred) of the stored tables and of the raw star-schema files."""
 
 from __future__ import annotations
 
 from pyspark.sql.types import (
     DateType,
     DecimalType,
+    DoubleType,
     IntegerType,
     LongType,
     StringType,
     StructField,
     StructType,
+    TimestampNTZType,
 )
 
 FARE, AMOUNT = DecimalType(10, 2), DecimalType(12, 2)
 LONG, INT, TEXT, DATE = LongType(), IntegerType(), StringType(), DateType()
+REAL, MOMENT = DoubleType(), TimestampNTZType()
 
 
 def _schema(**columns) -> StructType:
@@ -85,3 +88,38 @@ TABLES: dict[str, StructType] = {
 
 # How each table is laid out on disk; tables not named here are not partitioned.
 PARTITIONING: dict[str, list[str]] = {"bookings": ["journey_date"]}
+
+RAW: dict[str, StructType] = {
+    "nation": _schema(n_nationkey=INT, n_name=TEXT, n_regionkey=INT),
+    "customer": _schema(
+        c_custkey=LONG, c_name=TEXT, c_nationkey=INT, c_acctbal=REAL, c_mktsegment=TEXT
+    ),
+    "supplier": _schema(s_suppkey=LONG, s_name=TEXT, s_nationkey=INT, s_acctbal=REAL),
+    "part": _schema(
+        p_partkey=LONG, p_name=TEXT, p_brand=TEXT, p_type=TEXT, p_size=INT, p_retailprice=REAL
+    ),
+    "orders": _schema(
+        o_orderkey=LONG,
+        o_custkey=LONG,
+        o_orderstatus=TEXT,
+        o_totalprice=REAL,
+        o_orderdate=MOMENT,
+        o_orderpriority=TEXT,
+    ),
+    "lineitem": _schema(
+        l_orderkey=LONG,
+        l_partkey=LONG,
+        l_suppkey=LONG,
+        l_linenumber=INT,
+        l_quantity=REAL,
+        l_extendedprice=REAL,
+        l_discount=REAL,
+        l_tax=REAL,
+        l_returnflag=TEXT,
+        l_linestatus=TEXT,
+        l_shipdate=MOMENT,
+    ),
+    "events": _schema(
+        event_id=LONG, ts=MOMENT, user_id=LONG, event_type=TEXT, value=REAL, props=TEXT
+    ),
+}
