@@ -1,0 +1,121 @@
+import datetime as dt
+
+import pytest
+
+from fareline.operators import counters, filters
+from tests.tiny import dicts, frame, tables
+
+
+def ids(df, key="route_id"):
+    return sorted(r[key] for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def routes(spark):
+    cities = ["Dhaka", "dhAkar", "Cox&amp;s Bazar", "A_B", "100%", "back\\slash"]
+    rows = [{"route_id": i, "origin_city": c, "destination_city": "X"} for i, c in enumerate(cities)]
+    rows.append({"route_id": 99, "origin_city": "Dhaka", "is_active": 0})
+    return frame(spark, "routes", rows).cache()
+
+
+@pytest.mark.parametrize(
+    "origin, want",
+    [
+        (None, [0, 1, 2, 3, 4, 5]),
+        ("", [0, 1, 2, 3, 4, 5]),
+        ("0", [0, 1, 2, 3, 4, 5]),
+        ("  ", [0, 1, 2, 3, 4, 5]),
+        ("<b></b>", [0, 1, 2, 3, 4, 5]),
+        ("DHAKA", [0, 1]),
+        ("akar ", [1]),
+        ("x&s", [2]),
+        ("d_a", [0, 1]),
+        ("a\\_", [3]),
+        ("0\\%", [4]),
+        ("back\\\\", [5]),
+        ("\\back", [5]),
+        ("c%b", [2]),
+        ("nowhere", []),
+    ],
+)
+def test_search_by_origin(routes, origin, want):
+    assert ids(filters.matching_routes(routes, origin)) == want
+
+
+def test_search_needs_both_cities(routes):
+    assert ids(filters.matching_routes(routes, "dhaka", "x")) == [0, 1]
+    assert ids(filters.matching_routes(routes, "dhaka", "y")) == []
+
+
+def test_search_orders_by_departure_and_counts_inactive_buses(spark):
+    t = tables(
+        spark,
+        routes=[
+            {"route_id": 1, "departure_time": "21:00:00"},
+            {"route_id": 2, "departure_time": "07:00:00"},
+            {"route_id": 3, "departure_time": "07:00:00"},
+        ],
+        buses=[{"bus_id": 1, "is_active": 0}, {"bus_id": 2}],
+        bus_route=[{"bus_id": 1, "route_id": 1}, {"bus_id": 2, "route_id": 1}],
+    )
+    found = counters.search_routes(t.routes, t.bus_route).collect()
+    assert [(r["route_id"], r["available_buses"]) for r in found] == [(2, 0), (3, 0), (1, 2)]
+    assert counters.search_count(t.routes).first()["routes_found"] == 3
+
+
+def test_booking_filters(spark):
+    b = frame(
+        spark,
+        "bookings",
+        [
+            {"booking_id": 1, "status": "confirmed"},
+            {"booking_id": 2, "status": "pending"},
+            {"booking_id": 3, "status": "confirmed", "journey_date": dt.date(2024, 1, 2)},
+        ],
+    )
+    key = "booking_id"
+    assert ids(filters.filter_bookings(b), key) == [1, 2, 3]
+    assert ids(filters.filter_bookings(b, "", ""), key) == [1, 2, 3]
+    assert ids(filters.filter_bookings(b, "confirmed"), key) == [1, 3]
+    assert ids(filters.filter_bookings(b, None, "2024-01-02"), key) == [3]
+    assert ids(filters.filter_bookings(b, "pending", dt.date(2024, 1, 2)), key) == []
+
+
+def test_lookup_and_ownership(spark):
+    b = frame(spark, "bookings", [{"booking_id": 1}, {"booking_id": 2, "user_id": 5}])
+    key = "booking_id"
+    assert ids(filters.lookup(b, key, [2, 7]), key) == [2]
+    asked = spark.createDataFrame([(1, 5), (2, 5), (2, 5)], "booking_id long, user_id long")
+    assert ids(filters.lookup(b, key, asked), key) == [1, 2]
+    assert ids(filters.owned_by(b, 5), key) == [2]
+    assert ids(filters.owned_by(b, asked), key) == [2]
+
+
+def test_active_and_passengers(spark):
+    t = tables(
+        spark,
+        routes=[{"route_id": 1}, {"route_id": 2, "is_active": 0}],
+        buses=[{"bus_id": 1, "is_active": 0}, {"bus_id": 2}],
+        users=[{"user_id": 1}, {"user_id": 2, "is_admin": 1}],
+    )
+    assert ids(filters.active_routes(t.routes)) == [1]
+    assert ids(filters.active_routes(t.routes, [2])) == []
+    assert ids(filters.active_buses(t.buses), "bus_id") == [2]
+    assert ids(filters.passengers(t.users), "user_id") == [1]
+
+
+def test_assigned_buses(spark):
+    links = frame(spark, "bus_route", [{"bus_id": b, "route_id": 1} for b in (3, 1, 3)])
+    assert dicts(filters.assigned_buses(links)) == [{"route_id": 1, "bus_ids": [1, 3]}]
+
+
+def test_popular_routes_and_cities(spark):
+    routes = frame(
+        spark,
+        "routes",
+        [{"route_id": i, "is_active": i % 2, "origin_city": f"C{i}"} for i in range(14, 0, -1)],
+    )
+    assert [r["route_id"] for r in counters.popular_routes(routes).collect()] == [1, 3, 5, 7, 9]
+    names = [r["city"] for r in counters.cities(routes).collect()]
+    assert names == sorted({f"C{i}" for i in range(1, 15)} | {"There"})
+    assert counters.cities(frame(spark, "routes", [])).count() == 0

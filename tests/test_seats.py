@@ -1,0 +1,153 @@
+import datetime as dt
+import json
+import random
+
+from fareline.operators import audits, seats
+from tests.tiny import DAY, dicts, small_world, tables
+
+TRIP = {"bus_id": 1, "route_id": 1, "journey_date": DAY}
+
+
+def trips(spark, rows):
+    return spark.createDataFrame(rows, "bus_id long, route_id long, journey_date date")
+
+
+def booked(t, trips_df):
+    return {
+        (r["bus_id"], r["route_id"], r["journey_date"], r["seat_id"])
+        for r in seats.seat_map(t, trips_df).collect()
+        if r["is_booked"]
+    }
+
+
+def test_only_live_bookings_of_the_same_route_and_day_hold_a_seat(spark):
+    other_day = dt.date(2024, 1, 2)
+    for booking, holds in [
+        ({}, True),
+        ({"status": "confirmed"}, True),
+        ({"status": "anything"}, True),
+        ({"status": "cancelled"}, False),
+        ({"status": None}, False),
+        ({"route_id": 2}, False),
+        ({"journey_date": other_day}, False),
+        ({"bus_id": 9}, True),
+    ]:
+        t = small_world(
+            spark,
+            bookings=[{"booking_id": 1, **booking}],
+            booking_seat=[{"booking_id": 1, "seat_id": 2}],
+        )
+        got = booked(t, trips(spark, [(1, 1, DAY)]))
+        assert got == ({(1, 1, DAY, 2)} if holds else set()), booking
+
+
+def test_trip_without_bookings_shows_every_seat_free(spark):
+    t = small_world(spark)
+    got = dicts(seats.seat_map(t, trips(spark, [(1, 1, DAY)]), ordered=True))
+    assert [(r["seat_number"], r["is_booked"]) for r in got] == [("A1", False), ("A2", False)]
+
+
+def test_seats_come_in_text_order(spark):
+    numbered = [{"seat_id": 100 - i, "bus_id": 1, "seat_number": f"A{i}"} for i in range(1, 13)]
+    t = small_world(spark, seats=numbered)
+    numbers = [r["seat_number"] for r in seats.seat_map(t, trips(spark, [(1, 1, DAY)]), True).collect()]
+    assert numbers == sorted(numbers) and numbers.index("A10") < numbers.index("A2")
+
+
+def test_json_document(spark):
+    t = small_world(
+        spark, bookings=[{"booking_id": 1}], booking_seat=[{"booking_id": 1, "seat_id": 2}]
+    )
+    doc = seats.seat_map_json(seats.seat_map(t, trips(spark, [(1, 1, DAY)]))).first()["seats_json"]
+    assert doc == (
+        '[{"seat_id":1,"seat_number":"A1","is_booked":false},'
+        '{"seat_id":2,"seat_number":"A2","is_booked":true}]'
+    )
+    assert len(json.loads(doc)) == 2
+
+
+def random_world(spark, seed, hot=False):
+    """Buses with scattered seat ids; with ``hot`` one bus, route and day takes a third of all bookings."""
+    rnd = random.Random(seed)
+    seat_rows, free_ids = [], iter(rnd.sample(range(1, 5000), 400))
+    for bus in range(12):
+        for i in range(rnd.randint(0, 30)):
+            seat_rows.append({"seat_id": next(free_ids), "bus_id": bus, "seat_number": f"A{i + 1}"})
+    bookings, links = [], []
+    for b in range(300):
+        bus, route, day = rnd.randrange(12), rnd.randrange(4), rnd.randrange(3)
+        if hot and b % 3 == 0:
+            bus, route, day = 5, 1, 1
+        status = rnd.choice(["pending", "confirmed", "cancelled", None])
+        bookings.append(
+            {
+                "booking_id": b,
+                "bus_id": bus,
+                "route_id": route,
+                "journey_date": DAY + dt.timedelta(days=day),
+                "status": status,
+            }
+        )
+        mine = [s["seat_id"] for s in seat_rows if s["bus_id"] == bus] or [0]
+        links += [{"booking_id": b, "seat_id": rnd.choice(mine)} for _ in range(rnd.randint(1, 4))]
+    return seat_rows, bookings, links
+
+
+def test_against_brute_force_with_a_hot_trip(spark):
+    for hot in (False, True):
+        seat_rows, bookings, links = random_world(spark, 7, hot)
+        t = tables(spark, seats=seat_rows, bookings=bookings, booking_seat=links)
+        by_id = {b["booking_id"]: b for b in bookings}
+        held = {}
+        for link in links:
+            b = by_id[link["booking_id"]]
+            if b["status"] not in (None, "cancelled"):
+                key = (link["seat_id"], b["route_id"], b["journey_date"])
+                held.setdefault(key, set()).add(b["booking_id"])
+        all_trips = {(b["bus_id"], b["route_id"], b["journey_date"]) for b in bookings}
+        want = sorted(
+            (bus, route, day, s["seat_id"], s["seat_number"], (s["seat_id"], route, day) in held)
+            for bus, route, day in all_trips
+            for s in seat_rows
+            if s["bus_id"] == bus
+        )
+        result = seats.seat_map(t, seats.booked_trips(t.bookings))
+        assert sorted(tuple(r) for r in result.collect()) == want
+
+        totals = {}
+        for bus, route, day, _, _, taken in want:
+            n, k = totals.get((bus, route, day), (0, 0))
+            totals[(bus, route, day)] = (n + 1, k + taken)
+        got = {
+            (r["bus_id"], r["route_id"], r["journey_date"]): (
+                r["total_seats"],
+                r["booked_seats"],
+                r["free_seats"],
+            )
+            for r in seats.trip_occupancy(result).collect()
+        }
+        assert got == {key: (n, k, n - k) for key, (n, k) in totals.items()}
+
+        sold = {
+            (r["seat_id"], r["route_id"], r["journey_date"]): r["holders"]
+            for r in audits.double_sold_seats(t).collect()
+        }
+        assert sold == {key: len(who) for key, who in held.items() if len(who) > 1}
+        with_seat = {s["seat_id"] for s in seat_rows}
+        flagged = {(seat, route, day) for _, route, day, seat, _, taken in want if taken}
+        assert {key for key in sold if key[0] in with_seat} <= flagged
+
+
+def test_seat_numbers_sorted_by_id_and_links_without_seat_dropped(spark):
+    t = small_world(
+        spark,
+        seats=[
+            {"seat_id": 9, "bus_id": 1, "seat_number": "A1"},
+            {"seat_id": 4, "bus_id": 1, "seat_number": "A10"},
+        ],
+        booking_seat=[{"booking_id": 1, "seat_id": s} for s in (9, 4, 77)]
+        + [{"booking_id": 2, "seat_id": 77}],
+    )
+    assert dicts(seats.booking_seat_numbers(t.booking_seat, t.seats)) == [
+        {"booking_id": 1, "seat_numbers": "A10, A1"}
+    ]

@@ -1,0 +1,98 @@
+import datetime as dt
+import random
+
+import pytest
+
+from fareline.functions import fixed_values as V
+from fareline.operators import signups
+from tests.tiny import dicts, frame
+
+SCHEMA = "reg_id long, ts timestamp_ntz, username string, first_name string, last_name string, email string"
+
+
+def regs(spark, rows):
+    start = dt.datetime(2024, 1, 1)
+    return spark.createDataFrame(
+        [(i, start + dt.timedelta(minutes=m), u, f, l, e) for i, m, u, f, l, e in rows], SCHEMA
+    )
+
+
+def one_by_one(known, rows):
+    """The rule as a plain loop over the batch in order of arrival."""
+    names = {u.lower() for u, _ in known}
+    mails = {e.lower() for _, e in known}
+    admitted, refused = set(), {}
+    for i, _, u, f, l, e in sorted(rows, key=lambda r: (r[1], r[0])):
+        why = []
+        if any(v in (None, "", "0") for v in (u, f, l, e)):
+            why.append(V.REASON_REQUIRED)
+        if (u or "").lower() in names:
+            why.append(V.REASON_USERNAME)
+        if (e or "").lower() in mails:
+            why.append(V.REASON_EMAIL)
+        if why:
+            refused[i] = why
+        else:
+            admitted.add(i)
+            names.add(u.lower())
+            mails.add(e.lower())
+    return admitted, refused
+
+
+def check(spark, known, rows):
+    users = frame(
+        spark,
+        "users",
+        [{"user_id": i, "username": u, "email": e} for i, (u, e) in enumerate(known)],
+    )
+    out = signups.admit_users(users, regs(spark, rows))
+    admitted, refused = one_by_one(known, rows)
+    assert {r["reg_id"]: r["reasons"] for r in dicts(out.rejects)} == refused
+    fresh = {r["user_id"] - len(known) for r in dicts(out.users) if r["user_id"] >= len(known)}
+    assert fresh == admitted
+    assert out.users.count() == len(known) + len(admitted)
+    return out
+
+
+def test_reasons_and_cleaning(spark):
+    known = [("Ann", "ann@x"), ("bob", "bob@x")]
+    rows = [
+        (0, 0, "ANN", "0", "L", "Bob@X"),
+        (1, 1, "new", "F", "L", "new@x"),
+        (2, 2, "NEW", "F", "L", "other@x"),
+        (3, 3, "other", "F", "L", "NEW@x"),
+        (4, 4, "fresh", "F", "", "f@x"),
+        (5, 5, "fresh", "F", "L", "f@x"),
+        (6, 5, "fresh", "F", "L", "f@x"),
+        (7, 6, None, "F", "L", "n@x"),
+    ]
+    check(spark, known, rows)
+    marked = signups.admit_users(
+        frame(spark, "users", []), regs(spark, [(0, 0, " <b>Eve</b> ", "E & V", "L", "e@x")])
+    )
+    got = dicts(marked.users)
+    assert [(r["user_id"], r["username"], r["first_name"]) for r in got] == [(0, "Eve", "E &amp; V")]
+    assert (got[0]["is_admin"], got[0]["is_active"], got[0]["created_at"]) == (0, 1, dt.date(2024, 1, 1))
+
+
+def test_a_refused_row_blocks_nobody(spark):
+    # Row 1 loses its name to row 0, so its address stays free for row 2, and so on.
+    rows = [(i, i, f"u{(i + 1) // 2}", "F", "L", f"e{i // 2}") for i in range(9)]
+    check(spark, [], rows)
+
+
+def test_long_chain_needs_many_rounds(spark):
+    # Forty links, in order along the chain: more rounds than fit in one fold.
+    rows = [(i, i, f"u{(i + 1) // 2}", "F", "L", f"e{i // 2}") for i in range(40)]
+    check(spark, [], rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_batches_with_a_hot_name(spark, seed):
+    rnd = random.Random(seed)
+    known = [(f"U{i}", f"e{i}") for i in range(5)]
+    rows = []
+    for i in range(240):
+        name = "hot" if i % 3 == 0 else f"u{rnd.randrange(60)}"
+        rows.append((i, rnd.randrange(100), name, rnd.choice(["F", "F", "F", "0"]), "L", f"E{rnd.randrange(60)}"))
+    check(spark, known, rows)
