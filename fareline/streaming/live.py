@@ -17,12 +17,18 @@ from fareline.operators.changes import change_order, effective_status, payable
 from fareline.session import work_folder
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, files: str) -> DataFrame:
+def file_stream(
+    spark: SparkSession,
+    folder: str,
+    schema: StructType,
+    files: str = "*.parquet",
+    files_per_batch: int = 1000,
+) -> DataFrame:
     """Parquet files of a folder as a stream, under a declared schema."""
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", files)
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxFilesPerTrigger", files_per_batch)
         .parquet(folder)
     )
 
