@@ -322,7 +322,7 @@ def apply_changes(t, log: DataFrame) -> PostedPayments:
 
 
 def effective_status(log: DataFrame, bookings: DataFrame) -> DataFrame:
-    """The status each entry of a log (batch or stream) asks for.
+    """The status each entry of a log asks for.
 
     Entries for unknown bookings and payments by somebody else are left out; a
     payment asks for ``confirmed``.

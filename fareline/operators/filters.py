@@ -76,3 +76,10 @@ def owned_by(bookings: DataFrame, viewer: int | DataFrame) -> DataFrame:
 def assigned_buses(bus_route: DataFrame) -> DataFrame:
     """The buses of each route as one sorted list, for ``array_contains`` tests."""
     return bus_route.groupBy("route_id").agg(F.sort_array(F.collect_set("bus_id")).alias("bus_ids"))
+
+
+def with_assignment(pairs: DataFrame, bus_route: DataFrame) -> DataFrame:
+    """Flag ``(bus_id, route_id)`` pairs by whether the bus serves the route."""
+    links = bus_route.select("bus_id", "route_id").distinct()
+    flagged = pairs.join(links.withColumn("hit", F.lit(True)), ["bus_id", "route_id"], "left")
+    return flagged.withColumn("is_assigned", F.coalesce("hit", F.lit(False))).drop("hit")

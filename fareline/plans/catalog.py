@@ -153,6 +153,11 @@ def _(t):
     return lists.select("route_id", as_text.alias("bus_ids"))
 
 
+@_query("p7_assignment_flags")
+def _(t):
+    return filters.with_assignment(all_trips(t), t.bus_route)
+
+
 @_query("p8_owned_bookings")
 def _(t):
     return filters.owned_by(t.bookings, t.pay_requests)
@@ -482,8 +487,8 @@ def change_stream(t: DerivedTables) -> DataFrame:
 
 @_query("st1_status")
 def _(t):
-    view = live.current_status(change_stream(t), t.bookings)
-    return live.run_available(view, "st1", ["booking_id"])
+    claims = live.run_available(live.status_claims(change_stream(t)), "st1", live.CLAIM)
+    return live.settled_status(claims, t.bookings)
 
 
 @_query("st2_payment_totals")

@@ -252,6 +252,10 @@ _QUERIES: dict[str, str] = {
     "p7_assigned_buses": """
       SELECT route_id, string_agg(CAST(bus_id AS VARCHAR), ',' ORDER BY bus_id) AS bus_ids
       FROM bus_route GROUP BY route_id""",
+    "p7_assignment_flags": """
+      SELECT t.*, EXISTS (SELECT 1 FROM bus_route br WHERE br.bus_id = t.bus_id AND br.route_id = t.route_id)
+        AS is_assigned
+      FROM trips t""",
     "p8_owned_bookings": """
       SELECT * FROM bookings b WHERE EXISTS (SELECT 1 FROM pay_requests p
         WHERE p.booking_id = b.booking_id AND p.user_id = b.user_id)""",

@@ -4,9 +4,10 @@ Definitions follow FIXTURES.md. Each frame is built only when it is asked for.
 Row counts that set key ranges come in as scalar subqueries, so nothing is
 cross joined and every derived table stays one pass over its source.
 
-Bookings and their seats come out of joins over the largest sources. They are
-written once per application to the shared work folder and read back from there,
-as a cluster would read its stored tables.
+Bookings and their seats come out of joins over the largest sources, and the seats
+of the buses out of an explode. They are written once per application to the shared
+work folder and read back from there, as a cluster would read its stored tables;
+the planner then knows their true size before it decides to broadcast one.
 """
 
 from __future__ import annotations
@@ -109,6 +110,9 @@ class DerivedTables:
 
     @cached_property
     def seats(self) -> DataFrame:
+        return self._written("seats", self._derive_seats, TABLES["seats"])
+
+    def _derive_seats(self) -> DataFrame:
         # Capacity is 10 to 60 by construction, so the exploded array is short.
         last = F.when(F.col("bus_id") % 20 == 3, F.col("capacity") - 2).otherwise(F.col("capacity"))
         numbered = self.buses.select("bus_id", F.explode(F.sequence(F.lit(1), last)).alias("i"))
@@ -181,9 +185,9 @@ class DerivedTables:
 
     @cached_property
     def booking_seat(self) -> DataFrame:
-        return self._written("booking_seat", self._derive_seats, TABLES["booking_seat"])
+        return self._written("booking_seat", self._derive_links, TABLES["booking_seat"])
 
-    def _derive_seats(self) -> DataFrame:
+    def _derive_links(self) -> DataFrame:
         lines = self.raw("lineitem").select(F.col("l_orderkey").alias("booking_id"), "l_linenumber")
         placed = lines.join(self.trip.select("booking_id", "bus_id"), "booking_id").join(
             self.buses.select("bus_id", "capacity"), "bus_id"

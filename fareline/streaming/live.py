@@ -1,8 +1,8 @@
 """Live views kept by Structured Streaming: booking status and payment totals.
 
-Each view is one aggregation with one state row per key. Every micro-batch writes
-the rows it changed to its own folder, so a repeated batch overwrites itself, and
-readers take the newest row per key. Nothing passes through the driver.
+A view lives in one folder: its checkpoint, and one sub-folder of changed rows per
+micro-batch. A repeated batch overwrites itself, readers take the newest row per
+key, and nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from fareline.operators.changes import change_order, effective_status, payable
+from fareline.functions.fixed_values import STATUS_CONFIRMED
+from fareline.operators.changes import change_order, payable
 from fareline.session import work_folder
 
+CLAIM = ["booking_id", "kind", "payer"]
+
 
 def file_stream(
     spark: SparkSession,
@@ -33,17 +37,43 @@ def file_stream(
     )
 
 
-def current_status(log: DataFrame, bookings: DataFrame) -> DataFrame:
-    """The status of every booking named in a change log, batch or stream.
+# ---- booking status ---------------------------------------------------------
+
+
+def status_claims(log: DataFrame) -> DataFrame:
+    """The newest status each booking is asked to take, batch or stream.
 
-    A late entry never overrides a newer one, so no watermark is needed.
+    Payments are kept apart by paying user: whether that user owns the booking is
+    asked when the view is read, so a micro-batch never reads the bookings. A late
+    entry never overrides a newer one, so no watermark is needed.
     """
-    latest = effective_status(log, bookings).groupBy("booking_id")
-    return latest.agg(
-        F.max_by("new_status", change_order()).alias("status"), F.max("ts").alias("changed_at")
+    is_pay = F.col("kind") == "pay"
+    asked = log.select(
+        "booking_id",
+        F.when(is_pay, "pay").otherwise("set_status").alias("kind"),
+        F.when(is_pay, F.col("user_id")).alias("payer"),
+        F.when(is_pay, STATUS_CONFIRMED).otherwise(F.col("new_status")).alias("status"),
+        change_order().alias("at"),
+    )
+    return asked.groupBy(*CLAIM).agg(
+        F.max_by("status", "at").alias("status"), F.max("at").alias("at")
+    )
+
+
+def settled_status(claims: DataFrame, bookings: DataFrame) -> DataFrame:
+    """The current status of every known booking in the view; strangers' payments do not count."""
+    owners = bookings.select("booking_id", F.col("user_id").alias("owner_id"))
+    valid = claims.join(owners, "booking_id").filter(
+        (F.col("kind") != "pay") | (F.col("payer") == F.col("owner_id"))
+    )
+    return valid.groupBy("booking_id").agg(
+        F.max_by("status", "at").alias("status"), F.max("at.ts").alias("changed_at")
     )
 
 
+# ---- payment totals ---------------------------------------------------------
+
+
 def payment_totals(pays: DataFrame, bookings: DataFrame) -> DataFrame:
     """Accepted payments and their sum by method, batch or stream."""
     return payable(pays, bookings).groupBy("payment_method").agg(
@@ -52,19 +82,18 @@ def payment_totals(pays: DataFrame, bookings: DataFrame) -> DataFrame:
     )
 
 
-def run_available(view: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
-    """Run a streaming view over what has arrived and return its current rows."""
-    spark = view.sparkSession
-    root = work_folder(spark, purpose)
-    query = (
+# ---- views on disk ----------------------------------------------------------
+
+
+def start_view(view: DataFrame, folder: str, **trigger) -> StreamingQuery:
+    """Keep a streaming aggregation up to date below ``folder``."""
+    return (
         view.writeStream.outputMode("update")
-        .foreachBatch(_writer(f"{root}/changed"))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
+        .foreachBatch(_writer(f"{folder}/changed"))
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**trigger)
         .start()
     )
-    query.awaitTermination()
-    return newest_rows(spark, f"{root}/changed", view.schema, keys)
 
 
 def _writer(path: str) -> Callable[[DataFrame, int], None]:
@@ -74,11 +103,20 @@ def _writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def newest_rows(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """Fold the change folders of a view: the row of the latest batch per key."""
-    changed = spark.read.schema(
-        StructType([*schema.fields, StructField("batch_id", LongType())])
-    ).parquet(path)
-    values = [name for name in changed.columns if name not in (*keys, "batch_id")]
+def read_view(spark: SparkSession, folder: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """The present rows of a view: per key, the row of the latest micro-batch."""
+    with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
+    changed = spark.read.schema(with_batch).parquet(f"{folder}/changed")
+    values = [name for name in schema.names if name not in keys]
     newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
     return newest.select(*keys, "v.*")
+
+
+def run_available(view: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    """Run a streaming view once over what has arrived and return its rows."""
+    spark = view.sparkSession
+    folder = work_folder(spark, purpose)
+    # An empty batch to start from, so that a stream without data reads as no rows.
+    spark.createDataFrame([], view.schema).write.parquet(f"{folder}/changed/batch_id=-1")
+    start_view(view, folder, availableNow=True).awaitTermination()
+    return read_view(spark, folder, view.schema, keys)

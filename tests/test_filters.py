@@ -107,6 +107,9 @@ def test_active_and_passengers(spark):
 def test_assigned_buses(spark):
     links = frame(spark, "bus_route", [{"bus_id": b, "route_id": 1} for b in (3, 1, 3)])
     assert dicts(filters.assigned_buses(links)) == [{"route_id": 1, "bus_ids": [1, 3]}]
+    pairs = spark.createDataFrame([(3, 1), (2, 1), (3, 2)], "bus_id long, route_id long")
+    got = {(r["bus_id"], r["route_id"]): r["is_assigned"] for r in dicts(filters.with_assignment(pairs, links))}
+    assert got == {(3, 1): True, (2, 1): False, (3, 2): False}
 
 
 def test_popular_routes_and_cities(spark):

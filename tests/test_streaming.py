@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import random
+import shutil
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -70,8 +71,9 @@ def both(spark, arrived):
 
 def test_status_stream_equals_batch(spark, arrived, world):
     stream, batch = both(spark, arrived)
-    got = live.run_available(live.current_status(stream, world.bookings), "status", ["booking_id"])
-    want = live.current_status(batch, world.bookings)
+    claims = live.run_available(live.status_claims(stream), "status", live.CLAIM)
+    got = live.settled_status(claims, world.bookings)
+    want = live.settled_status(live.status_claims(batch), world.bookings)
     key = lambda r: r["booking_id"]
     assert sorted(dicts(got), key=key) == sorted(dicts(want), key=key)
     assert len(dicts(got)) == 20
@@ -91,6 +93,30 @@ def test_payment_stream_equals_batch(spark, arrived, world):
     assert sum(r["n_payments"] for r in dicts(got)) == posted
 
 
+def test_a_stream_without_data_gives_no_rows(spark, tmp_path, world):
+    stream = live.file_stream(spark, str(tmp_path), spark.createDataFrame([], LOG).schema)
+    claims = live.run_available(live.status_claims(stream), "nothing", live.CLAIM)
+    assert dicts(live.settled_status(claims, world.bookings)) == []
+
+
+def test_a_view_goes_on_where_it_stopped(spark, arrived, world, tmp_path):
+    stream, batch = both(spark, arrived)
+    source = tmp_path / "in"
+    source.mkdir()
+    folder = str(tmp_path / "view")
+    schema = stream.schema
+    for n in range(6):
+        shutil.copy(os.path.join(arrived, f"part-{n}.parquet"), source)
+        if n in (1, 5):
+            view = live.status_claims(live.file_stream(spark, str(source), schema))
+            live.start_view(view, folder, availableNow=True).awaitTermination()
+    claims = live.read_view(spark, folder, view.schema, live.CLAIM)
+    want = live.settled_status(live.status_claims(batch), world.bookings)
+    key = lambda r: r["booking_id"]
+    got = live.settled_status(claims, world.bookings)
+    assert sorted(dicts(got), key=key) == sorted(dicts(want), key=key)
+
+
 def test_streams_read_a_declared_schema(spark):
     view = live.file_stream(spark, "/root/testdata/sf0.001", RAW["events"], "events.parquet")
     assert view.isStreaming and view.schema == RAW["events"]
