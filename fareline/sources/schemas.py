@@ -89,6 +89,13 @@ TABLES: dict[str, StructType] = {
 # How each table is laid out on disk; tables not named here are not partitioned.
 PARTITIONING: dict[str, list[str]] = {"bookings": ["journey_date"]}
 
+# Tables that meet on a booking: bucketed alike in a catalog, they join without a shuffle.
+BUCKETING: dict[str, str] = {
+    "bookings": "booking_id",
+    "booking_seat": "booking_id",
+    "payments": "booking_id",
+}
+
 RAW: dict[str, StructType] = {
     "nation": _schema(n_nationkey=INT, n_name=TEXT, n_regionkey=INT),
     "customer": _schema(

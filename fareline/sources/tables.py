@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fareline.sources.schemas import PARTITIONING, TABLES
+from fareline.sources.schemas import BUCKETING, PARTITIONING, TABLES
 
 
 @dataclass(frozen=True)
@@ -49,3 +50,33 @@ def write_tables(tables, folder: str) -> None:
     for name, schema in TABLES.items():
         df = getattr(tables, name).select(*schema.names)
         write_table(df, f"{folder}/{name}", PARTITIONING.get(name, []))
+
+
+def save_tables(tables, database: str, buckets: int) -> None:
+    """Write all eight tables to a catalog database, for :func:`open_tables`.
+
+    The tables keyed by booking are cut into the same buckets, so lists, details,
+    seat maps and payment reports join them without a shuffle. A bucket is read by
+    one task and cannot be split: keep plain snapshots where single bookings hold a
+    large share of the seats or payments.
+    """
+    for name, schema in TABLES.items():
+        df = getattr(tables, name).select(*schema.names)
+        key = BUCKETING.get(name)
+        if key is None:
+            writer = df.hint("rebalance").write
+        else:
+            writer = df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).sortBy(key)
+        if name in PARTITIONING:
+            writer = writer.partitionBy(*PARTITIONING[name])
+        writer.format("parquet").mode("errorifexists").saveAsTable(f"{database}.{name}")
+
+
+def open_tables(spark: SparkSession, database: str) -> Tables:
+    """The tables of a catalog database written by :func:`save_tables`."""
+    return Tables(
+        **{
+            name: spark.table(f"{database}.{name}").select(*schema.names)
+            for name, schema in TABLES.items()
+        }
+    )

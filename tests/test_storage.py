@@ -6,9 +6,9 @@ import sys
 import pytest
 
 from fareline import session
-from fareline.operators import filters, listings
+from fareline.operators import filters, listings, seats
 from fareline.sources.schemas import TABLES
-from fareline.sources.tables import load_tables, write_table, write_tables
+from fareline.sources.tables import load_tables, open_tables, save_tables, write_table, write_tables
 from tests.tiny import DAY, dicts, small_world
 
 
@@ -50,22 +50,43 @@ def test_a_snapshot_is_never_overwritten(spark, stored):
         write_table(stored[0].buses, f"{stored[1]}/buses")
 
 
-def test_payment_fan_out_shuffles_the_bookings_once(spark, stored):
-    t = load_tables(spark, stored[1])
+@pytest.fixture
+def no_broadcast(spark):
     keys = [
         "spark.sql.autoBroadcastJoinThreshold",
         "spark.sql.adaptive.autoBroadcastJoinThreshold",
     ]
     for key in keys:
         spark.conf.set(key, "-1")
-    try:
-        df = listings.booking_list(t, ordered=False)
-        df.collect()
-        final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    finally:
-        for key in keys:
-            spark.conf.unset(key)
-    assert "ReusedExchange [booking_id" in final
+    yield
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_payment_fan_out_shuffles_the_bookings_once(spark, stored, no_broadcast):
+    t = load_tables(spark, stored[1])
+    assert "ReusedExchange [booking_id" in final_plan(listings.booking_list(t, ordered=False))
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, stored, no_broadcast, tmp_path):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path}/db'")
+    save_tables(stored[0], "bucketed", buckets=4)
+    t = open_tables(spark, "bucketed")
+    for name, schema in TABLES.items():
+        got, want = getattr(t, name), getattr(stored[0], name)
+        assert got.schema == schema
+        assert sorted(map(str, dicts(got))) == sorted(map(str, dicts(want)))
+    paid = listings.with_payments(t.bookings, t.payments.select("booking_id", "payment_method"))
+    assert "Exchange" not in final_plan(paid)
+    first = t.bookings.join(listings.first_payment(t.payments), "booking_id", "left")
+    assert "Exchange" not in final_plan(first)
+    held = seats.live_holds(t)
+    assert "Exchange" not in final_plan(held)
 
 
 def test_work_folders_are_fresh_and_checkpoints_enabled(spark):
