@@ -9,6 +9,7 @@ from fareline.functions.display import joined
 from fareline.functions.fixed_values import STATUS_CANCELLED
 
 TRIP = ["bus_id", "route_id", "journey_date"]
+DAY = ["route_id", "journey_date"]
 
 # Seat ids are taken in blocks of this many, so no set of held seats outgrows it.
 SEAT_BLOCK = 128
@@ -22,30 +23,37 @@ def booked_trips(bookings: DataFrame) -> DataFrame:
     return bookings.select(*TRIP).distinct()
 
 
-def live_holds(t) -> DataFrame:
-    """One row per seat and booking that is not cancelled; a NULL status holds nothing."""
+def live_holds(t, trips: DataFrame | None = None) -> DataFrame:
+    """One row per seat and booking that is not cancelled; a NULL status holds nothing.
+
+    With ``trips``, only bookings of a route and day that occurs among them.
+    """
     live = t.bookings.filter(F.col("status") != STATUS_CANCELLED)
+    if trips is not None:
+        live = live.join(trips.select(*DAY).distinct(), DAY, "left_semi")
     return t.booking_seat.join(live.select("booking_id", "route_id", "journey_date"), "booking_id")
 
 
-def seat_map(t, trips: DataFrame, ordered: bool = False) -> DataFrame:
+def seat_map(
+    t, trips: DataFrame, ordered: bool = False, few_trips: bool = False
+) -> DataFrame:
     """Every seat of every trip's bus, flagged when a live booking holds it.
 
     The held seats of a route and day are folded into one bounded set per block of
     seat ids before the seats are attached, so the shuffles carry one row per trip
     and block and never the trip x seat result. A seat belongs to one bus, so the
     sets need not tell buses apart. ``trips`` holds distinct
-    ``(bus_id, route_id, journey_date)``.
+    ``(bus_id, route_id, journey_date)``; with ``few_trips`` the bookings of other
+    routes and days are left out before their seats are read.
     """
     seats = t.seats.select("seat_id", "bus_id", "seat_number", _block("seat_id"))
-    day = ["route_id", "journey_date"]
     held = (
-        live_holds(t)
-        .groupBy(*day, _block("seat_id"))
+        live_holds(t, trips if few_trips else None)
+        .groupBy(*DAY, _block("seat_id"))
         .agg(F.collect_set("seat_id").alias("held"))
     )
     blocks = seats.select("bus_id", "block").distinct()
-    marked = trips.select(*TRIP).join(blocks, "bus_id").join(held, [*day, "block"], "left")
+    marked = trips.select(*TRIP).join(blocks, "bus_id").join(held, [*DAY, "block"], "left")
     out = marked.join(seats, ["bus_id", "block"]).select(
         *TRIP,
         "seat_id",

@@ -88,6 +88,12 @@ def _(t):
     return seats.seat_map(t, all_trips(t))
 
 
+@_query("a1_seat_map_requested")
+def _(t):
+    """The seats of every trip somebody asks for, booked before or not."""
+    return seats.seat_map(t, seats.booked_trips(t.booking_requests), few_trips=True)
+
+
 @_query("a2_trip_occupancy")
 def _(t):
     return seats.trip_occupancy(seats.seat_map(t, all_trips(t)))

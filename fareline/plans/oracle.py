@@ -226,6 +226,12 @@ _QUERIES: dict[str, str] = {
     "i2_domain_tables": "SELECT * FROM bookings",
     "i2_payments": "SELECT * FROM payments",
     "a1_seat_map": "SELECT * FROM seat_map",
+    "a1_seat_map_requested": """
+      SELECT t.bus_id, t.route_id, t.journey_date, s.seat_id, s.seat_number, EXISTS (
+        SELECT 1 FROM holds h WHERE h.seat_id = s.seat_id AND h.route_id = t.route_id
+          AND h.journey_date = t.journey_date) AS is_booked
+      FROM (SELECT DISTINCT bus_id, route_id, journey_date FROM booking_requests) t
+        JOIN seats s ON s.bus_id = t.bus_id""",
     "a2_trip_occupancy": """
       SELECT bus_id, route_id, journey_date, count(*) AS total_seats,
         count(*) FILTER (is_booked) AS booked_seats, count(*) FILTER (NOT is_booked) AS free_seats

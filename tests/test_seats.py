@@ -113,6 +113,9 @@ def test_against_brute_force_with_a_hot_trip(spark):
         )
         result = seats.seat_map(t, seats.booked_trips(t.bookings))
         assert sorted(tuple(r) for r in result.collect()) == want
+        some = seats.booked_trips(t.bookings.filter("route_id = 1"))
+        few = seats.seat_map(t, some, few_trips=True)
+        assert sorted(tuple(r) for r in few.collect()) == [row for row in want if row[1] == 1]
 
         totals = {}
         for bus, route, day, _, _, taken in want:
