@@ -21,8 +21,11 @@ def time_text(c: Column) -> Column:
 
 
 def grouped(c: Column, places: int) -> Column:
-    """Thousands separators and fixed decimals, halves rounded away from zero."""
-    return F.format_number(F.round(c, places), places)
+    """Thousands separators and fixed decimals, halves rounded away from zero.
+
+    Adding zero turns a negative zero into a plain one.
+    """
+    return F.format_number(F.round(c, places) + F.lit(0), places)
 
 
 def money(c: Column) -> Column:

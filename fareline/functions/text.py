@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +76,9 @@ def line_breaks(c: Column) -> Column:
 
 
 def capitalise(c: Column) -> Column:
-    """Upper-case the first letter only."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, F.length(c)))
+    """Upper-case the first letter only, and only if it is an ASCII letter."""
+    first = F.translate(F.substring(c, 1, 1), ascii_lowercase, ascii_uppercase)
+    return F.concat(first, F.substr(c, F.lit(2)))
 
 
 def full_name(first: Column, last: Column) -> Column:

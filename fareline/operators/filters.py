@@ -52,12 +52,15 @@ def filter_bookings(
     status: str | None = None,
     journey_date: str | dt.date | None = None,
 ) -> DataFrame:
-    """Bookings of one status and/or one exact journey day; the date prunes partitions."""
+    """Bookings of one status and/or one exact journey day; the date prunes partitions.
+
+    A text that is no date matches nothing.
+    """
     tests = [F.lit(True)]
     if status:
         tests.append(F.col("status") == status)
     if journey_date:
-        tests.append(F.col("journey_date") == F.lit(journey_date).cast("date"))
+        tests.append(F.col("journey_date") == F.lit(journey_date).try_cast("date"))
     return bookings.filter(reduce(and_, tests))
 
 

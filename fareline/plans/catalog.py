@@ -96,12 +96,12 @@ def _(t):
 
 @_query("a2_trip_occupancy")
 def _(t):
-    return seats.trip_occupancy(seats.seat_map(t, all_trips(t)))
+    return seats.trip_occupancy(t, all_trips(t))
 
 
 @_query("i3_seat_map_json")
 def _(t):
-    return seats.seat_map_json(seats.seat_map(t, all_trips(t)))
+    return seats.seat_map_json(t, all_trips(t))
 
 
 # ---- filters ------------------------------------------------------------

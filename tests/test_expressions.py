@@ -84,6 +84,7 @@ def test_is_empty(spark, raw, want):
 def test_capitalise_touches_the_first_letter_only(spark):
     assert one(spark, X.capitalise(F.lit("on HOLD"))) == "On HOLD"
     assert one(spark, X.capitalise(F.lit(""))) == ""
+    assert one(spark, X.capitalise(F.lit("état"))) == "état"
 
 
 def test_line_breaks(spark):
@@ -117,6 +118,11 @@ def test_grouped_rounds_half_away_from_zero(spark, raw, places, want):
     assert one(spark, D.grouped(F.lit(Decimal(raw)), places)) == want
 
 
+def test_no_negative_zero(spark):
+    assert one(spark, D.grouped(F.lit(-0.004), 2)) == "0.00"
+    assert one(spark, D.grouped(F.lit(Decimal("-0.004")), 2)) == "0.00"
+
+
 def test_money(spark):
     assert one(spark, D.money(F.lit(Decimal("1234.5")))) == "৳1,234.50"
 

@@ -79,6 +79,7 @@ def test_booking_filters(spark):
     assert ids(filters.filter_bookings(b, "confirmed"), key) == [1, 3]
     assert ids(filters.filter_bookings(b, None, "2024-01-02"), key) == [3]
     assert ids(filters.filter_bookings(b, "pending", dt.date(2024, 1, 2)), key) == []
+    assert ids(filters.filter_bookings(b, None, "someday"), key) == []
 
 
 def test_lookup_and_ownership(spark):

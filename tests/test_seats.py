@@ -58,7 +58,7 @@ def test_json_document(spark):
     t = small_world(
         spark, bookings=[{"booking_id": 1}], booking_seat=[{"booking_id": 1, "seat_id": 2}]
     )
-    doc = seats.seat_map_json(seats.seat_map(t, trips(spark, [(1, 1, DAY)]))).first()["seats_json"]
+    doc = seats.seat_map_json(t, trips(spark, [(1, 1, DAY)])).first()["seats_json"]
     assert doc == (
         '[{"seat_id":1,"seat_number":"A1","is_booked":false},'
         '{"seat_id":2,"seat_number":"A2","is_booked":true}]'
@@ -127,10 +127,19 @@ def test_against_brute_force_with_a_hot_trip(spark):
                 r["booked_seats"],
                 r["free_seats"],
             )
-            for r in seats.trip_occupancy(result).collect()
+            for r in seats.trip_occupancy(t, seats.booked_trips(t.bookings)).collect()
         }
         assert got == {key: (n, k, n - k) for key, (n, k) in totals.items()}
 
+        documents = {
+            (r["bus_id"], r["route_id"], r["journey_date"]): json.loads(r["seats_json"])
+            for r in seats.seat_map_json(t, seats.booked_trips(t.bookings)).collect()
+        }
+        assert set(documents) == set(totals)
+        for (bus, route, day), doc in documents.items():
+            mine = sorted((n, s, taken) for b, r, d, s, n, taken in want if (b, r, d) == (bus, route, day))
+            assert [(e["seat_number"], e["seat_id"], e["is_booked"]) for e in doc] == mine
+
         sold = {
             (r["seat_id"], r["route_id"], r["journey_date"]): r["holders"]
             for r in audits.double_sold_seats(t).collect()
