@@ -500,4 +500,5 @@ def _(t):
 @_query("st2_payment_totals")
 def _(t):
     pays = change_stream(t).filter(F.col("kind") == "pay")
-    return live.run_available(live.payment_totals(pays, t.bookings), "st2", ["payment_method"])
+    claims = live.run_available(live.payment_claims(pays), "st2", live.PAYMENT)
+    return live.settled_totals(claims, t.bookings)

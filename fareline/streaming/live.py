@@ -1,5 +1,9 @@
 """Live views kept by Structured Streaming: booking status and payment totals.
 
+What a stream keeps is what was asked for, per booking and asking user. Whether that
+user owns the booking, and what the booking costs, is looked up when the view is
+read, so that no micro-batch reads the bookings.
+
 A view lives in one folder: its checkpoint, and one sub-folder of changed rows per
 micro-batch. A repeated batch overwrites itself, readers take the newest row per
 key, and nothing passes through the driver.
@@ -19,6 +23,7 @@ from fareline.operators.changes import change_order, payable
 from fareline.session import work_folder
 
 CLAIM = ["booking_id", "kind", "payer"]
+PAYMENT = ["booking_id", "user_id", "payment_method"]
 
 
 def file_stream(
@@ -43,9 +48,8 @@ def file_stream(
 def status_claims(log: DataFrame) -> DataFrame:
     """The newest status each booking is asked to take, batch or stream.
 
-    Payments are kept apart by paying user: whether that user owns the booking is
-    asked when the view is read, so a micro-batch never reads the bookings. A late
-    entry never overrides a newer one, so no watermark is needed.
+    Payments are kept apart by paying user. A late entry never overrides a newer one,
+    so no watermark is needed.
     """
     is_pay = F.col("kind") == "pay"
     asked = log.select(
@@ -74,11 +78,16 @@ def settled_status(claims: DataFrame, bookings: DataFrame) -> DataFrame:
 # ---- payment totals ---------------------------------------------------------
 
 
-def payment_totals(pays: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Accepted payments and their sum by method, batch or stream."""
-    return payable(pays, bookings).groupBy("payment_method").agg(
-        F.count(F.lit(1)).alias("n_payments"),
-        F.sum("total_amount").cast("decimal(18,2)").alias("revenue"),
+def payment_claims(pays: DataFrame) -> DataFrame:
+    """How often each user paid for each booking by each method, batch or stream."""
+    return pays.groupBy(*PAYMENT).agg(F.count(F.lit(1)).alias("n"))
+
+
+def settled_totals(claims: DataFrame, bookings: DataFrame) -> DataFrame:
+    """Payments by the owner of a booking and their sum, by method."""
+    return payable(claims, bookings).groupBy("payment_method").agg(
+        F.sum("n").alias("n_payments"),
+        F.sum(F.col("n") * F.col("total_amount")).cast("decimal(18,2)").alias("revenue"),
     )
 
 

@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
-from fareline.operators import counters, listings, seats
+from fareline.operators import changes, counters, listings, seats
+from tests.test_changes import LOG, at
 from tests.test_seats import random_world
-from tests.tiny import dicts, tables
+from tests.tiny import DAY, dicts, tables
 
 SF_DIR = "/root/testdata/sf0.001"
 # These run jobs while they are built; their plans only read the outcome.
@@ -64,14 +65,37 @@ def skewed_tables(spark):
     )
 
 
+def skewed_log(spark):
+    rows = []
+    for i in range(300):
+        booking = 42 if i % 3 == 0 else i % 310
+        pay = i % 2 == 0
+        owner = 1 if booking % 3 == 0 else booking % 10
+        status = None if pay else ("cancelled" if i % 4 == 1 else "confirmed")
+        rows.append((i, at(i % 50), booking, "pay" if pay else "set_status", status, "Cash", owner))
+    return spark.createDataFrame(rows, LOG)
+
+
+def skewed_requests(spark):
+    return spark.createDataFrame(
+        [(i, at(0), i % 10, 2 if i % 3 == 0 else i % 5, 1, DAY, [i, i + 1][: i % 3], "x", "y") for i in range(150)],
+        "request_id long, ts timestamp_ntz, user_id long, route_id long, bus_id long, journey_date date,"
+        " seats array<long>, passenger_names string, passenger_phones string",
+    )
+
+
 def results(spark):
     t = skewed_tables(spark)
+    posted = changes.apply_changes(t, skewed_log(spark))
+    created = changes.create_bookings(t, skewed_requests(spark), DAY)
     frames = [
         listings.booking_list(t, ordered=False),
         listings.user_bookings(t, ordered=False),
         listings.booking_detail_user(t),
         counters.user_booking_stats(t),
         seats.seat_map(t, seats.booked_trips(t.bookings)),
+        *posted,
+        *created,
     ]
     return [sorted(map(str, dicts(df))) for df in frames]
 
