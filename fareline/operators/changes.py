@@ -307,9 +307,10 @@ def post_payments(t, pays: DataFrame) -> PostedPayments:
         F.lit(V.PAYMENT_COMPLETED).alias("payment_status"),
     )
     confirmations = accepted.withColumn("new_status", F.lit(V.STATUS_CONFIRMED))
-    rejects = pays.join(
-        t.bookings.select("booking_id", "user_id"), ["booking_id", "user_id"], "left_anti"
-    ).select("change_id", F.lit(V.REASON_BOOKING).alias("reason"))
+    # Against the accepted requests, not the bookings: a small batch stays small.
+    rejects = pays.join(accepted.select("change_id"), "change_id", "left_anti").select(
+        "change_id", F.lit(V.REASON_BOOKING).alias("reason")
+    )
     return PostedPayments(
         t.payments.unionByName(added), apply_status(t.bookings, confirmations), rejects
     )

@@ -39,6 +39,14 @@ def with_payments(bookings: DataFrame, payments: DataFrame) -> DataFrame:
     return paid.unionByName(unpaid, allowMissingColumns=True)
 
 
+def _of_bookings(df: DataFrame, bookings: DataFrame, chosen: bool) -> DataFrame:
+    """Where bookings were chosen, only their rows.
+
+    A semi join with few bookings broadcasts them and leaves the large table where it is.
+    """
+    return lookup(df, "booking_id", bookings) if chosen else df
+
+
 def newest_first(df: DataFrame, key: str, created: str = "created_at") -> DataFrame:
     return df.orderBy(F.col(created).desc(), F.col(key).desc())
 
@@ -50,11 +58,12 @@ def booking_list(
     ordered: bool = True,
 ) -> DataFrame:
     """All bookings with passenger, route, bus and payment."""
-    payments = t.payments.select(
+    bookings = filter_bookings(t.bookings, status, journey_date)
+    payments = _of_bookings(t.payments, bookings, bool(journey_date)).select(
         "booking_id", "payment_status", "payment_method", F.col("amount").alias("payment_amount")
     )
     out = (
-        with_payments(filter_bookings(t.bookings, status, journey_date), payments)
+        with_payments(bookings, payments)
         .join(t.buses.select("bus_id", "bus_number"), "bus_id")
         .join(t.routes.select(*ROUTE_NAMES), "route_id")
         .join(t.users.select("user_id", "username", "email"), "user_id")
@@ -65,7 +74,9 @@ def booking_list(
 def user_bookings(t, user_id: int | None = None, ordered: bool = True) -> DataFrame:
     """One user's bookings, or everybody's, with route, bus and payment."""
     mine = t.bookings if user_id is None else owned_by(t.bookings, user_id)
-    payments = t.payments.select("booking_id", "payment_status", "payment_method", "transaction_id")
+    payments = _of_bookings(t.payments, mine, user_id is not None).select(
+        "booking_id", "payment_status", "payment_method", "transaction_id"
+    )
     out = (
         with_payments(mine, payments)
         .join(t.buses.select("bus_id", "bus_number", "bus_model"), "bus_id")
@@ -74,8 +85,14 @@ def user_bookings(t, user_id: int | None = None, ordered: bool = True) -> DataFr
     return newest_first(out, "booking_id") if ordered else out
 
 
-def _chosen(bookings: DataFrame, ids: DataFrame | Iterable[int] | None) -> DataFrame:
-    return bookings if ids is None else lookup(bookings, "booking_id", ids)
+def _chosen(
+    t, ids: DataFrame | Iterable[int] | None, user_id: int | None = None
+) -> tuple[DataFrame, bool]:
+    """The asked bookings, and whether that is a choice at all."""
+    bookings = t.bookings if user_id is None else owned_by(t.bookings, user_id)
+    if ids is not None:
+        bookings = lookup(bookings, "booking_id", ids)
+    return bookings, ids is not None or user_id is not None
 
 
 def _with_route_and_bus(bookings: DataFrame, t) -> DataFrame:
@@ -89,23 +106,20 @@ def _with_route_and_bus(bookings: DataFrame, t) -> DataFrame:
     )
 
 
-def _with_seat_numbers(df: DataFrame, t, links: DataFrame) -> DataFrame:
-    named = booking_seat_numbers(links, t.seats)
+def _with_seat_numbers(df: DataFrame, t, bookings: DataFrame, chosen: bool) -> DataFrame:
+    named = booking_seat_numbers(_of_bookings(t.booking_seat, bookings, chosen), t.seats)
     return df.join(named, "booking_id", "left").withColumn(
         "seat_numbers", F.coalesce("seat_numbers", F.lit(""))
     )
 
 
-def _links(t, ids: DataFrame | Iterable[int] | None) -> DataFrame:
-    return t.booking_seat if ids is None else lookup(t.booking_seat, "booking_id", ids)
-
-
 def booking_detail_admin(t, ids: DataFrame | Iterable[int] | None = None) -> DataFrame:
     """Booking with passenger contact, route, bus, seats and the fare of today."""
-    detail = _with_route_and_bus(_chosen(t.bookings, ids), t).join(
+    bookings, chosen = _chosen(t, ids)
+    detail = _with_route_and_bus(bookings, t).join(
         t.users.select("user_id", "username", "email", "phone_number"), "user_id"
     )
-    return _with_seat_numbers(detail, t, _links(t, ids))
+    return _with_seat_numbers(detail, t, bookings, chosen)
 
 
 def first_payment(payments: DataFrame) -> DataFrame:
@@ -119,24 +133,21 @@ def booking_detail_user(
     t, user_id: int | None = None, ids: DataFrame | Iterable[int] | None = None
 ) -> DataFrame:
     """Booking with route, bus, first payment and seats; only the user's own."""
-    mine = t.bookings if user_id is None else owned_by(t.bookings, user_id)
-    detail = _with_route_and_bus(_chosen(mine, ids), t).join(
-        first_payment(t.payments), "booking_id", "left"
-    )
-    return _with_seat_numbers(detail, t, _links(t, ids))
+    mine, chosen = _chosen(t, ids, user_id)
+    payments = first_payment(_of_bookings(t.payments, mine, chosen))
+    detail = _with_route_and_bus(mine, t).join(payments, "booking_id", "left")
+    return _with_seat_numbers(detail, t, mine, chosen)
 
 
 def checkout_summary(
     t, ids: DataFrame | Iterable[int] | None = None, user_id: int | None = None
 ) -> DataFrame:
     """What a passenger sees before paying."""
-    mine = t.bookings if user_id is None else owned_by(t.bookings, user_id)
-    summary = (
-        _chosen(mine, ids)
-        .join(t.buses.select("bus_id", "bus_number", "bus_model"), "bus_id")
-        .join(t.routes.select(*ROUTE_NAMES, "departure_time"), "route_id")
+    mine, chosen = _chosen(t, ids, user_id)
+    summary = mine.join(t.buses.select("bus_id", "bus_number", "bus_model"), "bus_id").join(
+        t.routes.select(*ROUTE_NAMES, "departure_time"), "route_id"
     )
-    return _with_seat_numbers(summary, t, _links(t, ids))
+    return _with_seat_numbers(summary, t, mine, chosen)
 
 
 def route_buses(t, route_ids: DataFrame | Iterable[int] | None = None) -> DataFrame:

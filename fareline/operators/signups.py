@@ -55,6 +55,12 @@ def _first_come(candidates: DataFrame) -> DataFrame:
     return admitted
 
 
+def _known(users: DataFrame, column: str, batch: DataFrame, key: str) -> DataFrame:
+    """The keys of the batch that users already have; a small batch is sent to the users."""
+    held = users.select(F.lower(column).alias(key))
+    return held.join(batch.select(key).distinct(), key, "left_semi").distinct()
+
+
 def admit_users(users: DataFrame, regs: DataFrame) -> Admission:
     """Add the acceptable sign-ups as users and give every reason against the others.
 
@@ -78,11 +84,9 @@ def admit_users(users: DataFrame, regs: DataFrame) -> Admission:
             "incomplete": incomplete,
         }
     )
-    names = users.select(F.lower("username").alias("name_key"), F.lit(1).alias("name_known"))
-    mails = users.select(F.lower("email").alias("mail_key"), F.lit(1).alias("mail_known"))
-    checked = keyed.join(names.distinct(), "name_key", "left").join(
-        mails.distinct(), "mail_key", "left"
-    )
+    names = _known(users, "username", keyed, "name_key").withColumn("name_known", F.lit(1))
+    mails = _known(users, "email", keyed, "mail_key").withColumn("mail_known", F.lit(1))
+    checked = keyed.join(names, "name_key", "left").join(mails, "mail_key", "left")
     open_rows = checked.filter(
         ~F.col("incomplete") & F.col("name_known").isNull() & F.col("mail_known").isNull()
     )
