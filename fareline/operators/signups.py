@@ -86,7 +86,8 @@ def admit_users(users: DataFrame, regs: DataFrame) -> Admission:
     )
     names = _known(users, "username", keyed, "name_key").withColumn("name_known", F.lit(1))
     mails = _known(users, "email", keyed, "mail_key").withColumn("mail_known", F.lit(1))
-    checked = keyed.join(names, "name_key", "left").join(mails, "mail_key", "left")
+    # Read by the rounds and again for the verdicts; the users are scanned only here.
+    checked = keyed.join(names, "name_key", "left").join(mails, "mail_key", "left").checkpoint()
     open_rows = checked.filter(
         ~F.col("incomplete") & F.col("name_known").isNull() & F.col("mail_known").isNull()
     )
