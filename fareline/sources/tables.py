@@ -38,11 +38,11 @@ def load_tables(spark: SparkSession, folder: str) -> Tables:
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write one snapshot to a new path.
 
-    The rebalance hint lets adaptive execution merge small output files and cut
-    a partition value that holds too many rows into several tasks.
+    For a partitioned table the rebalance hint brings the rows of a partition value
+    together and lets adaptive execution cut a value that holds too many of them.
     """
-    balanced = df.hint("rebalance", *partition_by)
-    balanced.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
 
 
 def write_tables(tables, folder: str) -> None:
@@ -64,7 +64,7 @@ def save_tables(tables, database: str, buckets: int) -> None:
         df = getattr(tables, name).select(*schema.names)
         key = BUCKETING.get(name)
         if key is None:
-            writer = df.hint("rebalance").write
+            writer = df.write
         else:
             writer = df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).sortBy(key)
         if name in PARTITIONING:
