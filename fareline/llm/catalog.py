@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fareline.llm import (
     exact_copies,
+    languages,
+    nearest,
     personal_data,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [personal_data, exact_copies]
+_MODULES = [personal_data, exact_copies, languages, nearest]
 
 
 def queries() -> dict[str, Query]:
