@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fareline.llm import (
+    archives,
     exact_copies,
     languages,
     nearest,
+    packing,
     personal_data,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [personal_data, exact_copies, languages, nearest]
+_MODULES = [personal_data, exact_copies, languages, archives, packing, nearest]
 
 
 def queries() -> dict[str, Query]:
