@@ -13,10 +13,11 @@ from fareline.llm import (
     nearest,
     packing,
     personal_data,
+    quality,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [personal_data, exact_copies, languages, archives, packing, nearest]
+_MODULES = [quality, personal_data, exact_copies, languages, archives, packing, nearest]
 
 
 def queries() -> dict[str, Query]:
