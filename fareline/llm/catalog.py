@@ -12,12 +12,13 @@ from fareline.llm import (
     languages,
     nearest,
     packing,
+    passages,
     personal_data,
     quality,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [quality, personal_data, exact_copies, languages, archives, packing, nearest]
+_MODULES = [passages, quality, personal_data, exact_copies, languages, archives, packing, nearest]
 
 
 def queries() -> dict[str, Query]:
