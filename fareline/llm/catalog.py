@@ -6,24 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from fareline.llm import (
     archives,
     exact_copies,
     languages,
+    near_copies,
     nearest,
     packing,
     passages,
     personal_data,
+    pieces,
     quality,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [passages, quality, personal_data, exact_copies, languages, archives, packing, nearest]
+_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest]
 
 
 def queries() -> dict[str, Query]:
-    return {m.NAME: m.query for m in _MODULES}
+    return {m.NAME: m.query for m in _MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.NAME: m.ORACLE for m in _MODULES if m.ORACLE is not None}
+    twins = {m.NAME: m.ORACLE for m in _MODULES} | {"pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in twins.items() if sql is not None}
