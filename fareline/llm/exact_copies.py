@@ -211,12 +211,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """
     flags = flagged(docs)
     handed, segments = flags.handed, flags.segments
+    look, sha, best_sha, best_id = (tables.unused(docs, n) for n in ("_look", "_sha", "_best_sha", "_best_id"))
     winners = tables.kept(groups(flags.rows), "copies-groups").select(
-        F.col("text_sha256").alias("_win_sha"), F.col("keep_id").alias("_win_id")
+        F.col("text_sha256").alias(best_sha), F.col("keep_id").alias(best_id)
     )
 
     @F.arrow_udf("struct<sha:binary,maybe:boolean>")
-    def look(column: pa.Array) -> pa.Array:
+    def looked(column: pa.Array) -> pa.Array:
         digests = _digests([t or b"" for t in column.cast(pa.large_binary()).to_pylist()])
         if handed is None:
             maybe = np.ones(len(digests), dtype=bool)
@@ -224,17 +225,19 @@ def drop_copies(docs: DataFrame) -> DataFrame:
             maybe = _probe(handed.value, digests, _segments(digests, segments))
         return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(maybe)], ["sha", "maybe"])
 
-    seen = docs.withColumn("_look", look("text"))
-    apart = seen.filter("_look.maybe").join(
-        winners, (F.col("_look.sha") == F.col("_win_sha")) & F.col("doc_id").eqNullSafe(F.col("_win_id")), "left_semi"
+    seen = docs.withColumn(look, looked("text"))
+    own = F.col(look)["sha"]
+    apart = seen.filter(F.col(look)["maybe"]).join(
+        winners, (own == F.col(best_sha)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi"
     )
     if handed is None:
-        alone = flags.rows.filter("not maybe").select(F.col("text_sha256").alias("_one_sha"))
-        straight = seen.join(alone, F.col("_look.sha") == F.col("_one_sha"), "left_semi")
+        alone = flags.rows.filter("not maybe").select(F.col("text_sha256").alias(best_sha))
+        straight = seen.join(alone, own == F.col(best_sha), "left_semi")
+        apart = apart.join(alone, own == F.col(best_sha), "left_anti")
     else:
-        straight = seen.filter("not _look.maybe")
-    one_each = apart.withColumn("_sha", F.col("_look.sha")).dropDuplicates(["doc_id", "_sha"]).drop("_sha")
-    return straight.unionByName(one_each).drop("_look")
+        straight = seen.filter(~F.col(look)["maybe"])
+    one_each = apart.withColumn(sha, own).dropDuplicates(["doc_id", sha]).drop(sha)
+    return straight.unionByName(one_each).drop(look)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -319,13 +319,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     classes = find_near_copies(docs).filter("doc_id = class_id")
     stay = classes.groupBy("class_key").agg(F.first("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"))
     stay = tables.kept(stay.select("doc_id", "row_key"), "near-stay")
-    keyed = docs.withColumn("_row_key", F.xxhash64("text"))
+    key, best_id, best_key = (tables.unused(docs, n) for n in ("_key", "_best_id", "_best_key"))
+    keyed = docs.withColumn(key, F.xxhash64("text"))
     best = keyed.join(
-        stay.toDF("_stay_id", "_stay_key"),
-        (F.col("doc_id") == F.col("_stay_id")) & (F.col("_row_key") == F.col("_stay_key")),
-        "left_semi",
-    ).dropDuplicates(["doc_id", "_row_key"])
-    return best.unionByName(keyed.filter(F.col("doc_id").isNull())).drop("_row_key")
+        stay.toDF(best_id, best_key), (F.col("doc_id") == F.col(best_id)) & (F.col(key) == F.col(best_key)), "left_semi"
+    ).dropDuplicates(["doc_id", key])
+    return best.unionByName(keyed.filter(F.col("doc_id").isNull())).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,8 +177,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """Documents with personal data replaced in ``text`` and ``n_chars`` to match."""
-    clean = with_spans(docs)
-    length = [F.length("pii_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else
-              F.col("pii_text").alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    return clean.select(*length)
+    """Documents with personal data replaced in ``text``, and ``n_chars`` to match."""
+    spans, masked = tables.unused(docs, "_spans"), tables.unused(docs, "_masked")
+    new = {"text": F.col(masked)}
+    if "n_chars" in docs.columns:
+        length = F.length(masked).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_chars").isNotNull(), length)
+    return with_spans(docs, "text", spans, masked).withColumns(new).select(*docs.columns)

@@ -1,0 +1,84 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fareline.llm import personal_data as P
+from tests.llm.rows import documents
+
+PLAIN = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain(text):
+    out = []
+    for kind, pattern in PLAIN.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = (
+                kind == "email"
+                or (kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")))
+                or (kind == "card" and 12 <= len(digits) <= 19 and P.luhn(digits))
+                or (kind == "phone" and 9 <= len(digits) <= 15)
+            )
+            if good:
+                out.append((m.start(), P.KINDS.index(kind), m.end(), kind))
+    return [(k, s, e) for s, _, e, k in sorted(out)]
+
+
+def base(text):
+    return [(s.kind, s.start, s.end) for s in P.find_spans(text) if s.kind in P.BASE_KINDS]
+
+
+PIECES = st.sampled_from(
+    ["@", ".", "a", "b-c", "x@y.zz", "1", "255", "256", "10.0.0.1", "+", "4111 1111 1111 1111", " ", "-", "(", ")", "é",
+     "+49 30 1234567", "0", "00001", "\n", "a@b@c.de", "%", "4111-1111", "1.2.3.4.5.6.7.8"]
+)
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(PIECES, max_size=25).map("".join))
+def test_base_spans_are_those_of_the_plain_patterns(text):
+    assert base(text) == plain(text)
+
+
+def test_added_kinds_need_their_checks():
+    kinds = lambda t: [s.kind for s in P.find_spans(t)]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 32 today") == ["iban"]
+    assert kinds("pay to GB82 WEST 1234 5698 7654 33 today") == []
+    assert kinds("my social security number 123-45-6789") == ["ssn"]
+    assert kinds("part 123-45-6789 of the list") == []
+
+
+def test_context_raises_the_score():
+    alone, beside = P.find_spans("so 10.0.0.1 it is")[0], P.find_spans("the server 10.0.0.1 it is")[0]
+    assert alone.score < beside.score
+
+
+def test_long_runs_stay_linear():
+    for text in ("1" * 200_000, "a" * 200_000, "1." * 100_000, "+1" + " " * 200_000, "@" * 100_000):
+        P.find_spans(text)
+
+
+def test_masked_documents(spark):
+    docs = documents(spark, ["write to a@b.cd or +49 30 1234567", None, "", "clean", "clean"])
+    out = {r["doc_id"]: r for r in P.mask(docs).collect()}
+    assert P.mask(docs).columns == docs.columns
+    assert out[0]["text"] == "write to <EMAIL> or <PHONE>" and out[0]["n_chars"] == len(out[0]["text"])
+    assert out[1]["text"] is None and out[1]["n_chars"] is None
+    assert out[2]["text"] == "" and out[3]["text"] == out[4]["text"] == "clean"
+    assert P.mask(docs.limit(0)).count() == 0
+
+
+def test_query_digest(spark, tmp_path):
+    texts = ["ip 1.2.3.4, é a@b.cd", None, "", "card 4111 1111 1111 1111"]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    for r in P.query(spark, str(tmp_path)).collect():
+        want = ",".join(f"{k}:{s}:{e}" for k, s, e in plain(texts[r["doc_id"]] or ""))
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        assert r["spans"] == want
