@@ -71,7 +71,8 @@ def joined(items: Column) -> Column:
 
 
 def total_fare(fare: Column, seats: Column) -> Column:
-    return (fare * seats).cast("decimal(12,2)")
+    """Wide enough for every fare and number of seats that can be stored."""
+    return (fare * seats).cast("decimal(20,2)")
 
 
 def not_past(c: Column, as_of: Column) -> Column:

@@ -33,6 +33,10 @@ REASON_REQUIRED = "All required fields must be filled"
 REASON_USERNAME = "Username already exists"
 REASON_EMAIL = "Email already exists"
 REASON_BOOKING = "Booking not found"
+REASON_CAPACITY = "Capacity out of range"
+REASON_DISTANCE = "Distance out of range"
+REASON_FARE = "Fare out of range"
+REASON_AMOUNT = "Total amount out of range"
 
 # Characters removed at both ends of submitted text.
 TRIMMED = " \n\r\t\x0b\x00"

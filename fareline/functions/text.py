@@ -22,6 +22,11 @@ def is_empty(c: Column) -> Column:
     return c.isNull() | c.isin("", "0")
 
 
+def same_text(c: Column, value: str) -> Column:
+    """Equality as the stored tables compare text: without regard to case."""
+    return F.lower(c) == value.lower()
+
+
 def sanitize(c: Column) -> Column:
     """Trim, drop markup, then escape what HTML treats specially; NULL becomes empty."""
     out = F.trim(F.coalesce(c, F.lit("")), F.lit(TRIMMED))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fareline.functions.display import total_fare
 from fareline.functions.fixed_values import STATUS_CANCELLED, STATUS_CONFIRMED
+from fareline.functions.text import same_text
 from fareline.operators.counters import bus_list
 from fareline.operators.seats import live_holds
 
@@ -55,8 +56,8 @@ def payment_findings(t) -> DataFrame:
     status, n = F.col("status"), F.col("n_payments")
     findings = F.array_compact(
         F.array(
-            F.when((status == STATUS_CONFIRMED) & (n == 0), "confirmed unpaid"),
-            F.when((status == STATUS_CANCELLED) & (n > 0), "cancelled paid"),
+            F.when(same_text(status, STATUS_CONFIRMED) & (n == 0), "confirmed unpaid"),
+            F.when(same_text(status, STATUS_CANCELLED) & (n > 0), "cancelled paid"),
             F.when(n > 1, "paid more than once"),
         )
     )

@@ -2,7 +2,8 @@
 
 Each job takes the present tables and a frame of requests and returns the new
 table contents, plus the refused requests with a reason where a rule can refuse
-one. Within a batch the request with the greatest ``(ts, change_id)`` comes last
+one. A form text that its column cannot hold refuses that request and no other; of
+several reasons the first is given. Within a batch the request with the greatest ``(ts, change_id)`` comes last
 and wins. New ids are ``highest stored id + 1 + request id``, which needs no
 global ordering.
 """
@@ -19,8 +20,7 @@ from fareline.functions import fixed_values as V
 from fareline.functions.display import total_fare, transaction_code
 from fareline.functions.text import number, sanitize, whole_number
 from fareline.operators.filters import active_routes
-
-INT_MAX = 2**31 - 1
+from fareline.session import stored
 
 # Seats are generated in runs of this length, so no row ever carries a long array.
 SEAT_RUN = 1000
@@ -29,11 +29,18 @@ SEAT_RUN = 1000
 class BusTables(NamedTuple):
     buses: DataFrame
     seats: DataFrame
+    rejects: DataFrame
+
+
+class EditedBuses(NamedTuple):
+    buses: DataFrame
+    rejects: DataFrame
 
 
 class RouteTables(NamedTuple):
     routes: DataFrame
     bus_route: DataFrame
+    rejects: DataFrame
 
 
 class Deletion(NamedTuple):
@@ -70,9 +77,16 @@ def _clean(*names: str) -> list[Column]:
 
 
 def _int(name: str) -> Column:
-    """A whole number from form text, held within the column's range."""
-    parsed = whole_number(F.col(name).cast("string"))
-    return F.greatest(F.least(parsed, F.lit(INT_MAX)), F.lit(-INT_MAX - 1)).cast("int").alias(name)
+    """A whole number from form text, NULL where the column cannot hold it."""
+    return whole_number(F.col(name).cast("string")).try_cast("int").alias(name)
+
+
+def _judged(requests: DataFrame, reasons: dict[str, str], key: str) -> tuple[DataFrame, DataFrame]:
+    """The requests whose parsed columns all hold a value, and the others with a reason."""
+    reason = F.coalesce(*[F.when(F.col(name).isNull(), why) for name, why in reasons.items()])
+    judged = requests.withColumn("reason", reason)
+    good = judged.filter(F.col("reason").isNull()).drop("reason")
+    return good, judged.filter(F.col("reason").isNotNull()).select(key, "reason")
 
 
 def _ticked(name: str) -> Column:
@@ -99,9 +113,10 @@ def _overwrite(df: DataFrame, latest: DataFrame, key: str, fields: list[str]) ->
 
 def add_buses(buses: DataFrame, seats: DataFrame, new: DataFrame, as_of: str | dt.date) -> BusTables:
     """Add buses from form text and number their seats; no capacity gives no seats."""
-    requests = new.select(
+    parsed = new.select(
         "request_id", *_clean("bus_number", "bus_model", "license_plate"), _int("capacity")
     )
+    requests, rejects = _judged(parsed, {"capacity": V.REASON_CAPACITY}, "request_id")
     added = requests.withColumn("bus_id", _next_id(buses, "bus_id") + F.col("request_id"))
     all_buses = buses.unionByName(
         added.select(
@@ -134,10 +149,10 @@ def add_buses(buses: DataFrame, seats: DataFrame, new: DataFrame, as_of: str | d
         "bus_id",
         F.concat(F.lit(V.SEAT_PREFIX), F.col("i").cast("string")).alias("seat_number"),
     )
-    return BusTables(all_buses, seats.unionByName(new_seats))
+    return BusTables(all_buses, seats.unionByName(new_seats), rejects)
 
 
-def edit_buses(buses: DataFrame, edits: DataFrame) -> DataFrame:
+def edit_buses(buses: DataFrame, edits: DataFrame) -> EditedBuses:
     """Overwrite the edited buses; their seats stay as they are."""
     fields = ["bus_number", "bus_model", "license_plate", "capacity", "is_active"]
     parsed = edits.select(
@@ -148,7 +163,8 @@ def edit_buses(buses: DataFrame, edits: DataFrame) -> DataFrame:
         _int("capacity"),
         _ticked("is_active"),
     )
-    return _overwrite(buses, _latest(parsed, "bus_id", fields), "bus_id", fields)
+    good, rejects = _judged(parsed, {"capacity": V.REASON_CAPACITY}, "change_id")
+    return EditedBuses(_overwrite(buses, _latest(good, "bus_id", fields), "bus_id", fields), rejects)
 
 
 def _delete_unbooked(
@@ -170,14 +186,19 @@ ROUTE_TEXT = ["route_name", "origin_city", "destination_city"]
 
 
 def _fare(name: str) -> Column:
-    return F.round(number(F.col(name).cast("string")), 2).cast("decimal(10,2)").alias(name)
+    """An amount from form text, NULL where the column cannot hold it."""
+    return F.round(number(F.col(name).cast("string")), 2).try_cast("decimal(10,2)").alias(name)
+
+
+ROUTE_REASONS = {"distance": V.REASON_DISTANCE, "fare": V.REASON_FARE}
 
 
 def add_routes(
     routes: DataFrame, bus_route: DataFrame, new: DataFrame, as_of: str | dt.date
 ) -> RouteTables:
     """Add routes from form text together with their bus assignments."""
-    added = new.select(
+    parsed = new.select(
+        "request_id",
         (_next_id(routes, "route_id") + F.col("request_id")).alias("route_id"),
         *_clean(*ROUTE_TEXT),
         _int("distance"),
@@ -188,8 +209,11 @@ def add_routes(
         _day(as_of).alias("created_at"),
         "buses",
     )
+    added, rejects = _judged(parsed, ROUTE_REASONS, "request_id")
     links = added.select(F.explode("buses").alias("bus_id"), "route_id")
-    return RouteTables(routes.unionByName(added.drop("buses")), bus_route.unionByName(links))
+    return RouteTables(
+        routes.unionByName(added.drop("buses", "request_id")), bus_route.unionByName(links), rejects
+    )
 
 
 def edit_routes(routes: DataFrame, bus_route: DataFrame, edits: DataFrame) -> RouteTables:
@@ -214,12 +238,17 @@ def edit_routes(routes: DataFrame, bus_route: DataFrame, edits: DataFrame) -> Ro
         _ticked("is_active"),
         "buses",
     )
-    latest = _latest(parsed, "route_id", [*fields, "buses"])
+    reasons = {name: why for name, why in ROUTE_REASONS.items() if name in fields}
+    good, rejects = _judged(parsed, reasons, "change_id") if reasons else (parsed, None)
+    if rejects is None:
+        rejects = parsed.filter(F.lit(False)).select("change_id", F.lit("").alias("reason"))
+    latest = _latest(good, "route_id", [*fields, "buses"])
     kept = bus_route.join(latest.select("route_id"), "route_id", "left_anti")
     links = latest.select(F.explode("edit.buses").alias("bus_id"), "route_id")
     return RouteTables(
         _overwrite(routes, latest, "route_id", fields),
         kept.select("bus_id", "route_id").unionByName(links),
+        rejects,
     )
 
 
@@ -232,7 +261,8 @@ def delete_routes(routes: DataFrame, bookings: DataFrame, ids: DataFrame) -> Del
 
 
 def set_user_active(users: DataFrame, changes: DataFrame) -> DataFrame:
-    parsed = changes.select("user_id", "ts", "change_id", _int("is_active"))
+    """Switch users on and off; a text that is no number of the column's range changes nothing."""
+    parsed = changes.select("user_id", "ts", "change_id", _int("is_active")).filter(F.col("is_active").isNotNull())
     return _overwrite(users, _latest(parsed, "user_id", ["is_active"]), "user_id", ["is_active"])
 
 
@@ -261,8 +291,14 @@ def create_bookings(t, requests: DataFrame, as_of: str | dt.date) -> NewBookings
     asked = requests.join(fares, "route_id", "left").withColumn(
         "n", F.when(F.col("seats").isNull(), 0).otherwise(F.size("seats"))
     )
-    reason = F.when(F.col("fare").isNull(), V.REASON_ROUTE).when(F.col("n") == 0, V.REASON_NO_SEAT)
-    checked = asked.withColumn("reason", reason)
+    amount = total_fare(F.col("fare"), F.col("n")).try_cast("decimal(12,2)")
+    reason = (
+        F.when(F.col("fare").isNull(), V.REASON_ROUTE)
+        .when(F.col("n") == 0, V.REASON_NO_SEAT)
+        .when(amount.isNull(), V.REASON_AMOUNT)
+    )
+    # Stored, as all three results read it.
+    checked = stored(asked.withColumn("reason", reason), "checked-requests")
     accepted = checked.filter(F.col("reason").isNull()).withColumn(
         "booking_id", _next_id(t.bookings, "booking_id") + F.col("request_id")
     )
@@ -276,7 +312,7 @@ def create_bookings(t, requests: DataFrame, as_of: str | dt.date) -> NewBookings
         F.lit(V.STATUS_PENDING).alias("status"),
         F.col("n").alias("seat_count"),
         F.col("n").alias("total_passengers"),
-        total_fare(F.col("fare"), F.col("n")).alias("total_amount"),
+        amount.alias("total_amount"),
         _day(as_of).alias("created_at"),
         *_clean("passenger_names", "passenger_phones"),
     )
@@ -295,7 +331,7 @@ def payable(pays: DataFrame, bookings: DataFrame) -> DataFrame:
 
 def post_payments(t, pays: DataFrame) -> PostedPayments:
     """Record payments of the stored total and confirm the bookings, whatever their status."""
-    accepted = payable(pays, t.bookings)
+    accepted = stored(payable(pays, t.bookings), "accepted-payments")  # all three results read it
     number_ = F.col("change_id")
     added = accepted.select(
         (_next_id(t.payments, "payment_id") + number_).alias("payment_id"),

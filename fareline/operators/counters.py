@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareline.functions.fixed_values import STATUS_CONFIRMED, STATUS_PENDING
-from fareline.operators.filters import active_routes, matching_routes, passengers
+from fareline.functions.text import same_text
+from fareline.functions.display import joined
+from fareline.operators.filters import active_buses, active_routes, matching_routes, passengers
 from fareline.operators.listings import newest_first
 
 def _rows() -> Column:
@@ -16,7 +18,7 @@ def _rows() -> Column:
 
 
 def _is(status: str) -> Column:
-    return F.col("status") == status
+    return same_text(F.col("status"), status)
 
 
 def _sum_money(column: str) -> Column:
@@ -154,6 +156,18 @@ def search_routes(
     return found.orderBy("departure_time", "route_id") if ordered else found
 
 
+def search_results(
+    t, origin: str | None = None, destination: str | None = None, ordered: bool = True
+) -> DataFrame:
+    """Found routes with the number of assigned buses and the numbers of the active ones."""
+    found = search_routes(t.routes, t.bus_route, origin, destination, ordered=False)
+    served = t.bus_route.join(active_buses(t.buses).select("bus_id", "bus_number"), "bus_id")
+    in_order = F.sort_array(F.collect_list(F.struct("bus_id", "bus_number")))
+    numbers = served.groupBy("route_id").agg(joined(in_order["bus_number"]).alias("bus_numbers"))
+    out = found.join(numbers, "route_id", "left").withColumn("bus_numbers", F.coalesce("bus_numbers", F.lit("")))
+    return out.orderBy("departure_time", "route_id") if ordered else out
+
+
 def search_count(
     routes: DataFrame, origin: str | None = None, destination: str | None = None
 ) -> DataFrame:
@@ -166,6 +180,9 @@ def popular_routes(routes: DataFrame, n: int = 5) -> DataFrame:
 
 
 def cities(routes: DataFrame) -> DataFrame:
-    """Every city a route starts or ends in, in one pass over the routes."""
+    """Every city a route starts or ends in, in one pass over the routes.
+
+    Spellings that differ in case are one city, shown by the first in code-point order.
+    """
     both = routes.select(F.explode(F.array("origin_city", "destination_city")).alias("city"))
-    return both.distinct().orderBy("city")
+    return both.groupBy(F.lower("city")).agg(F.min("city").alias("city")).select("city").orderBy("city")

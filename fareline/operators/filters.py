@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareline.functions.text import contains_pattern, is_empty, sanitize
+from fareline.functions.text import contains_pattern, is_empty, same_text, sanitize
 
 
 def lookup(df: DataFrame, key: str, ids: DataFrame | Iterable[int]) -> DataFrame:
@@ -58,7 +58,7 @@ def filter_bookings(
     """
     tests = [F.lit(True)]
     if status:
-        tests.append(F.col("status") == status)
+        tests.append(same_text(F.col("status"), status))
     if journey_date:
         tests.append(F.col("journey_date") == F.lit(journey_date).try_cast("date"))
     return bookings.filter(reduce(and_, tests))
@@ -83,6 +83,6 @@ def assigned_buses(bus_route: DataFrame) -> DataFrame:
 
 def with_assignment(pairs: DataFrame, bus_route: DataFrame) -> DataFrame:
     """Flag ``(bus_id, route_id)`` pairs by whether the bus serves the route."""
-    links = bus_route.select("bus_id", "route_id").distinct()
-    flagged = pairs.join(links.withColumn("hit", F.lit(True)), ["bus_id", "route_id"], "left")
-    return flagged.withColumn("is_assigned", F.coalesce("hit", F.lit(False))).drop("hit")
+    key, links = ["bus_id", "route_id"], bus_route.select("bus_id", "route_id")
+    hits = pairs.join(links, key, "left_semi").withColumn("is_assigned", F.lit(True))
+    return hits.unionByName(pairs.join(links, key, "left_anti").withColumn("is_assigned", F.lit(False)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,8 +56,10 @@ def booking_list(
     status: str | None = None,
     journey_date: str | dt.date | None = None,
     ordered: bool = True,
+    more_of_route: Sequence[str] = (),
+    more_of_user: Sequence[str] = (),
 ) -> DataFrame:
-    """All bookings with passenger, route, bus and payment."""
+    """All bookings with passenger, route, bus and payment, and further columns on request."""
     bookings = filter_bookings(t.bookings, status, journey_date)
     payments = _of_bookings(t.payments, bookings, bool(journey_date)).select(
         "booking_id", "payment_status", "payment_method", F.col("amount").alias("payment_amount")
@@ -65,8 +67,8 @@ def booking_list(
     out = (
         with_payments(bookings, payments)
         .join(t.buses.select("bus_id", "bus_number"), "bus_id")
-        .join(t.routes.select(*ROUTE_NAMES), "route_id")
-        .join(t.users.select("user_id", "username", "email"), "user_id")
+        .join(t.routes.select(*ROUTE_NAMES, *more_of_route), "route_id")
+        .join(t.users.select("user_id", "username", "email", *more_of_user), "user_id")
     )
     return newest_first(out, "booking_id") if ordered else out
 
@@ -156,19 +158,19 @@ def route_buses(t, route_ids: DataFrame | Iterable[int] | None = None) -> DataFr
     return links.join(active_buses(t.buses), "bus_id")
 
 
-def recent_bookings(t, n: int = 5, keys_complete: bool = False) -> DataFrame:
+def recent_bookings(t, n: int = 5) -> DataFrame:
     """The newest ``n`` bookings with passenger, route and bus.
 
-    Where every booking is known to have its user, route and bus, the cut comes
-    first and the joins touch ``n`` rows. Otherwise bookings whose partner is
-    missing must drop out before the cut.
+    Bookings whose partner is missing drop out before the cut, by their keys alone; the
+    names are joined to the ``n`` rows that are left.
     """
-    bookings = t.bookings
-    if keys_complete:
-        bookings = newest_first(bookings, "booking_id").limit(n)
-    joined_up = (
-        bookings.join(t.buses.select("bus_id", "bus_number"), "bus_id")
+    whole = t.bookings
+    for table, key in ((t.buses, "bus_id"), (t.routes, "route_id"), (t.users, "user_id")):
+        whole = whole.join(table.select(key), key, "left_semi")
+    newest = newest_first(whole, "booking_id").limit(n)
+    named = (
+        newest.join(t.buses.select("bus_id", "bus_number"), "bus_id")
         .join(t.routes.select("route_id", "route_name"), "route_id")
         .join(t.users.select("user_id", "username"), "user_id")
     )
-    return newest_first(joined_up, "booking_id").limit(n)
+    return newest_first(named, "booking_id")

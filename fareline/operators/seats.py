@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from fareline.functions.display import joined
 from fareline.functions.fixed_values import STATUS_CANCELLED
+from fareline.functions.text import same_text
+from fareline.session import stored
 
 TRIP = ["bus_id", "route_id", "journey_date"]
 DAY = ["route_id", "journey_date"]
@@ -41,9 +43,9 @@ def live_holds(t, trips: DataFrame | None = None) -> DataFrame:
 
     With ``trips``, only bookings of a route and day that occurs among them.
     """
-    live = t.bookings.filter(F.col("status") != STATUS_CANCELLED)
+    live = t.bookings.filter(~same_text(F.col("status"), STATUS_CANCELLED))
     if trips is not None:
-        live = live.join(trips.select(*DAY).distinct(), DAY, "left_semi")
+        live = live.join(trips.select(*DAY), DAY, "left_semi")
     return t.booking_seat.join(live.select("booking_id", "route_id", "journey_date"), "booking_id")
 
 
@@ -111,7 +113,8 @@ def seat_map_json(t, trips: DataFrame, few_trips: bool = False) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(held)).alias("held"))
     )
     in_order = F.sort_array(F.collect_list(F.struct("seat_number", "seat_id")))
-    lists = t.seats.groupBy("bus_id").agg(in_order.alias("seats"))
+    # Stored, so that the trips of a bus with very many of them can be spread over tasks.
+    lists = stored(t.seats.groupBy("bus_id").agg(in_order.alias("seats")), "seat-lists")
     as_sent = F.transform(
         "seats",
         lambda s: F.struct(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fareline.functions import fixed_values as V
 from fareline.functions.text import is_empty, sanitize
-from fareline.session import enable_checkpoints
+from fareline.session import enable_checkpoints, stored
 
 REQUIRED = ["username", "first_name", "last_name", "email"]
 OPTIONAL = ["phone_number", "address"]
@@ -84,8 +84,9 @@ def admit_users(users: DataFrame, regs: DataFrame) -> Admission:
             "incomplete": incomplete,
         }
     )
-    names = _known(users, "username", keyed, "name_key").withColumn("name_known", F.lit(1))
-    mails = _known(users, "email", keyed, "mail_key").withColumn("mail_known", F.lit(1))
+    # Stored, so that forms under one name or address can be spread over tasks.
+    names = stored(_known(users, "username", keyed, "name_key"), "known").withColumn("name_known", F.lit(1))
+    mails = stored(_known(users, "email", keyed, "mail_key"), "known").withColumn("mail_known", F.lit(1))
     # Read by the rounds and again for the verdicts; the users are scanned only here.
     checked = keyed.join(names, "name_key", "left").join(mails, "mail_key", "left").checkpoint()
     open_rows = checked.filter(

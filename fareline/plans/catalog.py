@@ -49,17 +49,20 @@ def _(t):
 
 @_query("i1_load_tables")
 def _(t):
-    return snapshot_totals(t)
+    """Open stored tables under their declared schemas and total every column of them."""
+    return snapshot_totals(load_tables(t.spark, t.snapshot))
 
 
 def snapshot_totals(t) -> DataFrame:
-    """Rows and a key sum per table."""
+    """Rows per table and a sum of row hashes over all columns, whatever the order of rows."""
     out = None
     for name, schema in TABLES.items():
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in schema.names]
+        row = F.concat_ws("|", *texts)
         one = getattr(t, name).agg(
             F.lit(name).alias("table_name"),
             F.count(F.lit(1)).alias("n_rows"),
-            F.sum(schema.names[0]).cast("long").alias("key_sum"),
+            F.coalesce(F.sum(F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")), F.lit(0)).alias("row_sum"),
         )
         out = one if out is None else out.unionByName(one)
     return out
@@ -132,6 +135,12 @@ def _(t):
     return counters.search_routes(t.routes, t.bus_route, "", "0")
 
 
+@_query("p3_search_results")
+def _(t):
+    """All active routes as the result page shows them, with their bus numbers."""
+    return counters.search_results(t)
+
+
 @_query("p4_filter_bookings")
 def _(t):
     return filters.filter_bookings(t.bookings, STATUS, JOURNEY_DATE)
@@ -149,7 +158,7 @@ def _(t):
 
 @_query("p6_passengers")
 def _(t):
-    return filters.passengers(t.users).drop("address")
+    return filters.passengers(t.users)
 
 
 @_query("p7_assigned_buses")
@@ -222,7 +231,7 @@ def _(t):
 
 @_query("g2_user_stats")
 def _(t):
-    return counters.user_stats(t).drop("address")
+    return counters.user_stats(t)
 
 
 @_query("g3_user_counters")
@@ -259,8 +268,7 @@ def _(t):
 
 @_query("t1_recent")
 def _(t):
-    # The derived bookings have their user, route and bus by construction.
-    return listings.recent_bookings(t, keys_complete=True)
+    return listings.recent_bookings(t)
 
 
 @_query("t2_popular")
@@ -278,9 +286,12 @@ def _(t):
 
 @_query("f0_expressions")
 def _(t):
-    listed = listings.booking_list(t, ordered=False).join(
-        t.routes.select("route_id", "departure_time", "fare", "is_active"), "route_id"
-    ).join(t.users.select("user_id", "first_name", "last_name", "phone_number"), "user_id")
+    listed = listings.booking_list(
+        t,
+        ordered=False,
+        more_of_route=["departure_time", "fare", "is_active"],
+        more_of_user=["first_name", "last_name", "phone_number"],
+    )
     c = F.col
     return listed.select(
         "booking_id",
@@ -329,11 +340,25 @@ def _(t):
     return _add_buses(t).seats
 
 
-@_query("w2_edit_buses")
+@_query("w1_add_buses_rejects")
 def _(t):
+    return _add_buses(t).rejects
+
+
+def _edit_buses(t):
     return changes.edit_buses(t.buses, t.bus_edits)
 
 
+@_query("w2_edit_buses")
+def _(t):
+    return _edit_buses(t).buses
+
+
+@_query("w2_edit_buses_rejects")
+def _(t):
+    return _edit_buses(t).rejects
+
+
 def _delete_buses(t):
     return changes.delete_buses(t.buses, t.bookings, t.buses)
 
@@ -362,6 +387,11 @@ def _(t):
     return _add_routes(t).bus_route
 
 
+@_query("w4_add_routes_rejects")
+def _(t):
+    return _add_routes(t).rejects
+
+
 def _edit_routes(t):
     return changes.edit_routes(t.routes, t.bus_route, t.route_edits)
 
@@ -376,6 +406,11 @@ def _(t):
     return _edit_routes(t).bus_route
 
 
+@_query("w5_edit_routes_rejects")
+def _(t):
+    return _edit_routes(t).rejects
+
+
 def _delete_routes(t):
     return changes.delete_routes(t.routes, t.bookings, t.routes)
 
@@ -392,7 +427,7 @@ def _(t):
 
 @_query("w7_set_user_active")
 def _(t):
-    return changes.set_user_active(t.users, t.user_toggles).drop("address")
+    return changes.set_user_active(t.users, t.user_toggles)
 
 
 @_query("w8_apply_status")
@@ -446,7 +481,7 @@ def _(t):
 
 @_query("w11_admit_users")
 def _(t):
-    return signups.admit_users(t.users, t.registrations).users.drop("address")
+    return signups.admit_users(t.users, t.registrations).users
 
 
 @_query("w11_admit_users_rejects")
@@ -487,18 +522,20 @@ def _(t):
 
 
 def change_stream(t: DerivedTables) -> DataFrame:
+    """The change log as it arrives: a payment names its user, or nobody where the owner pays."""
     events = live.file_stream(t.spark, t.sf_dir, RAW["events"], "events.parquet")
-    return t.payers(t.changes_from(events, t.n_users))
+    named = F.when(F.col("change_id") % 4 == 0, F.col("user_id"))
+    return t.changes_from(events, t.n_orders).withColumn("user_id", named)
 
 
 @_query("st1_status")
 def _(t):
-    claims = live.run_available(live.status_claims(change_stream(t)), "st1", live.CLAIM)
+    claims = live.run_available(change_stream(t), live.STATUS_VIEW, "st1")
     return live.settled_status(claims, t.bookings)
 
 
 @_query("st2_payment_totals")
 def _(t):
     pays = change_stream(t).filter(F.col("kind") == "pay")
-    claims = live.run_available(live.payment_claims(pays), "st2", live.PAYMENT)
+    claims = live.run_available(pays, live.PAYMENT_VIEW, "st2")
     return live.settled_totals(claims, t.bookings)

@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from fareline.functions import fixed_values as V
 from fareline.plans.catalog import AS_OF, JOURNEY_DATE, STATUS
+from fareline.sources.schemas import TABLES
 
 _TABLES = """
-WITH n AS (SELECT (SELECT count(*) FROM part) AS n_route, (SELECT count(*) FROM supplier) AS n_bus,
-  (SELECT count(*) FROM customer) AS n_user),
+WITH RECURSIVE n AS (SELECT (SELECT count(*) FROM part) AS n_route, (SELECT count(*) FROM supplier) AS n_bus,
+  (SELECT count(*) FROM orders) AS n_order),
 users AS (
   SELECT c_custkey AS user_id, c_name AS username, c_mktsegment AS first_name,
     concat('N', CAST(c_nationkey AS VARCHAR)) AS last_name,
     concat(lower(replace(c_name, '#', '.')), '@example.com') AS email,
     CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN '' WHEN c_custkey % 5 = 2 THEN '0'
       ELSE concat('01', lpad(CAST(c_custkey AS VARCHAR), 9, '0')) END AS phone_number,
+    CASE WHEN c_custkey % 4 <> 0 THEN concat('Street ', CAST(c_custkey % 97 AS VARCHAR)) END AS address,
     CASE WHEN c_custkey % 50 = 0 THEN 1 ELSE 0 END AS is_admin,
     CASE WHEN c_acctbal >= 0 THEN 1 ELSE 0 END AS is_active,
     DATE '2020-01-01' + CAST(c_custkey % 1000 AS INT) AS created_at
@@ -36,7 +38,7 @@ seats AS (
     FROM buses)),
 routes AS (
   SELECT p_partkey AS route_id, concat(p_name, ' #', CAST(p_partkey AS VARCHAR)) AS route_name,
-    o.n_name AS origin_city, d.n_name AS destination_city, p_size * 10 AS distance,
+    CASE WHEN p_partkey % 31 = 0 THEN lower(o.n_name) ELSE o.n_name END AS origin_city, d.n_name AS destination_city, p_size * 10 AS distance,
     CAST(p_retailprice AS DECIMAL(10,2)) AS fare,
     CASE WHEN p_size % 7 = 0 THEN NULL
       ELSE concat(lpad(CAST(1 + p_size % 12 AS VARCHAR), 2, '0'), ':30:00') END AS travel_time,
@@ -50,16 +52,19 @@ bus_route AS (
   SELECT route_id % n_bus AS bus_id, route_id FROM routes, n
   UNION
   SELECT (route_id + 1) % n_bus, route_id FROM routes, n WHERE route_id % 10 <> 0),
+drawn AS (
+  SELECT orders.*, n_bus, CASE WHEN r % 40 = 7 THEN (r + 1) % n_route ELSE r END AS route_id,
+    CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END AS status
+  FROM (SELECT o_orderkey AS k, (o_orderkey * 13 + o_custkey) % n_route AS r FROM orders, n) x
+    JOIN orders ON o_orderkey = k, n),
 trip AS (
-  SELECT * FROM (
-    SELECT o_orderkey AS booking_id, o_custkey AS user_id, (o_orderkey * 13 + o_custkey) % n_route AS route_id,
-      ((o_orderkey * 13 + o_custkey) % n_route + o_orderkey % 2) % n_bus AS bus_id,
-      CAST(o_orderdate AS DATE) AS booking_date,
-      DATE '2024-01-01' + CAST(o_orderkey % 7 AS INT) AS journey_date,
-      CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END AS status,
-      o_orderpriority
-    FROM orders, n)
-  WHERE route_id % 40 <> 7 AND bus_id % 10 <> 9),
+  SELECT o_orderkey AS booking_id, o_custkey AS user_id, route_id,
+    CASE WHEN (route_id + o_orderkey % 2) % n_bus % 10 = 9 THEN ((route_id + o_orderkey % 2) % n_bus + 1) % n_bus
+      ELSE (route_id + o_orderkey % 2) % n_bus END AS bus_id,
+    CAST(o_orderdate AS DATE) AS booking_date,
+    DATE '2024-01-01' + CAST(o_orderkey % 7 AS INT) AS journey_date,
+    CASE WHEN o_orderkey % 29 = 0 THEN upper(status) ELSE status END AS status, o_orderpriority
+  FROM drawn),
 booking_seat AS (
   SELECT DISTINCT t.booking_id, t.bus_id * 100 + 1 + (l_orderkey * 7 + l_linenumber * 3) % b.capacity AS seat_id
   FROM lineitem JOIN trip t ON l_orderkey = t.booking_id JOIN buses b ON b.bus_id = t.bus_id),
@@ -83,9 +88,10 @@ payments AS (
     'completed' AS payment_status
   FROM bookings b JOIN trip t ON t.booking_id = b.booking_id
     JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR b.booking_id % 23 = 0
-  WHERE (b.status = 'confirmed' AND b.booking_id % 11 <> 0) OR (b.status = 'cancelled' AND b.booking_id % 4 = 0)),
+  WHERE (lower(b.status) = 'confirmed' AND b.booking_id % 11 <> 0)
+    OR (lower(b.status) = 'cancelled' AND b.booking_id % 4 = 0)),
 booking_changes AS (
-  SELECT event_id AS change_id, ts, (event_id * 7) % n_user AS booking_id,
+  SELECT event_id AS change_id, ts, (event_id * 7) % n_order AS booking_id,
     CASE event_type WHEN 'purchase' THEN 'pay' ELSE 'set_status' END AS kind,
     CASE event_type WHEN 'click' THEN 'pending' WHEN 'signup' THEN 'confirmed' WHEN 'error' THEN 'cancelled'
       ELSE 'confirmed' END AS new_status,
@@ -118,22 +124,34 @@ registrations AS (
   SELECT event_id AS reg_id, ts,
     CASE WHEN event_id % 3 = 0 THEN concat('Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0'))
       WHEN event_id % 3 = 1 THEN concat('new', CAST(event_id % 50 AS VARCHAR))
-      ELSE concat('u', CAST(event_id AS VARCHAR)) END AS username,
+      ELSE concat('u', CAST(event_id // 2 AS VARCHAR)) END AS username,
     CASE WHEN event_id % 10 = 0 THEN '0' ELSE 'First' END AS first_name,
     CASE WHEN event_id % 13 = 0 THEN '' ELSE 'Last' END AS last_name,
     CASE WHEN event_id % 8 = 0 THEN concat('customer.', lpad(CAST(user_id AS VARCHAR), 9, '0'), '@example.com')
-      ELSE concat('e', CAST(event_id AS VARCHAR), '@example.com') END AS email
+      ELSE concat('E', CAST(event_id % 701 AS VARCHAR), '@example.com') END AS email,
+    CASE WHEN event_id % 7 <> 0 THEN concat('01', CAST(event_id AS VARCHAR)) ELSE '' END AS phone_number,
+    CASE WHEN event_id % 5 <> 0 THEN concat('Street', CAST(event_id % 97 AS VARCHAR)) ELSE '' END AS address
   FROM events WHERE event_type = 'signup'),
 checked_regs AS (
   SELECT r.*, (first_name IN ('', '0') OR last_name IN ('', '0')) AS incomplete,
     EXISTS (SELECT 1 FROM users u WHERE lower(u.username) = lower(r.username)) AS name_known,
     EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(r.email)) AS mail_known
   FROM registrations r),
--- In these sign-ups an address is either a known user's or used once, so that only
--- the user name can clash within the batch and one ranking settles who gets in.
+-- One by one in order of arrival: a sign-up gets in if no admitted one has its name or address.
+in_turn AS (
+  SELECT *, row_number() OVER (ORDER BY ts, reg_id) AS turn FROM checked_regs
+  WHERE NOT incomplete AND NOT name_known AND NOT mail_known),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails, false AS fits
+  UNION ALL
+  SELECT turn, CASE WHEN fits THEN list_append(names, name) ELSE names END,
+    CASE WHEN fits THEN list_append(mails, mail) ELSE mails END, fits
+  FROM (
+    SELECT i.turn, f.names, f.mails, lower(i.username) AS name, lower(i.email) AS mail,
+      NOT list_contains(f.names, lower(i.username)) AND NOT list_contains(f.mails, lower(i.email)) AS fits
+    FROM fold f JOIN in_turn i ON i.turn = f.turn + 1)),
 admitted_regs AS (
-  SELECT * FROM checked_regs WHERE NOT incomplete AND NOT name_known AND NOT mail_known
-  QUALIFY row_number() OVER (PARTITION BY lower(username) ORDER BY ts, reg_id) = 1),
+  SELECT i.* FROM in_turn i JOIN fold f ON f.turn = i.turn WHERE f.fits),
 judged_regs AS (
   SELECT c.*, (c.name_known OR EXISTS (SELECT 1 FROM admitted_regs a
       WHERE lower(a.username) = lower(c.username) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS name_taken,
@@ -141,31 +159,28 @@ judged_regs AS (
       WHERE lower(a.email) = lower(c.email) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS mail_taken
   FROM checked_regs c),
 route_edits AS (
-  SELECT route_id, arg_max(fare, (ts, event_id)) AS fare, arg_max(is_active, (ts, event_id)) AS is_active,
-    arg_max(bus_id, (ts, event_id)) AS bus_id
-  FROM (SELECT event_id, ts, event_id % n_route AS route_id,
-      CAST(CAST(value AS DECIMAL(10,2)) + 25 AS DECIMAL(10,2)) AS fare,
-      CASE WHEN event_id % 18 <> 0 THEN 1 ELSE 0 END AS is_active, (event_id + 2) % n_bus AS bus_id
-    FROM events, n WHERE event_type = 'click')
-  GROUP BY route_id),
+  SELECT event_id, event_id % n_route AS route_id, CAST(CAST(value AS DECIMAL(10,2)) + 25 AS DECIMAL(10,2)) AS fare,
+    CASE WHEN event_id % 18 <> 0 THEN 1 ELSE 0 END AS is_active, (event_id + 2) % n_bus AS bus_id
+  FROM events, n WHERE event_type = 'click' AND event_id % 43 <> 0 AND event_id % 41 <> 0
+  QUALIFY row_number() OVER (PARTITION BY event_id % n_route ORDER BY ts DESC, event_id DESC) = 1),
 bus_edits AS (
   SELECT event_id % n_bus AS bus_id,
     arg_max(event_id, (ts, event_id)) AS last_id, arg_max(value, (ts, event_id)) AS last_value
-  FROM events, n WHERE event_type = 'error' GROUP BY 1),
+  FROM events, n WHERE event_type = 'error' AND event_id % 19 <> 0 GROUP BY 1),
 new_buses AS (
   SELECT s_suppkey AS request_id, concat(s_name, '-N') AS bus_number, concat('LP-N', CAST(s_suppkey AS VARCHAR)) AS license_plate,
     CASE WHEN s_suppkey % 25 = 0 THEN 0 ELSE CAST(10 + s_suppkey % 51 AS INT) END AS capacity
-  FROM supplier),
+  FROM supplier WHERE s_suppkey % 25 = 0 OR s_suppkey % 7 <> 3),
 new_routes AS (
   SELECT p_partkey AS request_id, (SELECT max(route_id) FROM routes) + 1 + p_partkey AS route_id,
     concat(p_name, ' &quot;season&quot;') AS route_name, concat('From ', p_brand) AS origin_city,
     concat('To ', p_brand) AS destination_city, p_size * 10 AS distance,
     CAST(p_size + 0.75 AS DECIMAL(10,2)) AS fare, p_size
-  FROM part),
+  FROM part WHERE p_partkey % 33 <> 5),
 trips AS (SELECT DISTINCT bus_id, route_id, journey_date FROM bookings),
 holds AS (
   SELECT bs.seat_id, b.route_id, b.journey_date, b.booking_id
-  FROM booking_seat bs JOIN bookings b ON b.booking_id = bs.booking_id WHERE b.status <> 'cancelled'),
+  FROM booking_seat bs JOIN bookings b ON b.booking_id = bs.booking_id WHERE lower(b.status) <> 'cancelled'),
 seat_map AS (
   SELECT t.bus_id, t.route_id, t.journey_date, s.seat_id, s.seat_number, h.seat_id IS NOT NULL AS is_booked
   FROM trips t JOIN seats s ON s.bus_id = t.bus_id
@@ -194,19 +209,17 @@ _ROUTE = (
     "r.route_name, r.origin_city, r.destination_city, r.distance, r.fare, r.travel_time, r.departure_time,"
     " r.is_active, r.created_at AS route_created_at"
 )
-_TOTALS = " UNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({key}) AS BIGINT) AS key_sum FROM {name}"
-    for name, key in [
-        ("users", "user_id"),
-        ("buses", "bus_id"),
-        ("seats", "seat_id"),
-        ("routes", "route_id"),
-        ("bus_route", "bus_id"),
-        ("bookings", "booking_id"),
-        ("booking_seat", "booking_id"),
-        ("payments", "payment_id"),
-    ]
-)
+
+
+def _totals(name: str, columns: list[str]) -> str:
+    row = ", '|', ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+    return (
+        f"SELECT '{name}' AS table_name, count(*) AS n_rows,"
+        f" CAST(sum(CAST(concat('0x', substr(md5(concat({row})), 1, 8)) AS BIGINT)) AS BIGINT) AS row_sum FROM {name}"
+    )
+
+
+_TOTALS = " UNION ALL ".join(_totals(name, schema.names) for name, schema in TABLES.items())
 
 
 def _with_status(source: str) -> str:
@@ -251,7 +264,7 @@ _QUERIES: dict[str, str] = {
       FROM searched s ORDER BY departure_time, route_id""",
     "p3_search_routes_open": "SELECT * FROM with_buses ORDER BY departure_time, route_id",
     "p4_filter_bookings": f"""
-      SELECT * FROM bookings WHERE status = '{STATUS}' AND journey_date = DATE '{JOURNEY_DATE}'""",
+      SELECT * FROM bookings WHERE lower(status) = '{STATUS}' AND journey_date = DATE '{JOURNEY_DATE}'""",
     "p5_lookup": "SELECT * FROM buses WHERE bus_id IN (SELECT bus_id FROM bookings)",
     "p5_lookup_routes": "SELECT * FROM routes WHERE route_id IN (SELECT route_id FROM bookings)",
     "p6_passengers": "SELECT * FROM users WHERE is_admin = 0",
@@ -267,7 +280,7 @@ _QUERIES: dict[str, str] = {
         WHERE p.booking_id = b.booking_id AND p.user_id = b.user_id)""",
     "j1_booking_list": "SELECT * FROM booking_list",
     "j1_booking_list_filtered": f"""
-      SELECT * FROM booking_list WHERE status = '{STATUS}' AND journey_date = DATE '{JOURNEY_DATE}'""",
+      SELECT * FROM booking_list WHERE lower(status) = '{STATUS}' AND journey_date = DATE '{JOURNEY_DATE}'""",
     "j2_user_bookings": """
       SELECT b.*, r.route_name, r.origin_city, r.destination_city, r.departure_time, bus.bus_number, bus.bus_model,
         p.payment_status, p.payment_method, p.transaction_id
@@ -297,12 +310,12 @@ _QUERIES: dict[str, str] = {
       SELECT (SELECT count(*) FROM users WHERE is_admin = 0) AS total_users,
         (SELECT count(*) FROM buses) AS total_buses, (SELECT count(*) FROM routes) AS total_routes,
         (SELECT count(*) FROM bookings) AS total_bookings,
-        (SELECT count(*) FROM bookings WHERE status = 'pending') AS pending_bookings,
-        (SELECT count(*) FROM bookings WHERE status = 'confirmed') AS confirmed_bookings,
+        (SELECT count(*) FROM bookings WHERE lower(status) = 'pending') AS pending_bookings,
+        (SELECT count(*) FROM bookings WHERE lower(status) = 'confirmed') AS confirmed_bookings,
         (SELECT CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) FROM payments) AS total_revenue""",
     "g2_user_stats": """
       SELECT u.*, (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id) AS total_bookings,
-        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND b.status = 'confirmed') AS confirmed_bookings,
+        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND lower(b.status) = 'confirmed') AS confirmed_bookings,
         CAST((SELECT coalesce(sum(total_amount), 0) FROM bookings b WHERE b.user_id = u.user_id) AS DECIMAL(18,2))
           AS total_spent
       FROM users u WHERE is_admin = 0 ORDER BY created_at DESC, user_id DESC""",
@@ -313,8 +326,8 @@ _QUERIES: dict[str, str] = {
         (SELECT count(*) FROM bookings) AS all_bookings""",
     "g4_user_booking_stats": """
       SELECT u.user_id, coalesce(l.list_rows, 0) AS list_rows,
-        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND b.status = 'confirmed') AS confirmed,
-        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND b.status = 'pending') AS pending,
+        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND lower(b.status) = 'confirmed') AS confirmed,
+        (SELECT count(*) FROM bookings b WHERE b.user_id = u.user_id AND lower(b.status) = 'pending') AS pending,
         CAST((SELECT coalesce(sum(total_amount), 0) FROM bookings b WHERE b.user_id = u.user_id) AS DECIMAL(18,2))
           AS total_spent
       FROM users u LEFT JOIN (
@@ -337,7 +350,8 @@ _QUERIES: dict[str, str] = {
         JOIN buses bus ON bus.bus_id = b.bus_id ORDER BY b.created_at DESC, b.booking_id DESC LIMIT 5""",
     "t2_popular": "SELECT * FROM routes WHERE is_active = 1 ORDER BY route_id LIMIT 5",
     "s1_cities": """
-      SELECT DISTINCT origin_city AS city FROM routes UNION SELECT DISTINCT destination_city FROM routes ORDER BY city""",
+      SELECT min(city) AS city FROM (SELECT origin_city AS city FROM routes UNION ALL SELECT destination_city FROM routes)
+      GROUP BY lower(city) ORDER BY city""",
     "f0_expressions": f"""
       SELECT l.booking_id, l.payment_amount, strftime(l.journey_date, '%d %b %Y') AS journey_text,
         strftime(CAST('2000-01-01 ' || r.departure_time AS TIMESTAMP), '%I:%M %p') AS departure_text,
@@ -358,7 +372,7 @@ _QUERIES: dict[str, str] = {
         CASE WHEN l.passenger_names IS NULL THEN ''
           ELSE concat('&quot;A&amp;B&#039;', l.passenger_names) END AS clean,
         l.booking_id AS whole, CAST(r.fare AS DOUBLE) AS number,
-        CAST(r.fare * l.seat_count AS DECIMAL(12,2)) AS fare_total,
+        CAST(r.fare * l.seat_count AS DECIMAL(20,2)) AS fare_total,
         l.journey_date >= DATE '{JOURNEY_DATE}' AS upcoming,
         concat('TXN', strftime(l.booking_date, '%Y%m%d%H%M%S'), CAST(l.booking_id % 9000 + 1000 AS VARCHAR))
           AS transaction_code,
@@ -394,8 +408,33 @@ _QUERIES: dict[str, str] = {
       UNION ALL SELECT request_id % n_bus, route_id FROM new_routes, n WHERE p_size > 5
       UNION ALL SELECT (request_id + 1) % n_bus, route_id FROM new_routes, n WHERE p_size > 5""",
     "w5_edit_routes": """
-      SELECT r.* EXCLUDE (fare, is_active), coalesce(e.fare, r.fare) AS fare, coalesce(e.is_active, r.is_active) AS is_active
+      SELECT r.route_id, r.created_at, coalesce(e.fare, r.fare) AS fare, coalesce(e.is_active, r.is_active) AS is_active,
+        CASE WHEN e.route_id IS NULL THEN r.route_name ELSE concat('Line ', CAST(e.event_id AS VARCHAR)) END AS route_name,
+        CASE WHEN e.route_id IS NULL THEN r.origin_city
+          ELSE concat('A &amp; ', CAST(e.event_id % 9 AS VARCHAR)) END AS origin_city,
+        CASE WHEN e.route_id IS NULL THEN r.destination_city
+          ELSE concat('B', CAST(e.event_id % 8 AS VARCHAR)) END AS destination_city,
+        CASE WHEN e.route_id IS NULL THEN r.distance ELSE CAST(e.event_id % 900 AS INT) END AS distance,
+        CASE WHEN e.route_id IS NULL THEN r.travel_time WHEN e.event_id % 6 <> 0 THEN '02:45:00' END AS travel_time,
+        CASE WHEN e.route_id IS NULL THEN r.departure_time
+          ELSE concat(lpad(CAST(e.event_id % 24 AS VARCHAR), 2, '0'), ':20:00') END AS departure_time
       FROM routes r LEFT JOIN route_edits e ON e.route_id = r.route_id""",
+    "w1_add_buses_rejects": f"""
+      SELECT s_suppkey AS request_id, '{V.REASON_CAPACITY}' AS reason FROM supplier
+      WHERE s_suppkey % 25 <> 0 AND s_suppkey % 7 = 3""",
+    "w2_edit_buses_rejects": f"""
+      SELECT event_id AS change_id, '{V.REASON_CAPACITY}' AS reason FROM events
+      WHERE event_type = 'error' AND event_id % 19 = 0""",
+    "w4_add_routes_rejects": f"""
+      SELECT p_partkey AS request_id, '{V.REASON_FARE}' AS reason FROM part WHERE p_partkey % 33 = 5""",
+    "w5_edit_routes_rejects": f"""
+      SELECT event_id AS change_id,
+        CASE WHEN event_id % 43 = 0 THEN '{V.REASON_DISTANCE}' ELSE '{V.REASON_FARE}' END AS reason
+      FROM events WHERE event_type = 'click' AND (event_id % 43 = 0 OR event_id % 41 = 0)""",
+    "p3_search_results": """
+      SELECT w.*, coalesce((SELECT string_agg(bus_number, ', ' ORDER BY b.bus_id) FROM bus_route br
+        JOIN buses b ON b.bus_id = br.bus_id WHERE br.route_id = w.route_id AND b.is_active = 1), '') AS bus_numbers
+      FROM with_buses w ORDER BY departure_time, route_id""",
     "w5_edit_routes_assignments": """
       SELECT bus_id, route_id FROM bus_route WHERE route_id NOT IN (SELECT route_id FROM route_edits)
       UNION ALL SELECT bus_id, route_id FROM route_edits""",
@@ -437,8 +476,8 @@ _QUERIES: dict[str, str] = {
     "w10_apply_changes": _with_status("effective"),
     "w11_admit_users": """
       SELECT * FROM users UNION ALL
-      SELECT (SELECT max(user_id) FROM users) + 1 + reg_id, username, first_name, last_name, email, NULL, 0, 1,
-        CAST(ts AS DATE) FROM admitted_regs""",
+      SELECT (SELECT max(user_id) FROM users) + 1 + reg_id, username, first_name, last_name, email, phone_number, address,
+        0, 1, CAST(ts AS DATE) FROM admitted_regs""",
     "w11_admit_users_rejects": f"""
       SELECT reg_id, concat_ws('; ', CASE WHEN incomplete THEN '{V.REASON_REQUIRED}' END,
         CASE WHEN name_taken THEN '{V.REASON_USERNAME}' END, CASE WHEN mail_taken THEN '{V.REASON_EMAIL}' END) AS reasons
@@ -451,15 +490,15 @@ _QUERIES: dict[str, str] = {
       FROM buses b LEFT JOIN seats s ON s.bus_id = b.bus_id GROUP BY ALL HAVING count(s.seat_id) <> b.capacity""",
     "q3_fare": """
       SELECT b.booking_id, b.route_id, b.seat_count, b.total_amount, r.fare,
-        CAST(r.fare * b.seat_count AS DECIMAL(12,2)) AS expected_amount
+        CAST(r.fare * b.seat_count AS DECIMAL(20,2)) AS expected_amount
       FROM bookings b JOIN routes r ON r.route_id = b.route_id WHERE b.total_amount <> r.fare * b.seat_count""",
     "q4_payments": """
       WITH c AS (SELECT b.booking_id, b.status, b.total_amount, coalesce(p.n, 0) AS n_payments,
           CAST(coalesce(p.paid, 0) AS DECIMAL(18,2)) AS paid
         FROM bookings b LEFT JOIN (SELECT booking_id, count(*) AS n, sum(amount) AS paid FROM payments
           GROUP BY booking_id) p ON p.booking_id = b.booking_id)
-      SELECT *, 'confirmed unpaid' AS finding FROM c WHERE status = 'confirmed' AND n_payments = 0
-      UNION ALL SELECT *, 'cancelled paid' FROM c WHERE status = 'cancelled' AND n_payments > 0
+      SELECT *, 'confirmed unpaid' AS finding FROM c WHERE lower(status) = 'confirmed' AND n_payments = 0
+      UNION ALL SELECT *, 'cancelled paid' FROM c WHERE lower(status) = 'cancelled' AND n_payments > 0
       UNION ALL SELECT *, 'paid more than once' FROM c WHERE n_payments > 1""",
     "q5_unassigned_bus": """
       SELECT booking_id, bus_id, route_id, status FROM bookings b WHERE NOT EXISTS (

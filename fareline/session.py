@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# application -> work folders handed out
+_HANDED_OUT: dict[str, list[str]] = {}
 
 
 def local_session(cores: int = 8, app: str = "fareline") -> SparkSession:
@@ -19,6 +22,7 @@ def local_session(cores: int = 8, app: str = "fareline") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,7 +43,47 @@ def _shared_root(spark: SparkSession) -> str:
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared checkpoint folder of this session."""
-    return f"{_shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    folder = f"{_shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to a work folder and read it back under its own schema.
+
+    Later joins then see its true size, adaptive execution can cut the other side, and
+    several results can share it.
+    """
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, none where it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work folders of this application; frames that read them are of no use then."""
+    for folder in _HANDED_OUT.pop(spark.sparkContext.applicationId, []):
+        delete_folder(spark, folder)
+
+
+def finish(spark: SparkSession) -> None:
+    """Delete the work folders and the reliable checkpoints of the application and stop it."""
+    clear_work(spark)
+    checkpoints = spark.sparkContext.getCheckpointDir()  # a folder of this application's own
+    if checkpoints:
+        delete_folder(spark, checkpoints)
+    spark.stop()
 
 
 def enable_checkpoints(spark: SparkSession) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from fareline.session import work_folder
 from fareline.sources.schemas import PARTITIONING, RAW, TABLES
-from fareline.sources.tables import write_table
+from fareline.sources.tables import write_table, write_tables
 
 # (application, source folder, table) -> folder the table was written to
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -62,8 +62,13 @@ class DerivedTables:
         return _row_count(self.raw("supplier"))
 
     @cached_property
-    def n_users(self) -> Column:
-        return _row_count(self.raw("customer"))
+    def n_orders(self) -> Column:
+        return _row_count(self.raw("orders"))
+
+    @staticmethod
+    def _some_lower(key: Column, city: Column) -> Column:
+        """A few cities in another spelling."""
+        return F.when(key % 31 == 0, F.lower(city)).otherwise(city)
 
     def _written(self, name: str, build, schema: StructType) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -73,6 +78,16 @@ class DerivedTables:
             _WRITTEN[key] = folder
         return self.spark.read.schema(schema).parquet(_WRITTEN[key])
 
+    @property
+    def snapshot(self) -> str:
+        """The folder of a snapshot of all tables, written once per application."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, "snapshot")
+        if key not in _WRITTEN:
+            folder = work_folder(self.spark, "snapshot")
+            write_tables(self, folder)
+            _WRITTEN[key] = folder
+        return _WRITTEN[key]
+
     # ---- stored tables -------------------------------------------------
 
     @cached_property
@@ -89,7 +104,7 @@ class DerivedTables:
             .when(key % 5 == 2, "0")
             .otherwise(F.concat(F.lit("01"), F.lpad(_text(key), 9, "0")))
             .alias("phone_number"),
-            F.lit(None).cast("string").alias("address"),
+            F.when(key % 4 != 0, F.concat(F.lit("Street "), _text(key % 97))).alias("address"),
             _flag(key % 50 == 0).alias("is_admin"),
             _flag(F.col("c_acctbal") >= 0).alias("is_active"),
             _days_after("2020-01-01", key % 1000).alias("created_at"),
@@ -134,7 +149,7 @@ class DerivedTables:
         return self.raw("part").select(
             key.alias("route_id"),
             F.concat("p_name", F.lit(" #"), _text(key)).alias("route_name"),
-            F.element_at(city, (key % 25).cast("int")).alias("origin_city"),
+            self._some_lower(key, F.element_at(city, (key % 25).cast("int"))).alias("origin_city"),
             F.element_at(city, ((key + 1 + size % 24) % 25).cast("int")).alias("destination_city"),
             (size * 10).alias("distance"),
             F.col("p_retailprice").cast("decimal(10,2)").alias("fare"),
@@ -165,23 +180,27 @@ class DerivedTables:
     @cached_property
     def trip(self) -> DataFrame:
         """An order as a booking header, before seats and price."""
+        # No trip is on a route with id 7 modulo 40 or a bus with id 9 modulo 10: those orders
+        # move to the next one, so that some routes and buses have no booking.
         key = F.col("o_orderkey")
-        route = (key * 13 + F.col("o_custkey")) % self.n_routes
-        headers = self.raw("orders").select(
+        drawn = (key * 13 + F.col("o_custkey")) % self.n_routes
+        route = F.when(drawn % 40 == 7, (drawn + 1) % self.n_routes).otherwise(drawn)
+        bus = (route + key % 2) % self.n_buses
+        status = (
+            F.when(F.col("o_orderstatus") == "F", "confirmed")
+            .when(F.col("o_orderstatus") == "O", "pending")
+            .otherwise("cancelled")
+        )
+        return self.raw("orders").select(
             key.alias("booking_id"),
             F.col("o_custkey").alias("user_id"),
             route.alias("route_id"),
-            ((route + key % 2) % self.n_buses).alias("bus_id"),
+            F.when(bus % 10 == 9, (bus + 1) % self.n_buses).otherwise(bus).alias("bus_id"),
             F.to_date("o_orderdate").alias("booking_date"),
             _days_after("2024-01-01", key % 7).alias("journey_date"),
-            F.when(F.col("o_orderstatus") == "F", "confirmed")
-            .when(F.col("o_orderstatus") == "O", "pending")
-            .otherwise("cancelled")
-            .alias("status"),
+            F.when(key % 29 == 0, F.upper(status)).otherwise(status).alias("status"),
             "o_orderpriority",
         )
-        # Shapes the data (routes and buses nobody booked); see FIXTURES.md.
-        return headers.filter((F.col("route_id") % 40 != 7) & (F.col("bus_id") % 10 != 9))
 
     @cached_property
     def booking_seat(self) -> DataFrame:
@@ -238,7 +257,7 @@ class DerivedTables:
 
     @cached_property
     def payments(self) -> DataFrame:
-        key, status = F.col("booking_id"), F.col("status")
+        key, status = F.col("booking_id"), F.lower("status")
         paid = ((status == "confirmed") & (key % 11 != 0)) | (
             (status == "cancelled") & (key % 4 == 0)
         )
@@ -270,13 +289,13 @@ class DerivedTables:
     def events(self) -> DataFrame:
         return self.raw("events")
 
-    def changes_from(self, events: DataFrame, n_users: Column) -> DataFrame:
+    def changes_from(self, events: DataFrame, n_bookings: Column) -> DataFrame:
         """Status and payment changes; ``events`` may be a batch or a stream."""
         kind = F.col("event_type")
         return events.filter(kind != "view").select(
             F.col("event_id").alias("change_id"),
             "ts",
-            ((F.col("event_id") * 7) % n_users).alias("booking_id"),
+            ((F.col("event_id") * 7) % n_bookings).alias("booking_id"),
             F.when(kind == "purchase", "pay").otherwise("set_status").alias("kind"),
             F.when(kind == "click", "pending")
             .when(kind == "error", "cancelled")
@@ -290,7 +309,7 @@ class DerivedTables:
 
     @cached_property
     def booking_changes(self) -> DataFrame:
-        return self.changes_from(self.events, self.n_users)
+        return self.changes_from(self.events, self.n_orders)
 
     def payers(self, changes: DataFrame) -> DataFrame:
         """Name the paying user: mostly the owner, in every fourth change the event's user."""
@@ -340,13 +359,15 @@ class DerivedTables:
             "ts",
             F.when(key % 3 == 0, F.concat(F.lit("Customer#"), user))
             .when(key % 3 == 1, F.concat(F.lit("new"), _text(key % 50)))
-            .otherwise(F.concat(F.lit(" <b>u"), _text(key), F.lit("</b> ")))
+            .otherwise(F.concat(F.lit(" <b>u"), _text(F.floor(key / 2)), F.lit("</b> ")))
             .alias("username"),
             F.when(key % 10 == 0, "0").otherwise("First").alias("first_name"),
             F.when(key % 13 == 0, "").otherwise("Last").alias("last_name"),
             F.when(key % 8 == 0, F.concat(F.lit("customer."), user, F.lit("@example.com")))
-            .otherwise(F.concat(F.lit("e"), _text(key), F.lit("@example.com")))
+            .otherwise(F.concat(F.lit("E"), _text(key % 701), F.lit("@example.com")))
             .alias("email"),
+            F.when(key % 7 != 0, F.concat(F.lit("01"), _text(key))).alias("phone_number"),
+            F.when(key % 5 != 0, F.concat(F.lit("<p>Street"), _text(key % 97))).alias("address"),
         )
 
     @cached_property
@@ -357,7 +378,15 @@ class DerivedTables:
             key.alias("change_id"),
             "ts",
             (key % self.n_routes).alias("route_id"),
-            (F.col("value").cast("decimal(10,2)") + 25).cast("decimal(10,2)").alias("fare"),
+            F.concat(F.lit(" <u>Line "), _text(key)).alias("route_name"),
+            F.concat(F.lit("A & "), _text(key % 9)).alias("origin_city"),
+            F.concat(F.lit("B"), _text(key % 8)).alias("destination_city"),
+            F.when(key % 43 == 0, "3000000000 km").otherwise(F.concat(_text(key % 900), F.lit(" km"))).alias("distance"),
+            F.when(key % 41 == 0, "1e9")
+            .otherwise(_text((F.col("value").cast("decimal(10,2)") + 25).cast("decimal(10,2)")))
+            .alias("fare"),
+            F.when(key % 6 != 0, F.lit("02:45:00")).alias("travel_time"),
+            F.concat(F.lpad(_text(key % 24), 2, "0"), F.lit(":20:00")).alias("departure_time"),
             F.when(key % 18 != 0, 1).alias("is_active"),
             F.array((key + 2) % self.n_buses).alias("buses"),
         )
@@ -374,7 +403,9 @@ class DerivedTables:
             F.concat(F.lit(" <b>Bus</b> "), _text(key)).alias("bus_number"),
             F.lit("Model & Co").alias("bus_model"),
             F.concat(F.lit("LP-E"), _text(key)).alias("license_plate"),
-            F.concat(_text(10 + key % 51), F.lit(" seats")).alias("capacity"),
+            F.when(key % 19 == 0, "99999999999 seats")
+            .otherwise(F.concat(_text(10 + key % 51), F.lit(" seats")))
+            .alias("capacity"),
             F.when(F.col("value") >= 10, 1).alias("is_active"),
         )
 
@@ -388,6 +419,7 @@ class DerivedTables:
             F.lit("Model & Co").alias("bus_model"),
             F.concat(F.lit("LP-N"), _text(key)).alias("license_plate"),
             F.when(key % 25 == 0, "none")
+            .when(key % 7 == 3, "99999999999 seats")
             .otherwise(F.concat(_text(10 + key % 51), F.lit(" seats")))
             .alias("capacity"),
         )
@@ -402,7 +434,7 @@ class DerivedTables:
             F.concat(F.lit("From "), F.col("p_brand")).alias("origin_city"),
             F.concat(F.lit("To "), F.col("p_brand")).alias("destination_city"),
             F.concat(_text(F.col("p_size") * 10), F.lit(" km")).alias("distance"),
-            F.concat(_text(F.col("p_size")), F.lit(".75")).alias("fare"),
+            F.when(key % 33 == 5, "1e9").otherwise(F.concat(_text(F.col("p_size")), F.lit(".75"))).alias("fare"),
             F.lit("01:30:00").alias("travel_time"),
             F.lit("06:15:00").alias("departure_time"),
             F.when(

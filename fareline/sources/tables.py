@@ -58,7 +58,7 @@ def save_tables(tables, database: str, buckets: int) -> None:
     The tables keyed by booking are cut into the same buckets, so lists, details,
     seat maps and payment reports join them without a shuffle. A bucket is read by
     one task and cannot be split: keep plain snapshots where single bookings hold a
-    large share of the seats or payments.
+    large share of the seats or payments, and where dates should prune files.
     """
     for name, schema in TABLES.items():
         df = getattr(tables, name).select(*schema.names)
@@ -67,7 +67,8 @@ def save_tables(tables, database: str, buckets: int) -> None:
             writer = df.write
         else:
             writer = df.repartition(buckets, F.col(key)).write.bucketBy(buckets, key).sortBy(key)
-        if name in PARTITIONING:
+        # Not by day as well: every bucket would hold a file of every day.
+        if key is None and name in PARTITIONING:
             writer = writer.partitionBy(*PARTITIONING[name])
         writer.format("parquet").mode("errorifexists").saveAsTable(f"{database}.{name}")
 

@@ -1,26 +1,30 @@
 """Live views kept by Structured Streaming: booking status and payment totals.
 
-What a stream keeps is what was asked for, per booking and asking user. Whether that
-user owns the booking, and what the booking costs, is looked up when the view is
-read, so that no micro-batch reads the bookings.
-
-A view lives in one folder: its checkpoint, and one sub-folder of changed rows per
-micro-batch. A repeated batch overwrites itself, readers take the newest row per
-key, and nothing passes through the driver.
+What a view keeps is what was asked for, per booking and asking user. Whether that user
+owns the booking, and what the booking costs, is looked up when the view is read, so that
+no micro-batch reads the bookings.
+
+Both views merge: the newest request of two parts is the newer of their newest, counts add
+up. So a micro-batch is aggregated by itself and written to a folder of its own, without
+any streaming state, and the parts are folded when the view is read. A repeated batch
+overwrites itself. From time to time the parts are merged into one snapshot, named by the
+last batch it holds; readers take the newest snapshot and later batches, so parts that are
+still there are not counted twice, and the number of folders stays bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from fareline.functions.fixed_values import STATUS_CONFIRMED
 from fareline.operators.changes import change_order, payable
-from fareline.session import work_folder
+from fareline.session import delete_folder, list_folder, work_folder
 
 CLAIM = ["booking_id", "kind", "payer"]
 PAYMENT = ["booking_id", "user_id", "payment_method"]
@@ -46,10 +50,10 @@ def file_stream(
 
 
 def status_claims(log: DataFrame) -> DataFrame:
-    """The newest status each booking is asked to take, batch or stream.
+    """The newest status each booking is asked to take.
 
-    Payments are kept apart by paying user. A late entry never overrides a newer one,
-    so no watermark is needed.
+    Payments are kept apart by paying user; NULL stands for the owner, whoever that is. A
+    late entry never overrides a newer one, so no watermark is needed.
     """
     is_pay = F.col("kind") == "pay"
     asked = log.select(
@@ -59,7 +63,11 @@ def status_claims(log: DataFrame) -> DataFrame:
         F.when(is_pay, STATUS_CONFIRMED).otherwise(F.col("new_status")).alias("status"),
         change_order().alias("at"),
     )
-    return asked.groupBy(*CLAIM).agg(
+    return newest_claims(asked)
+
+
+def newest_claims(claims: DataFrame) -> DataFrame:
+    return claims.groupBy(*CLAIM).agg(
         F.max_by("status", "at").alias("status"), F.max("at").alias("at")
     )
 
@@ -68,7 +76,7 @@ def settled_status(claims: DataFrame, bookings: DataFrame) -> DataFrame:
     """The current status of every known booking in the view; strangers' payments do not count."""
     owners = bookings.select("booking_id", F.col("user_id").alias("owner_id"))
     valid = claims.join(owners, "booking_id").filter(
-        (F.col("kind") != "pay") | (F.col("payer") == F.col("owner_id"))
+        (F.col("kind") != "pay") | (F.coalesce("payer", "owner_id") == F.col("owner_id"))
     )
     return valid.groupBy("booking_id").agg(
         F.max_by("status", "at").alias("status"), F.max("at.ts").alias("changed_at")
@@ -79,13 +87,22 @@ def settled_status(claims: DataFrame, bookings: DataFrame) -> DataFrame:
 
 
 def payment_claims(pays: DataFrame) -> DataFrame:
-    """How often each user paid for each booking by each method, batch or stream."""
+    """How often each user paid for each booking by each method; a NULL user is the owner."""
     return pays.groupBy(*PAYMENT).agg(F.count(F.lit(1)).alias("n"))
 
 
+def added_claims(claims: DataFrame) -> DataFrame:
+    return claims.groupBy(*PAYMENT).agg(F.sum("n").alias("n"))
+
+
 def settled_totals(claims: DataFrame, bookings: DataFrame) -> DataFrame:
     """Payments by the owner of a booking and their sum, by method."""
-    return payable(claims, bookings).groupBy("payment_method").agg(
+    owners = bookings.select("booking_id", F.col("user_id").alias("owner_id"))
+    named = claims.filter("user_id IS NULL").join(owners, "booking_id").select(
+        "booking_id", F.col("owner_id").alias("user_id"), "payment_method", "n"
+    )
+    stated = claims.filter("user_id IS NOT NULL").select("booking_id", "user_id", "payment_method", "n")
+    return payable(stated.unionByName(named), bookings).groupBy("payment_method").agg(
         F.sum("n").alias("n_payments"),
         F.sum(F.col("n") * F.col("total_amount")).cast("decimal(18,2)").alias("revenue"),
     )
@@ -94,38 +111,81 @@ def settled_totals(claims: DataFrame, bookings: DataFrame) -> DataFrame:
 # ---- views on disk ----------------------------------------------------------
 
 
-def start_view(view: DataFrame, folder: str, **trigger) -> StreamingQuery:
-    """Keep a streaming aggregation up to date below ``folder``."""
+class View(NamedTuple):
+    """How a micro-batch becomes a part of the view, and how parts are merged."""
+
+    part: Callable[[DataFrame], DataFrame]
+    merge: Callable[[DataFrame], DataFrame]
+
+
+STATUS_VIEW = View(status_claims, newest_claims)
+PAYMENT_VIEW = View(payment_claims, added_claims)
+
+#: The parts of a view are merged after this many micro-batches.
+MERGE_EVERY = 20
+
+
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """The numbers of finished parts or snapshots, in order."""
+    found = [n.removeprefix(prefix) for n in list_folder(spark, folder) if n.startswith(prefix)]
+    return sorted(int(n) for n in found if "_SUCCESS" in list_folder(spark, f"{folder}/{prefix}{n}"))
+
+
+def _parts(spark: SparkSession, folder: str) -> tuple[list[str], list[int], int]:
+    """Folders that make up the view, the batches among them, and the batch the snapshot goes to."""
+    snapshots = _numbers(spark, folder, "snapshot-")
+    through = snapshots[-1] if snapshots else -1
+    batches = [n for n in _numbers(spark, folder, "batch-") if n > through]
+    paths = [f"{folder}/snapshot-{through}"] if snapshots else []
+    return paths + [f"{folder}/batch-{n}" for n in batches], batches, through
+
+
+def start_view(stream: DataFrame, view: View, folder: str, merge_every: int = MERGE_EVERY, **trigger) -> StreamingQuery:
+    """Keep a view of a stream up to date below ``folder``."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        view.part(batch).write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")
+        if (batch_id + 1) % merge_every == 0:
+            merge_parts(batch.sparkSession, view, folder)
+
     return (
-        view.writeStream.outputMode("update")
-        .foreachBatch(_writer(f"{folder}/changed"))
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(**trigger)
         .start()
     )
 
 
-def _writer(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return write
-
+def merge_parts(spark: SparkSession, view: View, folder: str) -> None:
+    """Merge snapshot and finished batches into a new snapshot, then delete what it holds.
 
-def read_view(spark: SparkSession, folder: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """The present rows of a view: per key, the row of the latest micro-batch."""
-    with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
-    changed = spark.read.schema(with_batch).parquet(f"{folder}/changed")
-    values = [name for name in schema.names if name not in keys]
-    newest = changed.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
-    return newest.select(*keys, "v.*")
-
-
-def run_available(view: DataFrame, purpose: str, keys: list[str]) -> DataFrame:
+    Runs between two micro-batches of the view's own stream, or while that is stopped.
+    """
+    paths, batches, through = _parts(spark, folder)
+    if not batches:
+        return
+    last = batches[-1]
+    view.merge(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{folder}/snapshot-{last}")
+    for n in _numbers(spark, folder, "snapshot-"):
+        if n < last:
+            delete_folder(spark, f"{folder}/snapshot-{n}")
+    for n in _numbers(spark, folder, "batch-"):
+        if n <= last:
+            delete_folder(spark, f"{folder}/batch-{n}")
+
+
+def read_view(spark: SparkSession, view: View, folder: str, schema: StructType) -> DataFrame:
+    """The present rows of a view; ``schema`` is that of a part."""
+    paths, _, _ = _parts(spark, folder)
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return view.merge(spark.read.schema(schema).parquet(*paths))
+
+
+def run_available(stream: DataFrame, view: View, purpose: str) -> DataFrame:
     """Run a streaming view once over what has arrived and return its rows."""
-    spark = view.sparkSession
+    spark = stream.sparkSession
     folder = work_folder(spark, purpose)
-    # An empty batch to start from, so that a stream without data reads as no rows.
-    spark.createDataFrame([], view.schema).write.parquet(f"{folder}/changed/batch_id=-1")
-    start_view(view, folder, availableNow=True).awaitTermination()
-    return read_view(spark, folder, view.schema, keys)
+    start_view(stream, view, folder, availableNow=True).awaitTermination()
+    like_stream = spark.createDataFrame([], stream.schema)
+    return read_view(spark, view, folder, view.part(like_stream).schema)

@@ -64,11 +64,11 @@ def test_edit_buses_last_edit_wins(spark):
         "change_id long, ts timestamp_ntz, bus_id long, bus_number string, bus_model string,"
         " license_plate string, capacity string, is_active string",
     )
-    got = by(changes.edit_buses(t.buses, edits), "bus_id")
+    got = by(changes.edit_buses(t.buses, edits).buses, "bus_id")
     assert set(got) == {1, 2}
     assert (got[1]["bus_number"], got[1]["capacity"], got[1]["is_active"]) == ("late", 7, 0)
     assert (got[2]["bus_number"], got[2]["is_active"]) == ("B", 1)
-    assert changes.edit_buses(t.buses, edits).schema == t.buses.schema
+    assert changes.edit_buses(t.buses, edits).buses.schema == t.buses.schema
 
 
 def test_delete_guard(spark):

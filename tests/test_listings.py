@@ -33,8 +33,6 @@ def test_lists_are_newest_first_with_the_id_as_tie_break(spark):
     assert [r["booking_id"] for r in listings.booking_list(t).collect()] == [2, 3, 1, 4]
     assert [r["booking_id"] for r in listings.user_bookings(t).collect()] == [2, 3, 1, 4]
     assert [r["booking_id"] for r in listings.recent_bookings(t, 3).collect()] == [2, 3, 1]
-    fast = listings.recent_bookings(t, 3, keys_complete=True)
-    assert [r["booking_id"] for r in fast.collect()] == [2, 3, 1]
 
 
 def test_recent_bookings_skip_rows_without_partner_before_the_cut(spark):

@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from fareline.operators import changes, counters, listings, seats
+from fareline.operators import changes, counters, filters, listings, seats, signups
+from fareline.plans import catalog
 from tests.test_changes import LOG, at
 from tests.test_seats import random_world
 from tests.tiny import DAY, dicts, tables
@@ -13,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 EAGER = {"st1_status", "st2_payment_totals", "i4_snapshot"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - EAGER))
 def test_no_cross_joins_and_no_python_in_plans(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "BatchEvalPython"):

@@ -71,7 +71,7 @@ def both(spark, arrived):
 
 def test_status_stream_equals_batch(spark, arrived, world):
     stream, batch = both(spark, arrived)
-    claims = live.run_available(live.status_claims(stream), "status", live.CLAIM)
+    claims = live.run_available(stream, live.STATUS_VIEW, "status")
     got = live.settled_status(claims, world.bookings)
     want = live.settled_status(live.status_claims(batch), world.bookings)
     key = lambda r: r["booking_id"]
@@ -84,8 +84,8 @@ def test_status_stream_equals_batch(spark, arrived, world):
 
 def test_payment_stream_equals_batch(spark, arrived, world):
     stream, batch = both(spark, arrived)
-    view = live.payment_claims(stream.filter("kind = 'pay'"))
-    got = live.settled_totals(live.run_available(view, "totals", live.PAYMENT), world.bookings)
+    claims = live.run_available(stream.filter("kind = 'pay'"), live.PAYMENT_VIEW, "totals")
+    got = live.settled_totals(claims, world.bookings)
     want = live.settled_totals(live.payment_claims(batch.filter("kind = 'pay'")), world.bookings)
     key = lambda r: r["payment_method"]
     assert sorted(dicts(got), key=key) == sorted(dicts(want), key=key)
@@ -100,7 +100,7 @@ def test_payment_stream_equals_batch(spark, arrived, world):
 
 def test_a_stream_without_data_gives_no_rows(spark, tmp_path, world):
     stream = live.file_stream(spark, str(tmp_path), spark.createDataFrame([], LOG).schema)
-    claims = live.run_available(live.status_claims(stream), "nothing", live.CLAIM)
+    claims = live.run_available(stream, live.STATUS_VIEW, "nothing")
     assert dicts(live.settled_status(claims, world.bookings)) == []
 
 
@@ -113,9 +113,9 @@ def test_a_view_goes_on_where_it_stopped(spark, arrived, world, tmp_path):
     for n in range(6):
         shutil.copy(os.path.join(arrived, f"part-{n}.parquet"), source)
         if n in (1, 5):
-            view = live.status_claims(live.file_stream(spark, str(source), schema))
-            live.start_view(view, folder, availableNow=True).awaitTermination()
-    claims = live.read_view(spark, folder, view.schema, live.CLAIM)
+            again = live.file_stream(spark, str(source), schema)
+            live.start_view(again, live.STATUS_VIEW, folder, availableNow=True).awaitTermination()
+    claims = live.read_view(spark, live.STATUS_VIEW, folder, live.status_claims(batch).schema)
     want = live.settled_status(live.status_claims(batch), world.bookings)
     key = lambda r: r["booking_id"]
     got = live.settled_status(claims, world.bookings)
@@ -125,3 +125,41 @@ def test_a_view_goes_on_where_it_stopped(spark, arrived, world, tmp_path):
 def test_streams_read_a_declared_schema(spark):
     view = live.file_stream(spark, "/root/testdata/sf0.001", RAW["events"], "events.parquet")
     assert view.isStreaming and view.schema == RAW["events"]
+
+
+def test_folders_stay_bounded_and_parts_are_counted_once(spark, arrived, world, tmp_path):
+    schema = spark.createDataFrame([], LOG).schema
+    folder = str(tmp_path / "view")
+    batch = spark.read.schema(schema).parquet(arrived).filter("kind = 'pay'")
+    stream = live.file_stream(spark, arrived, schema, files_per_batch=1).filter("kind = 'pay'")
+    live.start_view(stream, live.PAYMENT_VIEW, folder, merge_every=2, availableNow=True).awaitTermination()
+    names = lambda: sorted(n for n in os.listdir(folder) if n != "checkpoint")
+    assert names() == ["snapshot-5"]
+    key = lambda r: str(r)
+    want = sorted(dicts(live.payment_claims(batch)), key=key)
+    part = live.payment_claims(batch).schema
+    view = lambda: sorted(dicts(live.read_view(spark, live.PAYMENT_VIEW, folder, part)), key=key)
+    assert view() == want
+    # A repeat of a batch that the snapshot holds, and a part that was never finished.
+    live.payment_claims(batch.limit(9)).write.parquet(f"{folder}/batch-5")
+    os.makedirs(f"{folder}/batch-6")
+    assert view() == want
+    live.payment_claims(batch.limit(0)).write.mode("overwrite").parquet(f"{folder}/batch-7")
+    live.merge_parts(spark, live.PAYMENT_VIEW, folder)
+    assert names() == ["batch-6", "snapshot-7"] and view() == want
+
+
+def test_owner_is_settled_when_the_view_is_read(spark, world):
+    log = spark.createDataFrame(
+        [
+            (1, START, 7, "pay", None, "Cash", None),
+            (2, START, 7, "pay", None, "Cash", 1),
+            (3, START, 7, "pay", None, "Cash", 2),
+            (4, START, 999, "pay", None, "Cash", None),
+        ],
+        LOG,
+    )
+    totals = dicts(live.settled_totals(live.payment_claims(log), world.bookings))
+    assert [(r["payment_method"], r["n_payments"]) for r in totals] == [("Cash", 2)]
+    status = dicts(live.settled_status(live.status_claims(log), world.bookings))
+    assert [(r["booking_id"], r["status"]) for r in status] == [(7, "confirmed")]
