@@ -11,9 +11,13 @@ blocks this is their Jaccard similarity, and a moved block counts as changed.
    half, and all of them differ in about 1 of 20,000 pairs.
 3. In each bucket every text is compared with the bucket's hub, the text that shares most
    sketches with others, so a bucket costs as many comparisons as it has texts.
-4. Buckets whose texts are then still in several classes hand them to an exact join: by
-   prefix filtering on the rarest shingles, texts of different classes meet only if they
-   can be similar, and no link between them is lost however large their buckets are.
+4. Two texts of a bucket that are still in different classes need
+   ``SIMILARITY / (1 + SIMILARITY)`` of their shingles in common. The hub's share of these is
+   at most what the smaller overlap with the hub gives, so they have a shingle in common
+   that the hub lacks, or are both so close to the hub that this does not follow. An exact
+   join by hub and rare shingles outside it finds the former, a join by hub on that
+   condition the few of the latter. A passage or an origin that a whole bucket shares is in
+   the hub, so large buckets yield no pairs for it, and no link is lost.
 5. Classes are the connected components of the verified links.
 
 Texts without words, null ones too, are one class. Rows with a null id have no class and
@@ -169,24 +173,53 @@ def _sketched(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_texts(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    first = contents.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    second = contents.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+
+
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     """The similar ones of ``pairs(a, b)``; ``contents(id, text)`` has a row per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0))
         for batch in batches:
-            good = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != other:
-                    last = (other, shingles(other.encode()))
-                good.append(similarity(shingles(one.encode()), last[1]) >= SIMILARITY)
+            good = [
+                similarity(shingles(one.encode()), shingles(other.encode())) >= SIMILARITY
+                for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    first = contents.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    second = contents.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
-    return tables.kept(both.mapInArrow(run, "a long, b long"), "near-links")
+    return tables.kept(_with_texts(pairs, contents).mapInArrow(run, "a long, b long"), "near-links")
+
+
+_STAR = "a long, b long, similar boolean, n long, common long, fresh array<long>"
+
+
+def _compared(stars: DataFrame, contents: DataFrame) -> DataFrame:
+    """Each text ``a`` of ``stars(a, b)`` beside its hub ``b``: whether they are similar, the
+    shingles of ``a``, how many of them the hub has, and those that it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray, np.ndarray] = (None, np.empty(0), np.empty(0))
+        for batch in batches:
+            for part in tables.slices(batch, "text_a"):
+                rows = []
+                for hub, one, other in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    if last[0] != hub:
+                        found = shingles(other.encode())
+                        last = (hub, found, labelled(found))
+                    own = shingles(one.encode())
+                    fresh = np.setdiff1d(labelled(own), last[2], assume_unique=True)
+                    rows.append((similarity(own, last[1]) >= SIMILARITY, len(own), len(own) - len(fresh), words.signed(fresh)))
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))],
+                    ["a", "b", "similar", "n", "common", "fresh"],
+                )
+
+    return tables.kept(_with_texts(stars, contents).mapInArrow(run, _STAR), "near-stars")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -215,63 +248,60 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(classes, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Each text of ``members(bucket, id)`` with the hub of its buckets."""
+def _stars(members: DataFrame) -> DataFrame:
+    """Each text ``a`` of ``members(bucket, id)`` with the hubs ``b`` of its buckets."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     fame = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("fame"))
     famous = F.struct("fame", -F.col("id"))
     hubs = tables.kept(
-        members.join(tables.kept(fame, "near-fame"), "id").groupBy("bucket").agg(F.max_by("id", famous).alias("hub")), "near-hubs"
+        members.join(tables.kept(fame, "near-fame"), "id").groupBy("bucket").agg(F.max_by("id", famous).alias("b")), "near-hubs"
     )
-    met = members.join(hubs, "bucket").filter("id != hub")
-    return met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    return members.join(hubs, "bucket").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def _rare_pairs(members: DataFrame, classes: DataFrame, contents: DataFrame) -> DataFrame:
-    """Texts of different classes that can be similar, out of the buckets with several classes."""
-    placed = _with_class(members, classes)
-    open_buckets = placed.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x != y")
-    mixed = tables.kept(
-        placed.join(open_buckets.select("bucket"), "bucket", "left_semi").select("id", "class_id").distinct(), "near-mixed"
-    )
+def _other_pairs(compared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Texts beside the same hub and of different classes that can be similar."""
+    placed = _with_class(compared.withColumnRenamed("a", "id"), classes).drop("similar")
+    several = placed.groupBy("b").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x != y")
+    open_ones = tables.kept(placed.join(several.select("b"), "b", "left_semi"), "near-open")
+    share = SIMILARITY / (1 + SIMILARITY)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [labelled(shingles(t)) for t in tables.texts(batch, "text")]
-            sizes = [len(x) for x in own]
-            flat = np.concatenate([np.empty(0, dtype=np.uint64), *own])
-            ids, kinds = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(words.signed(flat)), pa.array(ids), pa.array(kinds), pa.array(np.repeat(sizes, sizes).astype(np.int64))],
-                ["shingle", "id", "class_id", "n"],
-            )
-
-    every = tables.kept(
-        contents.join(mixed, "id").select("id", "text", "class_id").mapInArrow(
-            run, "shingle long, id long, class_id long, n long"
-        ),
-        "near-shingles",
-    )
+    every = open_ones.select("b", "id", "class_id", "n", F.explode("fresh").alias("shingle"))
     often = tables.kept(
-        every.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("class_id").alias("x"), F.max("class_id").alias("y")),
+        every.groupBy("b", "shingle")
+        .agg(F.count(F.lit(1)).alias("often"), F.min("class_id").alias("x"), F.max("class_id").alias("y"))
+        .filter("often > 1"),
         "near-often",
     )
-    # The rarest shingles of a text, one more than it may lack. Those in one class only
-    # count for the length of the prefix but cannot bring two classes together.
-    in_order = F.sort_array(F.collect_list(F.struct("often", "shingle", (F.col("x") != F.col("y")).alias("mixed"))))
-    length = (F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).cast("int")
-    prefixes = every.join(often, "shingle").groupBy("id", "class_id", "n").agg(in_order.alias("s")).select(
-        "id", "class_id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("s")
+    # Rarest first among the shingles that the hub lacks, as many as a text may be without
+    # and one more: two similar texts have their first common shingle among these.
+    told = every.join(often, ["b", "shingle"])
+    lone = F.size("fresh") - F.size("s")  # in no other text of the hub, so rarer than all others
+    length = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).cast("int") - lone)
+    mixed = F.struct("often", "shingle", (F.col("x") != F.col("y")).alias("mixed"))
+    listed = told.groupBy("b", "id").agg(F.sort_array(F.collect_list(mixed)).alias("s"))
+    prefixes = open_ones.join(listed, ["b", "id"]).select(
+        "b", "id", "class_id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("s")
     )
     keyed = tables.kept(
-        prefixes.filter("s.mixed").select(F.col("s.shingle").alias("shingle"), "id", "class_id", "n"), "near-prefixes"
+        prefixes.filter("s.mixed").select("b", F.col("s.shingle").alias("shingle"), "id", "class_id", "n"), "near-prefixes"
+    )
+    apart = (F.col("id") < F.col("id2")) & (F.col("class_id") != F.col("class2")) & (
+        F.least("n", "n2") >= F.lit(SIMILARITY) * F.greatest("n", "n2") - 1e-9
+    )
+    met = keyed.join(keyed.toDF("b", "shingle", "id2", "class2", "n2"), ["b", "shingle"]).filter(apart)
+
+    # So much in common with the hub that nothing else need be shared. A text is let in by
+    # what it needs beside the shortest text of its hub, which leaves few.
+    shortest = open_ones.groupBy("b").agg(F.min("n").alias("least_n"))
+    slim = open_ones.select("b", "id", "class_id", "n", "common")
+    close = tables.kept(
+        slim.join(shortest, "b").filter(F.col("common") > share * (F.col("n") + F.col("least_n")) - 1).drop("least_n"), "near-close"
     )
-    other = keyed.toDF("shingle", "id2", "class2", "n2")
-    met = keyed.join(other, "shingle").filter(
-        (F.col("id") < F.col("id2")) & (F.col("class_id") != F.col("class2"))
-        & (F.least("n", "n2") >= F.lit(SIMILARITY) * F.greatest("n", "n2") - 1e-9)
+    beside = close.join(close.toDF("b", "id2", "class2", "n2", "common2"), "b").filter(
+        apart & (F.least("common", "common2") > share * (F.col("n") + F.col("n2")) - 1)
     )
-    return met.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    return met.select("id", "id2").union(beside.select("id", "id2")).toDF("a", "b").distinct()
 
 
 def find_near_copies(docs: DataFrame) -> DataFrame:
@@ -297,8 +327,9 @@ def find_near_copies(docs: DataFrame) -> DataFrame:
     contents = tables.kept(
         rows.join(asked, ["doc_id", "row_key"]).groupBy("id").agg(F.first("text").alias("text")), "near-contents"
     )
-    links = _verified(_hub_pairs(members), contents)
-    more = _verified(_rare_pairs(members, components(links), contents), contents)
+    compared = _compared(_stars(members), contents)
+    links = compared.filter("similar").select("a", "b")
+    more = _verified(_other_pairs(compared, components(links)), contents)
     classes = components(links.union(more))
     # From hashes of texts back to the smallest ids.
     named = _with_class(texts.select("id", "digest", "doc_id"), classes)
