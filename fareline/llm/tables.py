@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+import fareline
 from fareline.session import enable_checkpoints, work_folder
 
 #: Texts of a record batch are handled in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
+_SHIPPED: set[str] = set()
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors, which need not have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        package = Path(fareline.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="fareline-")) / "fareline.zip"  # handed out by the driver
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
