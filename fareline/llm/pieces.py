@@ -43,7 +43,7 @@ ORACLE = None  # a search over a vocabulary: checked against the library's unigr
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Longer stretches are not remembered.
 REMEMBERED_CHARS = 40
 
@@ -73,7 +73,8 @@ class Codec:
         # Scores of a merge model are whole numbers from 0 down; a unigram model's are logarithms.
         whole = len(set(ranks)) > 1 and all(r <= 0 and r == int(r) for r in ranks)
         self.merges = whole if merges is None else merges
-        self.admitted: dict[tuple[str, str], bool] = {}
+        self.admitted: dict[int, bool] = {}
+        self.steps: dict[str, tuple[list[float], list[str], list[str], bool]] = {}  # of pieces and single characters
         self.automaton = ahocorasick.Automaton()
         for text, (score, i) in self.scores.items():
             self.automaton.add_word(text, (len(text), score, i))
@@ -84,49 +85,86 @@ class Codec:
         codes = char.encode()
         return [self.bytes[b] for b in codes] if all(b in self.bytes for b in codes) else [self.unknown]
 
-    def merged(self, text: str) -> list[str]:
-        """A short text after merging neighbours, best score first, then from the left."""
-        parts = list(text)
-        while len(parts) > 1:
-            pairs = [self.scores.get(a + b) for a, b in zip(parts, parts[1:])]
-            best = max((p[0] for p in pairs if p), default=None)
-            if best is None:
-                break
-            i = next(i for i, p in enumerate(pairs) if p and p[0] == best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def _admits(self, before: str, piece: str) -> bool:
-        if len(self.admitted) >= self.remembered:
+    def _steps(self, text: str) -> tuple[list[float], list[str], list[str], bool]:
+        """The scores of the merges of a short text in order, its first and its last part
+        before each and at the end, and whether one part is left."""
+        told = self.steps.get(text)
+        if told is None:
+            parts = list(text)
+            scores, firsts, lasts = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                pairs = [self.scores.get(a + b) for a, b in zip(parts, parts[1:])]
+                best = max((p[0] for p in pairs if p), default=None)
+                if best is None:
+                    break
+                i = next(i for i, p in enumerate(pairs) if p and p[0] == best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                scores.append(best)
+                firsts.append(parts[0])
+                lasts.append(parts[-1])
+            told = self.steps[text] = (scores, firsts, lasts, len(parts) == 1)
+        return told
+
+    def admits(self, before: str, piece: str) -> bool:
+        """Does merging ``before + piece`` leave just these two? ``before`` is a part that merging leaves.
+
+        Both merge by themselves, the better score first and the left one of equals, unless
+        the parts at their border are a better pair at some step.
+        """
+        right, firsts, _, whole = self._steps(piece)
+        if not before or not whole:
+            return whole
+        left, _, lasts, _ = self._steps(before)
+        i = j = 0
+        none = float("-inf")
+        while True:
+            across = self.scores.get(lasts[i] + firsts[j])
+            a = left[i] if i < len(left) else none
+            b = right[j] if j < len(right) else none
+            if across and across[0] > a and across[0] >= b:
+                return False
+            if a == b == none:
+                return True
+            if a >= b:
+                i += 1
+            else:
+                j += 1
+
+    def _admits(self, key: int, before: str, piece: str) -> bool:
+        if len(self.admitted) >= 2 * self.remembered:
             self.admitted.clear()
-        told = self.merged(before + piece) == ([before, piece] if before else [piece])
-        self.admitted[before, piece] = told
+        told = self.admitted[key] = self.admits(before, piece)
         return told
 
     def search_merges(self, stretch: str) -> list[int]:
         """Ids that merging a stretch of normalised text leaves."""
         n = len(stretch)
-        before = [""] * (n + 1)  # the last piece up to a place
-        ids = [-1] * (n + 1)
-        done, told = 0, self.admitted.get
+        left = [0] * (n + 1)  # the last piece up to a place, as id + 1; 0 where its last character stands alone
+        known, texts = self.admitted.get, self.texts
         for last, (length, _, i) in self.automaton.iter(stretch):
-            while done < last:  # a place that no piece was admitted at: its character stands alone
-                done += 1
-                if not before[done]:
-                    before[done] = stretch[done - 1]
-            end = last + 1
-            if not before[end]:
-                piece, left = stretch[end - length : end], before[end - length]
-                good = told((left, piece))
-                if good or (good is None and self._admits(left, piece)):
-                    before[end], ids[end] = piece, i
-        for place in range(done + 1, n + 1):
-            before[place] = before[place] or stretch[place - 1]
+            if left[last + 1]:
+                continue
+            start = last + 1 - length
+            before = left[start]
+            if not before and start:
+                before = -ord(stretch[start - 1])
+            key = before << 24 | i
+            good = known(key)
+            if good is None:
+                text = texts[before - 1] if before > 0 else stretch[start - 1] if before else ""
+                good = self._admits(key, text, texts[i])
+            if good:
+                left[last + 1] = i + 1
         parts: list[list[int]] = []
         at = n
         while at > 0:
-            parts.append([ids[at]] if ids[at] >= 0 else self._fallback(before[at]))
-            at -= len(before[at])
+            i = left[at] - 1
+            if i >= 0:
+                parts.append([i])
+                at -= len(texts[i])
+            else:
+                at -= 1
+                parts.append(self._fallback(stretch[at]))
         return [i for part in reversed(parts) for i in part]
 
     def search(self, stretch: str) -> list[int]:
@@ -165,8 +203,12 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, to which the model's front mark is added."""
+        return np.frombuffer(self.packed(text), dtype=np.int32)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
         if not text:
-            return np.empty(0, dtype=np.int32)
+            return b""
         parts = []
         cache, search = self.cache, self.search_merges if self.merges else self.search
         for stretch in self.cut.findall(MARK + text.replace(" ", MARK)):
@@ -178,7 +220,7 @@ class Codec:
                         cache.clear()
                     cache[stretch] = ids
             parts.append(ids)
-        return np.frombuffer(b"".join(parts), dtype=np.int32)
+        return b"".join(parts)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
@@ -209,7 +251,12 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", ids: str = "piece
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         codec = _codec(handed.value)
-        return pa.array([codec.encode(t or "") for t in column.to_pylist()], pa.list_(pa.int32()))
+        out = []
+        for part in tables.slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
+            packed = [codec.packed(t or "") for t in part.column(0).to_pylist()]
+            ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return docs.withColumn(ids, encode(text))
 
@@ -221,7 +268,9 @@ def decoded(docs: DataFrame, model: bytes, ids: str = "piece_ids", text: str = "
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         codec = _codec(handed.value)
-        return pa.array([None if x is None else codec.decode(x) for x in column.to_pylist()], pa.string())
+        # One list at a time: as Python numbers, a whole batch would take ten times its size.
+        texts = [codec.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in column]
+        return pa.array(texts, pa.string())
 
     return docs.withColumn(text, decode(ids))
 
