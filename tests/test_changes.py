@@ -2,7 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 from fareline.functions import fixed_values as V
-from fareline.operators import changes
+from fareline.operators import audits, changes, counters, filters, seats
 from tests.tiny import DAY, dicts, frame, small_world
 
 AS_OF = dt.date(2024, 6, 1)
@@ -241,3 +241,68 @@ def test_one_log_of_status_changes_and_payments(spark):
     statuses = {k: r["status"] for k, r in by(out.bookings, "booking_id").items()}
     assert statuses == {1: "confirmed", 2: "cancelled", 3: "pending"}
     assert out.payments.count() == 4
+
+
+def test_bad_values_refuse_their_own_request_only(spark):
+    t = small_world(spark, routes=[{"route_id": 1, "fare": Decimal("99999999.99")}])
+    buses = "bus_number string, bus_model string, license_plate string, capacity string"
+    new = spark.createDataFrame(
+        [(0, "N", "M", "L", "99999999999"), (1, "N", "M", "L", "-99999999999"), (2, "N", "M", "L", "3")],
+        f"request_id long, {buses}",
+    )
+    out = changes.add_buses(t.buses, t.seats, new, AS_OF)
+    assert set(by(out.buses, "bus_id")) == {1, 4} and out.seats.count() == 2 + 3
+    assert {r["request_id"] for r in dicts(out.rejects)} == {0, 1}
+    assert {r["reason"] for r in dicts(out.rejects)} == {V.REASON_CAPACITY}
+    edits = spark.createDataFrame(
+        [(1, at(1), 1, "good", "M", "L", "7", "1"), (2, at(2), 1, "bad", "M", "L", "2147483648", "1")],
+        f"change_id long, ts timestamp_ntz, bus_id long, {buses}, is_active string",
+    )
+    edited = changes.edit_buses(t.buses, edits)
+    assert by(edited.buses, "bus_id")[1]["bus_number"] == "good"
+    assert dicts(edited.rejects) == [{"change_id": 2, "reason": V.REASON_CAPACITY}]
+    routes = spark.createDataFrame(
+        [(0, "N", "O", "D", "1", "1e9", None, "08:00:00", [1]), (1, "N", "O", "D", "1e10", "1", None, "08:00:00", [1]),
+         (2, "N", "O", "D", "5", "99999999.99", None, "08:00:00", [1])],
+        "request_id long, route_name string, origin_city string, destination_city string, distance string,"
+        " fare string, travel_time string, departure_time string, buses array<long>",
+    )
+    added = changes.add_routes(t.routes, t.bus_route, routes, AS_OF)
+    assert set(by(added.routes, "route_id")) == {1, 4}
+    assert sorted((r["bus_id"], r["route_id"]) for r in added.bus_route.collect()) == [(1, 1), (1, 4)]
+    assert {r["request_id"]: r["reason"] for r in dicts(added.rejects)} == {0: V.REASON_FARE, 1: V.REASON_DISTANCE}
+    route_edits = spark.createDataFrame(
+        [(1, at(1), 1, "20", "1", [8]), (2, at(2), 1, "1e9", "1", [9])],
+        "change_id long, ts timestamp_ntz, route_id long, fare string, is_active string, buses array<long>",
+    )
+    rerouted = changes.edit_routes(t.routes, t.bus_route, route_edits)
+    assert by(rerouted.routes, "route_id")[1]["fare"] == Decimal("20.00")
+    assert [r["bus_id"] for r in rerouted.bus_route.collect()] == [8]
+    assert dicts(rerouted.rejects) == [{"change_id": 2, "reason": V.REASON_FARE}]
+    no_fare = changes.edit_routes(t.routes, t.bus_route, route_edits.drop("fare"))
+    assert dicts(no_fare.rejects) == [] and no_fare.routes.count() == 1
+
+
+def test_a_total_out_of_range_is_refused(spark):
+    t = small_world(spark, routes=[{"route_id": 1, "fare": Decimal("99999999.99")}])
+    many = list(range(200))
+    requests = spark.createDataFrame(
+        [(0, at(0), 1, 1, 1, DAY, many, "x", "y"), (1, at(0), 1, 1, 1, DAY, many[:2], "x", "y")],
+        "request_id long, ts timestamp_ntz, user_id long, route_id long, bus_id long, journey_date date,"
+        " seats array<long>, passenger_names string, passenger_phones string",
+    )
+    out = changes.create_bookings(t, requests, AS_OF)
+    assert dicts(out.rejects) == [{"request_id": 0, "reason": V.REASON_AMOUNT}]
+    assert [r["total_amount"] for r in dicts(out.bookings)] == [Decimal("199999999.98")]
+
+
+def test_status_compares_without_case(spark):
+    t = small_world(
+        spark,
+        bookings=[{"booking_id": 1, "status": "Cancelled"}, {"booking_id": 2, "status": "CONFIRMED"}],
+        booking_seat=[{"booking_id": 1, "seat_id": 1}, {"booking_id": 2, "seat_id": 2}],
+    )
+    assert [r["booking_id"] for r in dicts(seats.live_holds(t))] == [2]
+    assert dicts(counters.dashboard_kpis(t))[0]["confirmed_bookings"] == 1
+    assert [r["booking_id"] for r in dicts(filters.filter_bookings(t.bookings, "confirmed"))] == [2]
+    assert {(r["booking_id"], r["finding"]) for r in dicts(audits.payment_findings(t))} == {(2, "confirmed unpaid")}

@@ -123,3 +123,19 @@ def test_popular_routes_and_cities(spark):
     names = [r["city"] for r in counters.cities(routes).collect()]
     assert names == sorted({f"C{i}" for i in range(1, 15)} | {"There"})
     assert counters.cities(frame(spark, "routes", [])).count() == 0
+
+
+def test_cities_differ_by_more_than_case(spark):
+    rows = [{"route_id": i, "origin_city": c, "destination_city": "x"} for i, c in enumerate(["Dhaka", "dhaka", "DHAKA", "X"])]
+    assert [r["city"] for r in counters.cities(frame(spark, "routes", rows)).collect()] == ["DHAKA", "X"]
+
+
+def test_search_results_list_active_buses(spark):
+    t = tables(
+        spark,
+        routes=[{"route_id": 1}, {"route_id": 2}, {"route_id": 3, "is_active": 0}],
+        buses=[{"bus_id": 1, "bus_number": "Z"}, {"bus_id": 2, "bus_number": "A"}, {"bus_id": 3, "is_active": 0}],
+        bus_route=[{"bus_id": b, "route_id": 1} for b in (3, 2, 1)],
+    )
+    got = [(r["route_id"], r["available_buses"], r["bus_numbers"]) for r in counters.search_results(t).collect()]
+    assert got == [(1, 3, "Z, A"), (2, 0, "")]

@@ -1,10 +1,13 @@
 """Plan shapes and skewed data."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fareline.operators import changes, counters, filters, listings, seats, signups
 from fareline.plans import catalog
+from fareline.session import stored
+from fareline.sources.tables import Tables
 from tests.test_changes import LOG, at
 from tests.test_seats import random_world
 from tests.tiny import DAY, dicts, tables
@@ -116,3 +119,66 @@ def _payments_per_booking():
     for i in range(400):
         counts[42 if i % 3 == 0 else i % 200] += 1
     return counts
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_json_of_a_hot_bus_is_cut(spark, split_everything):
+    t = skewed_tables(spark)
+    made = spark.range(3000).selectExpr(
+        "CASE WHEN id % 3 > 0 THEN 1L ELSE id % 12 END AS bus_id", "id % 4 AS route_id",
+        "date_add(DATE'2024-01-01', CAST(id AS INT)) AS journey_date",
+    )
+    df = seats.seat_map_json(t, made)
+    assert "skew=true" in final_plan(df)
+    assert df.count() == made.join(t.seats.select("bus_id").distinct(), "bus_id").count()
+
+
+def test_holds_of_a_hot_route_and_day_are_cut(spark, split_everything):
+    t = skewed_tables(spark)
+    hot = t.bookings.filter("false").unionByName(
+        spark.createDataFrame(
+            [tuple(getattr(r, c) if c != "route_id" else 1 for c in t.bookings.columns) for r in t.bookings.collect()],
+            t.bookings.schema,
+        ).withColumn("journey_date", F.lit(DAY))
+    )
+    t = Tables(**{**t.__dict__, "bookings": hot})
+    asked = spark.createDataFrame([(1, 1, DAY), (2, 1, DAY)], "bus_id long, route_id long, journey_date date")
+    df = seats.live_holds(t, asked)
+    assert "skew=true" in final_plan(df)
+    assert df.count() == seats.live_holds(t).count()
+
+
+def test_sign_ups_under_one_name_are_cut(spark, split_everything):
+    forms = spark.range(2000).selectExpr(
+        "id AS reg_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts",
+        "CASE WHEN id % 2 = 0 THEN 'u1' ELSE concat('n', id) END AS username", "'F' AS first_name", "'L' AS last_name",
+        "concat('m', id) AS email",
+    )
+    users = skewed_tables(spark).users.withColumn("email", F.concat(F.lit("x"), "user_id"))
+    keyed = forms.select("reg_id", F.lower("username").alias("name_key"))
+    known = stored(signups._known(users, "username", keyed, "name_key"), "known")
+    plan = final_plan(keyed.join(known.withColumn("name_known", F.lit(1)), "name_key", "left"))
+    assert "skew=true" in plan
+    assert signups.admit_users(users, forms).users.count() == 10 + 1000
+
+
+def test_flags_split_into_hits_and_misses(spark):
+    t = skewed_tables(spark)
+    pairs = t.bookings.select("booking_id", "bus_id", "route_id")
+    links = spark.createDataFrame([(1, 1), (1, 1), (2, 3)], "bus_id long, route_id long")
+    got = filters.with_assignment(pairs, links)
+    assert got.count() == pairs.count()
+    for r in got.collect():
+        assert r["is_assigned"] == ((r["bus_id"], r["route_id"]) in {(1, 1), (2, 3)})
+
+
+def test_newest_bookings_are_cut_before_names_are_joined(spark):
+    t = skewed_tables(spark)
+    plan = listings.recent_bookings(t)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    depth = lambda text: min(i for i, line in enumerate(lines) if text in line)
+    assert depth("Join Inner") < max(i for i, line in enumerate(lines) if "GlobalLimit" in line) < depth("Join LeftSemi")

@@ -4,11 +4,13 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from fareline import session
 from fareline.operators import filters, listings, seats
+from fareline.plans import catalog
 from fareline.sources.schemas import TABLES
-from fareline.sources.tables import load_tables, open_tables, save_tables, write_table, write_tables
+from fareline.sources.tables import Tables, load_tables, open_tables, save_tables, write_table, write_tables
 from tests.tiny import DAY, dicts, small_world
 
 
@@ -40,7 +42,7 @@ def test_journey_date_prunes_partitions_and_filters_reach_the_scan(spark, stored
     one = filters.filter_bookings(b, "confirmed", DAY).select("booking_id")
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(journey_date" in plan
-    assert "EqualTo(status,confirmed)" in plan
+    assert "IsNotNull(status)" in plan
     assert "ReadSchema: struct<booking_id:bigint,status:string>" in plan
     assert len(one.collect()) == 10
 
@@ -89,12 +91,55 @@ def test_bucketed_tables_join_without_a_shuffle(spark, stored, no_broadcast, tmp
     assert "Exchange" not in final_plan(held)
 
 
+def test_totals_see_every_column(spark, stored):
+    t = stored[0]
+    whole = {r["table_name"]: r["row_sum"] for r in dicts(catalog.snapshot_totals(t))}
+    for name, schema in TABLES.items():
+        for field in schema.fields:
+            if getattr(t, name).isEmpty():
+                continue
+            garbled = getattr(t, name).withColumn(
+                field.name, F.when(F.col(field.name).isNull(), F.lit("1").try_cast(field.dataType))
+            )
+            other = Tables(**{**t.__dict__, name: garbled})
+            assert {r["table_name"]: r["row_sum"] for r in dicts(catalog.snapshot_totals(other))}[name] != whole[name], field
+
+
+def test_bucketed_tables_have_a_file_per_bucket(spark, stored, tmp_path):
+    spark.sql(f"CREATE DATABASE few_files LOCATION '{tmp_path}/db'")
+    save_tables(stored[0], "few_files", buckets=3)
+    for name in ("bookings", "booking_seat", "payments"):
+        files = [f for _, _, names in os.walk(f"{tmp_path}/db/{name}") for f in names if f.endswith(".parquet")]
+        assert len(files) <= 3
+
+
 def test_work_folders_are_fresh_and_checkpoints_enabled(spark):
     assert session.work_folder(spark, "x") != session.work_folder(spark, "x")
     session.enable_checkpoints(spark)
     assert spark.sparkContext.getCheckpointDir()
 
 
+CLEAN_SESSION = """
+import os
+from fareline import session
+from fareline.plans.catalog import queries
+
+spark = session.local_session(cores=2)
+shared = session._shared_root(spark)
+for name in ("w11_admit_users", "st2_payment_totals"):
+    queries()[name](spark, "/root/testdata/sf0.001").count()
+assert os.listdir(shared)
+session.finish(spark)
+assert not [f for _, _, names in os.walk(shared) for f in names], list(os.walk(shared))
+"""
+
+
+def test_nothing_is_left_after_the_end():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", CLEAN_SESSION], cwd=root, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 OTHER_SESSION = """
 from pyspark.sql import SparkSession
 from fareline import session
