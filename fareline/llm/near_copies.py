@@ -263,7 +263,11 @@ def _other_pairs(compared: DataFrame, classes: DataFrame) -> DataFrame:
     """Texts beside the same hub and of different classes that can be similar."""
     placed = _with_class(compared.withColumnRenamed("a", "id"), classes).drop("similar")
     several = placed.groupBy("b").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x != y")
-    open_ones = tables.kept(placed.join(several.select("b"), "b", "left_semi"), "near-open")
+    # Two texts whose nearest hub is the same need be met beside that hub alone.
+    nearest = placed.groupBy("id").agg(F.max_by("b", F.struct("common", "b")).alias("nearest"))
+    open_ones = tables.kept(
+        placed.join(several.select("b"), "b", "left_semi").join(tables.kept(nearest, "near-nearest"), "id"), "near-open"
+    )
     share = SIMILARITY / (1 + SIMILARITY)
 
     every = open_ones.select("b", "id", "class_id", "n", F.explode("fresh").alias("shingle"))
@@ -280,25 +284,36 @@ def _other_pairs(compared: DataFrame, classes: DataFrame) -> DataFrame:
     length = F.greatest(F.lit(0), (F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9) + 1).cast("int") - lone)
     mixed = F.struct("often", "shingle", (F.col("x") != F.col("y")).alias("mixed"))
     listed = told.groupBy("b", "id").agg(F.sort_array(F.collect_list(mixed)).alias("s"))
-    prefixes = open_ones.join(listed, ["b", "id"]).select(
-        "b", "id", "class_id", "n", F.explode(F.slice("s", F.lit(1), length)).alias("s")
+    prefix = F.transform(
+        F.filter(F.slice("s", F.lit(1), length), lambda x: x["mixed"]), lambda x: x["shingle"]
     )
     keyed = tables.kept(
-        prefixes.filter("s.mixed").select("b", F.col("s.shingle").alias("shingle"), "id", "class_id", "n"), "near-prefixes"
+        open_ones.join(listed, ["b", "id"])
+        .select("b", "id", "class_id", "n", "nearest", prefix.alias("prefix"))
+        .select("*", F.explode("prefix").alias("shingle")),
+        "near-prefixes",
+    )
+    apart = (
+        (F.col("id") < F.col("id2"))
+        & (F.col("class_id") != F.col("class2"))
+        & (F.least("n", "n2") >= F.lit(SIMILARITY) * F.greatest("n", "n2") - 1e-9)
+        & ((F.col("nearest") != F.col("nearest2")) | (F.col("nearest") == F.col("b")))
     )
-    apart = (F.col("id") < F.col("id2")) & (F.col("class_id") != F.col("class2")) & (
-        F.least("n", "n2") >= F.lit(SIMILARITY) * F.greatest("n", "n2") - 1e-9
+    renamed = keyed.select(
+        "b", "shingle", F.col("id").alias("id2"), F.col("class_id").alias("class2"), F.col("n").alias("n2"),
+        F.col("nearest").alias("nearest2"), F.col("prefix").alias("prefix2"),
     )
-    met = keyed.join(keyed.toDF("b", "shingle", "id2", "class2", "n2"), ["b", "shingle"]).filter(apart)
+    once = F.array_min(F.array_intersect("prefix", "prefix2")) == F.col("shingle")
+    met = keyed.join(renamed, ["b", "shingle"]).filter(apart & once)
 
     # So much in common with the hub that nothing else need be shared. A text is let in by
     # what it needs beside the shortest text of its hub, which leaves few.
     shortest = open_ones.groupBy("b").agg(F.min("n").alias("least_n"))
-    slim = open_ones.select("b", "id", "class_id", "n", "common")
+    slim = open_ones.select("b", "id", "class_id", "n", "nearest", "common")
     close = tables.kept(
         slim.join(shortest, "b").filter(F.col("common") > share * (F.col("n") + F.col("least_n")) - 1).drop("least_n"), "near-close"
     )
-    beside = close.join(close.toDF("b", "id2", "class2", "n2", "common2"), "b").filter(
+    beside = close.join(close.toDF("b", "id2", "class2", "n2", "nearest2", "common2"), "b").filter(
         apart & (F.least("common", "common2") > share * (F.col("n") + F.col("n2")) - 1)
     )
     return met.select("id", "id2").union(beside.select("id", "id2")).toDF("a", "b").distinct()
