@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -43,7 +44,8 @@ ORACLE = None  # a search over a vocabulary: checked against the library's unigr
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+ADMITTED = 400_000
 #: Longer stretches are not remembered.
 REMEMBERED_CHARS = 40
 
@@ -55,6 +57,7 @@ class Codec:
         lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
         self.texts = [lib.id_to_piece(i) for i in range(n)]
+        self.lengths = [len(t) for t in self.texts]
         self.unknown = lib.unk_id()
         self.bytes = {int(self.texts[i][1:-1], 16): i for i in range(n) if lib.is_byte(i)}
         special = {i for i in range(n) if lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i)}
@@ -75,11 +78,14 @@ class Codec:
         self.merges = whole if merges is None else merges
         self.admitted: dict[int, bool] = {}
         self.steps: dict[str, tuple[list[float], list[str], list[str], bool]] = {}  # of pieces and single characters
-        self.automaton = ahocorasick.Automaton()
+        self.weights = [0.0] * n
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for text, (score, i) in self.scores.items():
-            self.automaton.add_word(text, (len(text), score, i))
+            self.weights[i] = score
+            self.automaton.add_word(text, i)
         self.automaton.make_automaton()
-        self.remembered, self.cache = remembered, {}
+        # Two generations: what is used again moves up, so frequent stretches stay.
+        self.remembered, self.cache, self.older = remembered, {}, {}
 
     def _fallback(self, char: str) -> list[int]:
         codes = char.encode()
@@ -131,7 +137,7 @@ class Codec:
                 j += 1
 
     def _admits(self, key: int, before: str, piece: str) -> bool:
-        if len(self.admitted) >= 2 * self.remembered:
+        if len(self.admitted) >= ADMITTED:
             self.admitted.clear()
         told = self.admitted[key] = self.admits(before, piece)
         return told
@@ -140,11 +146,12 @@ class Codec:
         """Ids that merging a stretch of normalised text leaves."""
         n = len(stretch)
         left = [0] * (n + 1)  # the last piece up to a place, as id + 1; 0 where its last character stands alone
-        known, texts = self.admitted.get, self.texts
-        for last, (length, _, i) in self.automaton.iter(stretch):
-            if left[last + 1]:
+        known, texts, lengths = self.admitted.get, self.texts, self.lengths
+        for last, i in self.automaton.iter(stretch):
+            end = last + 1
+            if left[end]:
                 continue
-            start = last + 1 - length
+            start = end - lengths[i]
             before = left[start]
             if not before and start:
                 before = -ord(stretch[start - 1])
@@ -154,18 +161,19 @@ class Codec:
                 text = texts[before - 1] if before > 0 else stretch[start - 1] if before else ""
                 good = self._admits(key, text, texts[i])
             if good:
-                left[last + 1] = i + 1
-        parts: list[list[int]] = []
+                left[end] = i + 1
+        ids: list[int] = []
         at = n
         while at > 0:
             i = left[at] - 1
             if i >= 0:
-                parts.append([i])
-                at -= len(texts[i])
+                ids.append(i)
+                at -= lengths[i]
             else:
                 at -= 1
-                parts.append(self._fallback(stretch[at]))
-        return [i for part in reversed(parts) for i in part]
+                ids += self._fallback(stretch[at])[::-1]
+        ids.reverse()
+        return ids
 
     def search(self, stretch: str) -> list[int]:
         """Ids of the way to cut a stretch of normalised text that has the best sum of scores."""
@@ -183,12 +191,12 @@ class Codec:
                     best[reached] = best[reached - 1] + self.floor
                     came[reached] = (reached - 1, -1)
 
-        for last, (length, score, i) in self.automaton.iter(stretch):
+        for last, i in self.automaton.iter(stretch):
             end = last + 1
             if end - 1 > reached:
                 settle(end - 1)
-            start = end - length
-            total = best[start] + score
+            start = end - self.lengths[i]
+            total = best[start] + self.weights[i]
             if total > best[end]:
                 best[end] = total
                 came[end] = (start, i)
@@ -210,18 +218,26 @@ class Codec:
         if not text:
             return b""
         parts = []
-        cache, search = self.cache, self.search_merges if self.merges else self.search
+        look = self.cache.get
         for stretch in self.cut.findall(MARK + text.replace(" ", MARK)):
-            ids = cache.get(stretch)
+            ids = look(stretch)
             if ids is None:
-                ids = np.array(search(stretch), dtype=np.int32).tobytes()
-                if len(stretch) <= REMEMBERED_CHARS:
-                    if len(cache) >= self.remembered:
-                        cache.clear()
-                    cache[stretch] = ids
+                ids = self._found(stretch)
+                look = self.cache.get
             parts.append(ids)
         return b"".join(parts)
 
+    def _found(self, stretch: str) -> bytes:
+        """Ids of a stretch that is not among the latest: from those before, or by a search."""
+        ids = self.older.pop(stretch, None)
+        if ids is None:
+            ids = array("i", self.search_merges(stretch) if self.merges else self.search(stretch)).tobytes()
+        if len(stretch) <= REMEMBERED_CHARS:
+            if len(self.cache) >= self.remembered:
+                self.cache, self.older = {}, self.cache
+            self.cache[stretch] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return text.removeprefix(" ")
