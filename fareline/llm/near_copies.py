@@ -289,7 +289,7 @@ def _other_pairs(compared: DataFrame, classes: DataFrame) -> DataFrame:
     )
     keyed = tables.kept(
         open_ones.join(listed, ["b", "id"])
-        .select("b", "id", "class_id", "n", "nearest", prefix.alias("prefix"))
+        .select("b", "id", "class_id", "n", "nearest", "common", prefix.alias("prefix"), F.col("s.shingle").alias("repeated"))
         .select("*", F.explode("prefix").alias("shingle")),
         "near-prefixes",
     )
@@ -301,10 +301,14 @@ def _other_pairs(compared: DataFrame, classes: DataFrame) -> DataFrame:
     )
     renamed = keyed.select(
         "b", "shingle", F.col("id").alias("id2"), F.col("class_id").alias("class2"), F.col("n").alias("n2"),
-        F.col("nearest").alias("nearest2"), F.col("prefix").alias("prefix2"),
+        F.col("nearest").alias("nearest2"), F.col("common").alias("common2"), F.col("prefix").alias("prefix2"),
+        F.col("repeated").alias("repeated2"),
     )
+    # What similar texts share beyond the hub: at least what they need without the hub's part.
+    beyond = F.size(F.array_intersect("repeated", "repeated2"))
+    enough = beyond >= share * (F.col("n") + F.col("n2")) - F.least("common", "common2") - 1e-6
     once = F.array_min(F.array_intersect("prefix", "prefix2")) == F.col("shingle")
-    met = keyed.join(renamed, ["b", "shingle"]).filter(apart & once)
+    met = keyed.join(renamed, ["b", "shingle"]).filter(apart & once & enough)
 
     # So much in common with the hub that nothing else need be shared. A text is let in by
     # what it needs beside the shortest text of its hub, which leaves few.
