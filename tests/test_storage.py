@@ -121,22 +121,27 @@ def test_work_folders_are_fresh_and_checkpoints_enabled(spark):
 
 CLEAN_SESSION = """
 import os
+from pyspark.sql import SparkSession
 from fareline import session
 from fareline.plans.catalog import queries
 
-spark = session.local_session(cores=2)
-shared = session._shared_root(spark)
+spark = (
+    SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+    .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "{shared}").getOrCreate()
+)
 for name in ("w11_admit_users", "st2_payment_totals"):
     queries()[name](spark, "/root/testdata/sf0.001").count()
-assert os.listdir(shared)
+files = lambda: [f for _, _, names in os.walk("{shared}") for f in names]
+assert files()
 session.finish(spark)
-assert not [f for _, _, names in os.walk(shared) for f in names], list(os.walk(shared))
+assert not files(), files()
 """
 
 
-def test_nothing_is_left_after_the_end():
+def test_nothing_is_left_after_the_end(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    done = subprocess.run([sys.executable, "-c", CLEAN_SESSION], cwd=root, capture_output=True, text=True, timeout=240)
+    code = CLEAN_SESSION.format(shared=tmp_path / "shared")
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
 
 
