@@ -18,10 +18,11 @@ from fareline.llm import (
     personal_data,
     pieces,
     quality,
+    swap_packing,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest]
+_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest, swap_packing]
 
 
 def queries() -> dict[str, Query]:
