@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from fareline.llm import (
+    alignment,
     archives,
     exact_copies,
     languages,
@@ -22,7 +23,7 @@ from fareline.llm import (
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest, swap_packing]
+_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest, swap_packing, alignment]
 
 
 def queries() -> dict[str, Query]:

@@ -1,0 +1,189 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from fareline.llm import alignment as A
+from fareline.llm import swap_packing
+from fareline.llm.swap_packing import ByteVocabulary, byte_of_character
+from tests.llm.rows import documents, prose
+
+TEXTS = [
+    None,
+    "",
+    " ",
+    "plain words, and more; words",
+    "<|endoftext|> </s> <s> <unk> <0x41> are ordinary text",
+    "Ünïcode — 漢字 🙂\n\n\ttabs  and   spaces ",
+    "a mark ▁ that stands for a space",
+    "nul \x00 and \x7f and   and   and \r\n",
+    "x" * 300,
+    "über été naïve " * 30,
+    "a b c d e f g 1 22 333 'll 've",
+    "é ﬁ Ⅷ ½ ① ​",
+    *[prose(n, n) for n in range(1, 200, 23)],
+    *["one of many copies"] * 7,
+]
+
+
+@pytest.fixture(scope="module")
+def plain():
+    """The contract, token by token."""
+    library = Tokenizer.from_file(A.BYTE_VOCABULARY)
+    library.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=A.PIECES)
+    entries = {i: t for t, i in library.get_vocab().items()}
+    byte_of = byte_of_character()
+
+    def tokens(text):
+        if not text:
+            return [], []
+        a = [(i, bytes(byte_of[c] for c in entries[i])) for i in library.encode(" " + text, add_special_tokens=False).ids]
+        b = []
+        for i in pieces.encode(text):
+            t = pieces.id_to_piece(i)
+            b.append((i, bytes([int(t[3:5], 16)]) if pieces.is_byte(i) else t.replace("▁", " ").encode()))
+        raw = (" " + text).encode()
+        if b"".join(t for _, t in a) != raw or b"".join(t for _, t in b) != raw:
+            return [], []
+        return a, b
+
+    def spans(items):
+        out, at = [], 0
+        for i, t in items:
+            out.append((i, at, at + len(t)))
+            at += len(t)
+        return out
+
+    def of(text):
+        a, b = map(spans, tokens(text))
+        links = [(x[0], y[0]) for x in a for y in b if max(x[1], y[1]) < min(x[2], y[2])]
+        common = sorted({x[2] for x in a} & {y[2] for y in b})
+        groups = []
+        for low, high in zip([0, *common], common):
+            groups.append(([x[0] for x in a if low < x[2] <= high], [y[0] for y in b if low < y[2] <= high]))
+        return len(a), len(b), groups, links
+
+    return of
+
+
+def expected(texts, plain):
+    each = [plain(t) for t in texts]
+    counts = Counter(pair for *_, links in each for pair in links)
+    most = defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    out = []
+    for i, (n_a, n_b, groups, links) in enumerate(each):
+        text = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+        best = sum(counts[p] == most[p[1]] for p in links)
+        digest = hashlib.sha256(text.encode()).hexdigest() if n_a else ""
+        out.append((i, n_a, n_b, len(groups), len(links), best, sum(counts[p] for p in links), digest))
+    return out
+
+
+COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+
+
+def rows(df):
+    assert df.columns == COLUMNS
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is None, r))
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_gallop_and_ranks(seed):
+    rng = np.random.default_rng(seed)
+    into = np.unique(rng.integers(0, 500, rng.integers(0, 200)))
+    keys = np.sort(rng.integers(-5, 505, rng.integers(0, 150)))
+    want = np.searchsorted(into, keys)
+    assert A.gallop(keys, into, rng.integers(-3, 300, len(keys))).tolist() == want.tolist()
+    assert A.ranks(keys, into).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cuts(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 120))
+    ends = [np.append(np.flatnonzero(rng.random(n) < p) + 1, n + 1) for p in rng.random(2)]
+    found = A.cuts(*ends)
+    begins = [np.concatenate(([0], e[:-1])) for e in ends]
+    links = [
+        (i, j)
+        for i in range(len(ends[0]))
+        for j in range(len(ends[1]))
+        if max(begins[0][i], begins[1][j]) < min(ends[0][i], ends[1][j])
+    ]
+    assert list(zip(found.a_link.tolist(), found.b_link.tolist(), strict=True)) == links
+    common = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+    assert ends[0][found.a_last].tolist() == ends[1][found.b_last].tolist() == common
+
+
+def test_against_every_pair_of_tokens(spark, plain):
+    assert rows(A.aligned(documents(spark, TEXTS))) == expected(TEXTS, plain)
+
+
+def test_small_blocks_chunks_and_parts(spark, plain, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BYTES", 200)
+    got = rows(A.aligned(documents(spark, TEXTS)))
+    assert got == expected(TEXTS, plain)
+    with open(A.PIECES, "rb") as f:
+        coders = A.Coders(ByteVocabulary(A.BYTE_VOCABULARY), f.read())
+    whole = A.align(coders, TEXTS)
+    monkeypatch.setattr(A, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(A, "parts_of", lambda text: swap_packing.parts_of(text, 20))
+    cut = A.align(coders, TEXTS)
+    assert coders.parted
+    for x, y in zip(whole, cut, strict=True):
+        assert np.array_equal(x, y)
+
+
+def test_a_refused_part_refuses_the_whole_text(monkeypatch, plain):
+    monkeypatch.setattr(A, "CHUNK_CHARS", 30)
+    monkeypatch.setattr(A, "parts_of", lambda text: swap_packing.parts_of(text, 20))
+    with open(A.PIECES, "rb") as f:
+        coders = A.Coders(ByteVocabulary(A.BYTE_VOCABULARY), f.read())
+    found = A.align(coders, ["good words " * 20 + "▁ and more " * 20, "fine"])
+    assert found.totals[0].tolist() == [0, 0, 0, 0] and found.digests[0] == "" and found.ends.tolist()[0] == 0
+    assert found.totals[1].tolist()[:2] == list(plain("fine")[:2])
+
+
+def test_groups(spark, plain):
+    got = {r["doc_id"]: [(g["a"], g["b"]) for g in r["groups"]] for r in A.groups(documents(spark, TEXTS)).collect()}
+    assert got == {i: plain(t)[2] for i, t in enumerate(TEXTS)}
+
+
+def test_repeated_rows_null_ids_and_empty_table(spark, plain):
+    texts, ids = ["a b", "a b", None, "c d"], [1, 1, None, None]
+    got = rows(A.aligned(documents(spark, texts, ids)))
+    want = [(ids[r[0]], *r[1:]) for r in expected(texts, plain)]
+    assert got == sorted(want, key=lambda r: (r[0] is None, r))
+    assert A.aligned(documents(spark, ["a"]).limit(0)).collect() == []
+    nothing = rows(A.aligned(documents(spark, [None, ""])))
+    assert nothing == [(0, 0, 0, 0, 0, 0, 0, ""), (1, 0, 0, 0, 0, 0, 0, "")]
+
+
+def test_one_long_text_beside_short_ones(spark, plain):
+    long = prose(60_000, 3)
+    docs = documents(spark, [long, "short"])
+    got = rows(A.aligned(docs))
+    with open(A.PIECES, "rb") as f:
+        coders = A.Coders(ByteVocabulary(A.BYTE_VOCABULARY), f.read())
+    a, b = coders.encode(long, True)  # whole, not in parts
+    n_groups = len(A.cuts(np.cumsum(coders.a_widths[a]), np.cumsum(coders.b_widths[b])).a_last)
+    assert got[0][1:5] == (len(a), len(b), n_groups, len(a) + len(b) - n_groups)
+    assert got[1][1] == plain("short")[0]
+
+
+def test_given_table(spark, plain):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter(F.length("text") < 3000).orderBy("doc_id").limit(40)
+    kept = docs.collect()
+    want = [(kept[r[0]]["doc_id"], *r[1:]) for r in expected([r["text"] for r in kept], plain)]
+    assert rows(A.aligned(docs)) == sorted(want)
+    got = {r[0]: r for r in rows(A.query(spark, folder))}
+    for w in want:  # counts over the corpus differ, those of the document do not
+        assert got[w[0]][:5] == w[:5] and got[w[0]][7] == w[7]
