@@ -18,12 +18,13 @@ from fareline.llm import (
     passages,
     personal_data,
     pieces,
+    prefix_trie,
     quality,
     swap_packing,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest, swap_packing, alignment]
+_MODULES = [pieces, passages, quality, near_copies, personal_data, exact_copies, languages, archives, packing, nearest, prefix_trie, swap_packing, alignment]
 
 
 def queries() -> dict[str, Query]:

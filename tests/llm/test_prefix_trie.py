@@ -1,0 +1,162 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from fareline.llm import prefix_trie as T
+from tests.compare import connect, sql_rows
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+COLUMNS = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def conversations(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    return df.withColumns({n: F.lit(1) for n in ("id", "ids", "words", "digest", "key", "shard", "base", "h")})
+
+
+def digest(role, text):
+    role, text = role or "", text or ""
+    return hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+
+
+def expected(rows):
+    """The contract with lists and a dictionary of prefixes."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, digest(role, text), role or "", text or ""))
+    own = {c: [t[3:] for t in sorted(turns)] for c, turns in own.items()}
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - (c % 20 if c >= 0 else -(-c % 20))
+        built[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    out = []
+    for p, convs in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        words = lambda q: len(re.findall(r"[^\x20\x09-\x0D]+", q[-1][1])) if q else 0
+        ends = ",".join(map(str, sorted(c for c in convs if built[c] == p)))
+        out.append(
+            (
+                min(convs),
+                len(p),
+                min(members[p[:-1]]) if p else None,
+                len(convs),
+                sum(len(q) == len(p) + 1 for q in below),
+                sum(not any(len(r) == len(q) + 1 and r[: len(q)] == q for r in below) for q in below),
+                sum((len(members[q]) - 1) * words(q) for q in below),
+                hashlib.sha256(ends.encode()).hexdigest(),
+            )
+        )
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    assert df.columns == COLUMNS
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def made(seed, n, choices=3, depth=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for c in range(n):
+        for turn in range(int(rng.integers(0, depth))):
+            rows.append((c, turn, ["user", "assistant"][turn % 2], f"say {rng.integers(choices)} of it"))
+    return rows
+
+
+def run(spark, rows, shard_turns=None):
+    return T.trie(T.rebuilt(T.sequences(conversations(spark, rows))), shard_turns)
+
+
+def test_medians_and_the_tree():
+    assert sorted(T.medians(10)) == list(range(10)) and next(T.medians(9)) == 4
+    assert list(T.medians(0)) == []
+    tree = T.TernaryTree()
+    found = {s: tree.insert(list(s), [1] * len(s)) for s in [(3, 1), (3,), (2, 9), (5,), (3, 0), ()]}
+    assert found[()] == 0 and tree.insert([3, 1], [1, 1]) == found[(3, 1)]
+    order, parent, depth = tree.traverse()
+    assert sorted(order) == list(range(len(order)))
+    place = {node: i for i, node in enumerate(order)}
+    for s, node in found.items():
+        path = tree.path(list(s))
+        assert path[-1] == node and [depth[x] for x in path] == list(range(len(s) + 1))
+        assert [parent[x] for x in path[1:]] == path[:-1]
+        assert all(place[a] < place[b] for a, b in zip(path, path[1:]))
+
+
+def test_the_tree_is_balanced():
+    tree = T.TernaryTree()
+    for k in T.medians(1023):
+        tree.insert([k], [0])
+    deepest, stack = 0, [(tree.same[0], 1)]
+    while stack:
+        node, level = stack.pop()
+        if node >= 0:
+            deepest = max(deepest, level)
+            stack += [(tree.low[node], level + 1), (tree.high[node], level + 1)]
+    assert deepest == 10
+
+
+@pytest.mark.parametrize("shard_turns", [1, 3, 10, 40, None])
+@pytest.mark.parametrize("seed, n, choices", [(1, 60, 2), (2, 45, 4), (3, 80, 1)])
+def test_against_plain_prefixes(spark, seed, n, choices, shard_turns):
+    rows = made(seed, n, choices)
+    assert rows_of(run(spark, rows, shard_turns)) == expected(rows)
+
+
+def test_nulls_ties_repeats_and_negative_ids(spark):
+    rows = [
+        (40, None, "user", "first as null"),
+        (40, 0, None, None),
+        (40, 0, "user", "same turn"),
+        (40, 0, "user", "same turn"),
+        (40, 7, "user", ""),
+        (41, 0, "user", "one two"),
+        (47, 0, "a", "bc"),
+        (48, 0, "ab", "c"),  # another turn than the one before
+        (None, 0, "user", "no conversation"),
+        (-5, 1, "user", "below\tnull\x0bnull"),
+        (-20, 1, "user", "a  b"),
+        (-21, 1, "user", "a  b"),
+        (2**62, 1, "user", "x" * 100_000),
+        *[(c, 0, "user", "turnless after all") for c in range(100, 120)],
+    ]
+    assert rows_of(run(spark, rows)) == expected(rows)
+    assert rows_of(run(spark, rows, 2)) == expected(rows)
+
+
+def test_empty_table(spark):
+    assert rows_of(run(spark, [(1, 0, "user", "x")][:0])) == []
+    assert rows_of(run(spark, [(None, 0, "user", "x")])) == []
+
+
+def test_many_members_of_one_end(spark, monkeypatch):
+    monkeypatch.setattr(T, "RUN_IDS", 7)
+    rows = [(20 * c, turn, "user", "same words") for c in range(300) for turn in range(2)]
+    rows += [(20 * c, 2, "user", "more") for c in range(150)]
+    assert rows_of(run(spark, rows, 30)) == expected(rows)
+
+
+def test_a_long_conversation(spark):
+    rows = [(20 * c, turn, "user", f"turn {turn % 5}") for c, n in ((1, 300), (2, 299), (3, 1)) for turn in range(n)]
+    assert rows_of(run(spark, rows, 8)) == expected(rows)
+
+
+def test_the_sql_on_awkward_rows(spark, tmp_path):
+    rows = [r for r in made(5, 70, 2) if r[0] % 7] + [(21, None, None, None), (21, 0, "user", None)]
+    path = tmp_path / "conversations.parquet"
+    conversations(spark, rows).coalesce(1).toPandas().astype({"turn": "Int64"}).to_parquet(path)
+    names, want = sql_rows(connect(tmp_path), T.ORACLE)
+    got = [dict(zip(COLUMNS, r, strict=True)) for r in expected(rows)]
+    assert names == sorted(COLUMNS)
+    assert want == sorted(tuple(str(r[c]) for c in names) for r in got)
