@@ -37,6 +37,7 @@ REASON_CAPACITY = "Capacity out of range"
 REASON_DISTANCE = "Distance out of range"
 REASON_FARE = "Fare out of range"
 REASON_AMOUNT = "Total amount out of range"
+REASON_SEAT = "Seat already booked"
 
 # Characters removed at both ends of submitted text.
 TRIMMED = " \n\r\t\x0b\x00"

@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from fareline.functions import fixed_values as V
 from fareline.functions.display import total_fare, transaction_code
 from fareline.functions.text import number, sanitize, whole_number
+from fareline.operators.admission import first_come
 from fareline.operators.filters import active_routes
+from fareline.operators.seats import live_holds
 from fareline.session import stored
 
 # Seats are generated in runs of this length, so no row ever carries a long array.
@@ -281,13 +283,23 @@ def apply_status(bookings: DataFrame, changes: DataFrame) -> DataFrame:
     return _overwrite(bookings, latest, "booking_id", ["status"])
 
 
-def create_bookings(t, requests: DataFrame, as_of: str | dt.date) -> NewBookings:
-    """Turn requests into pending bookings with their seats.
+class AddedBookings(NamedTuple):
+    """What a batch of requests adds, and the refused ones."""
+
+    bookings: DataFrame
+    booking_seat: DataFrame
+    rejects: DataFrame
+
+
+def added_bookings(
+    routes: DataFrame, next_id: Column, requests: DataFrame, as_of: str | dt.date, held: DataFrame | None = None
+) -> AddedBookings:
+    """The new rows of a batch of requests; ids are ``next_id + request_id``.
 
-    A request needs an active route and at least one seat. Neither free seats nor
-    a bus that serves the route are asked for; the audits report both.
+    ``held``: the seats that live bookings hold, by route and day. Then a request that asks
+    for one of them, or for a seat of an earlier accepted request, is refused as a whole.
     """
-    fares = active_routes(t.routes).select("route_id", "fare")
+    fares = active_routes(routes).select("route_id", "fare")
     asked = requests.join(fares, "route_id", "left").withColumn(
         "n", F.when(F.col("seats").isNull(), 0).otherwise(F.size("seats"))
     )
@@ -299,9 +311,16 @@ def create_bookings(t, requests: DataFrame, as_of: str | dt.date) -> NewBookings
     )
     # Stored, as all three results read it.
     checked = stored(asked.withColumn("reason", reason), "checked-requests")
-    accepted = checked.filter(F.col("reason").isNull()).withColumn(
-        "booking_id", _next_id(t.bookings, "booking_id") + F.col("request_id")
-    )
+    if held is not None:
+        sound = checked.filter(F.col("reason").isNull())
+        with_order = sound.select("request_id", F.struct("ts", "request_id").alias("at"), "route_id", "journey_date", "seats")
+        fits = stored(first_come(with_order, held), "fitting-requests").withColumn("fits", F.lit(1))
+        clash = F.when(F.col("fits").isNull(), V.REASON_SEAT)
+        checked = stored(
+            checked.join(fits, "request_id", "left").withColumn("reason", F.coalesce("reason", clash)).drop("fits"),
+            "checked-requests",
+        )
+    accepted = checked.filter(F.col("reason").isNull()).withColumn("booking_id", next_id + F.col("request_id"))
     added = accepted.select(
         "booking_id",
         "user_id",
@@ -317,9 +336,19 @@ def create_bookings(t, requests: DataFrame, as_of: str | dt.date) -> NewBookings
         *_clean("passenger_names", "passenger_phones"),
     )
     links = accepted.select("booking_id", F.explode("seats").alias("seat_id"))
-    rejects = checked.filter(F.col("reason").isNotNull()).select("request_id", "reason")
+    return AddedBookings(added, links, checked.filter(F.col("reason").isNotNull()).select("request_id", "reason"))
+
+
+def create_bookings(t, requests: DataFrame, as_of: str | dt.date, refuse_clashes: bool = False) -> NewBookings:
+    """Turn requests into pending bookings with their seats.
+
+    A request needs an active route and at least one seat. A bus that serves the route is
+    not asked for, and free seats are with ``refuse_clashes`` alone; the audits report both.
+    """
+    held = live_holds(t, requests) if refuse_clashes else None
+    new = added_bookings(t.routes, _next_id(t.bookings, "booking_id"), requests, as_of, held)
     return NewBookings(
-        t.bookings.unionByName(added), t.booking_seat.unionByName(links), rejects
+        t.bookings.unionByName(new.bookings), t.booking_seat.unionByName(new.booking_seat), new.rejects
     )
 
 

@@ -454,6 +454,26 @@ def _(t):
     return _create_bookings(t).rejects
 
 
+def _create_without_clashes(t):
+    return changes.create_bookings(t, t.booking_requests, AS_OF, refuse_clashes=True)
+
+
+@_query("w9_no_clash")
+def _(t):
+    """Requests in order of arrival; those for a taken seat are refused."""
+    return _create_without_clashes(t).bookings
+
+
+@_query("w9_no_clash_seats")
+def _(t):
+    return _create_without_clashes(t).booking_seat
+
+
+@_query("w9_no_clash_rejects")
+def _(t):
+    return _create_without_clashes(t).rejects
+
+
 def _post_payments(t):
     return changes.post_payments(t, t.pay_requests)
 

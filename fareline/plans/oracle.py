@@ -90,6 +90,10 @@ payments AS (
     JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) k ON k.k = 0 OR b.booking_id % 23 = 0
   WHERE (lower(b.status) = 'confirmed' AND b.booking_id % 11 <> 0)
     OR (lower(b.status) = 'cancelled' AND b.booking_id % 4 = 0)),
+trips AS (SELECT DISTINCT bus_id, route_id, journey_date FROM bookings),
+holds AS (
+  SELECT bs.seat_id, b.route_id, b.journey_date, b.booking_id
+  FROM booking_seat bs JOIN bookings b ON b.booking_id = bs.booking_id WHERE lower(b.status) <> 'cancelled'),
 booking_changes AS (
   SELECT event_id AS change_id, ts, (event_id * 7) % n_order AS booking_id,
     CASE event_type WHEN 'purchase' THEN 'pay' ELSE 'set_status' END AS kind,
@@ -120,6 +124,22 @@ accepted_requests AS (
   SELECT q.*, r.fare, (SELECT max(booking_id) FROM bookings) + 1 + q.request_id AS booking_id
   FROM booking_requests q JOIN routes r ON r.route_id = q.route_id AND r.is_active = 1
   WHERE q.n_seats > 0),
+-- One by one in order of arrival on each route and day: a request gets in if all its seats are free.
+requests_in_turn AS (
+  SELECT *, list_transform(range(0, n_seats), lambda i: bus_id * 100 + 1 + first_seat + i) AS seats,
+    row_number() OVER (PARTITION BY route_id, journey_date ORDER BY ts, request_id) AS turn
+  FROM accepted_requests),
+seat_fold AS (
+  SELECT q.route_id, q.journey_date, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS request_id, false AS fits,
+    coalesce((SELECT list(h.seat_id) FROM holds h WHERE h.route_id = q.route_id AND h.journey_date = q.journey_date),
+      CAST([] AS BIGINT[])) AS taken
+  FROM (SELECT DISTINCT route_id, journey_date FROM requests_in_turn) q
+  UNION ALL
+  SELECT i.route_id, i.journey_date, i.turn, i.request_id, NOT list_has_any(f.taken, i.seats),
+    CASE WHEN list_has_any(f.taken, i.seats) THEN f.taken ELSE list_concat(f.taken, i.seats) END
+  FROM seat_fold f JOIN requests_in_turn i
+    ON i.route_id = f.route_id AND i.journey_date = f.journey_date AND i.turn = f.turn + 1),
+seated_requests AS (SELECT q.* FROM accepted_requests q JOIN seat_fold f ON f.request_id = q.request_id AND f.fits),
 registrations AS (
   SELECT event_id AS reg_id, ts,
     CASE WHEN event_id % 3 = 0 THEN concat('Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0'))
@@ -177,10 +197,6 @@ new_routes AS (
     concat('To ', p_brand) AS destination_city, p_size * 10 AS distance,
     CAST(p_size + 0.75 AS DECIMAL(10,2)) AS fare, p_size
   FROM part WHERE p_partkey % 33 <> 5),
-trips AS (SELECT DISTINCT bus_id, route_id, journey_date FROM bookings),
-holds AS (
-  SELECT bs.seat_id, b.route_id, b.journey_date, b.booking_id
-  FROM booking_seat bs JOIN bookings b ON b.booking_id = bs.booking_id WHERE lower(b.status) <> 'cancelled'),
 seat_map AS (
   SELECT t.bus_id, t.route_id, t.journey_date, s.seat_id, s.seat_number, h.seat_id IS NOT NULL AS is_booked
   FROM trips t JOIN seats s ON s.bus_id = t.bus_id
@@ -229,6 +245,22 @@ def _with_status(source: str) -> str:
         FROM {source} GROUP BY booking_id) c ON c.booking_id = b.booking_id"""
 
 
+def _with_requests(accepted: str) -> str:
+    return f"""
+      SELECT * FROM bookings UNION ALL
+      SELECT booking_id, user_id, route_id, bus_id, DATE '{AS_OF}', journey_date, 'pending', n_seats, n_seats,
+        CAST(fare * n_seats AS DECIMAL(12,2)), DATE '{AS_OF}',
+        concat('Pax ', replace(props, '"', '&quot;'), chr(10), 'Guest'), '01700000000'
+      FROM {accepted}"""
+
+
+def _with_request_seats(accepted: str) -> str:
+    return f"""
+      SELECT * FROM booking_seat UNION ALL
+      SELECT booking_id, bus_id * 100 + 1 + first_seat + i
+      FROM (SELECT *, unnest(range(0, n_seats)) AS i FROM {accepted})"""
+
+
 def _grouped(expression: str) -> str:
     return f"format('{{:,.2f}}', CAST(round({expression}, 2) AS DOUBLE))"
 
@@ -447,16 +479,15 @@ _QUERIES: dict[str, str] = {
       FROM users u LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type
         FROM events GROUP BY user_id) e ON e.user_id = u.user_id""",
     "w8_apply_status": _with_status("booking_changes"),
-    "w9_create_bookings": f"""
-      SELECT * FROM bookings UNION ALL
-      SELECT booking_id, user_id, route_id, bus_id, DATE '{AS_OF}', journey_date, 'pending', n_seats, n_seats,
-        CAST(fare * n_seats AS DECIMAL(12,2)), DATE '{AS_OF}',
-        concat('Pax ', replace(props, '"', '&quot;'), chr(10), 'Guest'), '01700000000'
-      FROM accepted_requests""",
-    "w9_create_bookings_seats": """
-      SELECT * FROM booking_seat UNION ALL
-      SELECT booking_id, bus_id * 100 + 1 + first_seat + i
-      FROM (SELECT *, unnest(range(0, n_seats)) AS i FROM accepted_requests)""",
+    "w9_create_bookings": _with_requests("accepted_requests"),
+    "w9_create_bookings_seats": _with_request_seats("accepted_requests"),
+    "w9_no_clash": _with_requests("seated_requests"),
+    "w9_no_clash_seats": _with_request_seats("seated_requests"),
+    "w9_no_clash_rejects": f"""
+      SELECT q.request_id, CASE WHEN coalesce(r.is_active, 0) = 0 THEN '{V.REASON_ROUTE}'
+        WHEN q.n_seats = 0 THEN '{V.REASON_NO_SEAT}' ELSE '{V.REASON_SEAT}' END AS reason
+      FROM booking_requests q LEFT JOIN routes r ON r.route_id = q.route_id
+      WHERE q.request_id NOT IN (SELECT request_id FROM seated_requests)""",
     "w9_create_bookings_rejects": f"""
       SELECT request_id, CASE WHEN coalesce(r.is_active, 0) = 0 THEN '{V.REASON_ROUTE}'
         ELSE '{V.REASON_NO_SEAT}' END AS reason
