@@ -358,12 +358,11 @@ def payable(pays: DataFrame, bookings: DataFrame) -> DataFrame:
     return pays.join(due, ["booking_id", "user_id"])
 
 
-def post_payments(t, pays: DataFrame) -> PostedPayments:
-    """Record payments of the stored total and confirm the bookings, whatever their status."""
-    accepted = stored(payable(pays, t.bookings), "accepted-payments")  # all three results read it
+def posted_payments(accepted: DataFrame, next_id: Column) -> DataFrame:
+    """The payment rows of accepted requests, as :func:`payable` gives them."""
     number_ = F.col("change_id")
-    added = accepted.select(
-        (_next_id(t.payments, "payment_id") + number_).alias("payment_id"),
+    return accepted.select(
+        (next_id + number_).alias("payment_id"),
         "booking_id",
         "user_id",
         F.col("total_amount").alias("amount"),
@@ -371,13 +370,22 @@ def post_payments(t, pays: DataFrame) -> PostedPayments:
         transaction_code(F.col("ts"), number_).alias("transaction_id"),
         F.lit(V.PAYMENT_COMPLETED).alias("payment_status"),
     )
-    confirmations = accepted.withColumn("new_status", F.lit(V.STATUS_CONFIRMED))
+
+
+def refused_payments(pays: DataFrame, accepted: DataFrame) -> DataFrame:
     # Against the accepted requests, not the bookings: a small batch stays small.
-    rejects = pays.join(accepted.select("change_id"), "change_id", "left_anti").select(
+    return pays.join(accepted.select("change_id"), "change_id", "left_anti").select(
         "change_id", F.lit(V.REASON_BOOKING).alias("reason")
     )
+
+
+def post_payments(t, pays: DataFrame) -> PostedPayments:
+    """Record payments of the stored total and confirm the bookings, whatever their status."""
+    accepted = stored(payable(pays, t.bookings), "accepted-payments")  # all three results read it
+    added = posted_payments(accepted, _next_id(t.payments, "payment_id"))
+    confirmations = accepted.withColumn("new_status", F.lit(V.STATUS_CONFIRMED))
     return PostedPayments(
-        t.payments.unionByName(added), apply_status(t.bookings, confirmations), rejects
+        t.payments.unionByName(added), apply_status(t.bookings, confirmations), refused_payments(pays, accepted)
     )
 
 

@@ -40,19 +40,31 @@ def _one_row(parts: list[DataFrame]) -> DataFrame:
     return stacked.agg(*[F.sum(name).alias(name) for name in names])
 
 
-def dashboard_kpis(t) -> DataFrame:
-    """Seven figures in one row; revenue counts every payment."""
+def dashboard_kpis(t, kept=None) -> DataFrame:
+    """Seven figures in one row; revenue counts every payment.
+
+    ``kept``: a booking store whose totals are read instead of the bookings and payments.
+    """
+    if kept is None:
+        bookings = t.bookings.agg(
+            _rows().alias("total_bookings"),
+            F.count_if(_is(STATUS_PENDING)).alias("pending_bookings"),
+            F.count_if(_is(STATUS_CONFIRMED)).alias("confirmed_bookings"),
+        )
+        revenue = t.payments.agg(_sum_money("amount").alias("total_revenue"))
+    else:
+        names = {"total_bookings": "total_bookings", "pending": "pending_bookings", "confirmed": "confirmed_bookings"}
+        bookings = kept.totals("user_totals").agg(
+            *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in names.items()]
+        )
+        revenue = kept.totals("payment_totals").select(F.coalesce("revenue", F.lit(0)).alias("total_revenue"))
     row = _one_row(
         [
             passengers(t.users).agg(_rows().alias("total_users")),
             t.buses.agg(_rows().alias("total_buses")),
             t.routes.agg(_rows().alias("total_routes")),
-            t.bookings.agg(
-                _rows().alias("total_bookings"),
-                F.count_if(_is(STATUS_PENDING)).alias("pending_bookings"),
-                F.count_if(_is(STATUS_CONFIRMED)).alias("confirmed_bookings"),
-            ),
-            t.payments.agg(_sum_money("amount").alias("total_revenue")),
+            bookings,
+            revenue,
         ]
     )
     return row.withColumn("total_revenue", F.col("total_revenue").cast("decimal(18,2)"))
@@ -66,9 +78,18 @@ def _booking_totals(bookings: DataFrame) -> DataFrame:
     )
 
 
-def user_stats(t, ordered: bool = True) -> DataFrame:
-    """Passengers with their bookings, confirmed bookings and total spent."""
-    out = passengers(t.users).join(_booking_totals(t.bookings), "user_id", "left")
+def user_stats(t, ordered: bool = True, kept=None) -> DataFrame:
+    """Passengers with their bookings, confirmed bookings and total spent.
+
+    ``kept``: a booking store whose totals are read instead of the bookings.
+    """
+    if kept is None:
+        totals = _booking_totals(t.bookings)
+    else:
+        totals = kept.totals("user_totals").select(
+            "user_id", "total_bookings", F.col("confirmed").alias("confirmed_bookings"), "total_spent"
+        )
+    out = passengers(t.users).join(totals, "user_id", "left")
     out = _zero_if_missing(out, ["total_bookings", "confirmed_bookings"], ["total_spent"])
     return newest_first(out, "user_id") if ordered else out
 
@@ -88,15 +109,23 @@ def user_counters(t) -> DataFrame:
     )
 
 
-def user_booking_stats(t, user_id: int | None = None) -> DataFrame:
+def _users_with_bookings(users: DataFrame, stats: DataFrame) -> DataFrame:
+    out = users.select("user_id").join(stats, "user_id", "left")
+    return _zero_if_missing(out, ["list_rows", "confirmed", "pending"], ["total_spent"])
+
+
+def user_booking_stats(t, user_id: int | None = None, kept=None) -> DataFrame:
     """Per user: rows of the booking list, confirmed, pending and total spent.
 
     A booking takes one list row per payment, at least one, and none when its
     route or bus is gone; payments are counted per booking before they are joined.
+    ``kept``: a booking store whose totals are read instead of bookings and payments.
     """
     users, bookings = t.users, t.bookings
     if user_id is not None:
         users, bookings = (df.filter(F.col("user_id") == user_id) for df in (users, bookings))
+    if kept is not None:
+        return _users_with_bookings(users, kept.totals("user_totals").drop("total_bookings"))
     paid = t.payments.groupBy("booking_id").agg(_rows().alias("n_payments"))
     counted = (
         bookings.select("booking_id", "user_id", "route_id", "bus_id", "status", "total_amount")
@@ -111,8 +140,7 @@ def user_booking_stats(t, user_id: int | None = None) -> DataFrame:
         F.count_if(_is(STATUS_PENDING)).alias("pending"),
         _sum_money("total_amount").alias("total_spent"),
     )
-    out = users.select("user_id").join(stats, "user_id", "left")
-    return _zero_if_missing(out, ["list_rows", "confirmed", "pending"], ["total_spent"])
+    return _users_with_bookings(users, stats)
 
 
 def bus_list(t, ordered: bool = True) -> DataFrame:
@@ -128,9 +156,15 @@ def _buses_per_route(bus_route: DataFrame, name: str) -> DataFrame:
     return bus_route.groupBy("route_id").agg(_rows().alias(name))
 
 
-def route_list(t, ordered: bool = True) -> DataFrame:
-    """Routes with their assigned buses and bookings."""
-    bookings = t.bookings.groupBy("route_id").agg(_rows().alias("booking_count"))
+def route_list(t, ordered: bool = True, kept=None) -> DataFrame:
+    """Routes with their assigned buses and bookings.
+
+    ``kept``: a booking store whose totals are read instead of the bookings.
+    """
+    if kept is None:
+        bookings = t.bookings.groupBy("route_id").agg(_rows().alias("booking_count"))
+    else:
+        bookings = kept.totals("route_totals")
     out = t.routes.join(_buses_per_route(t.bus_route, "bus_count"), "route_id", "left").join(
         bookings, "route_id", "left"
     )

@@ -49,36 +49,35 @@ def live_holds(t, trips: DataFrame | None = None) -> DataFrame:
     return t.booking_seat.join(live.select("booking_id", "route_id", "journey_date"), "booking_id")
 
 
-def _held_by_block(t, trips: DataFrame, few_trips: bool) -> DataFrame:
+def _held_by_block(t, trips: DataFrame, few_trips: bool, held: DataFrame | None = None) -> DataFrame:
     """A row per trip and block of its bus's seat ids, with the present and held seats as bits.
 
     The held seats of a route and day become one long per block before they meet
     the trips, so shuffles carry one row per trip and block and never the trip x
     seat result. A seat belongs to one bus, so the held bits may cover other buses
-    too; the present bits are the seats of this one.
+    too; the present bits are the seats of this one. ``held``: the held seats by route
+    and day, where they are kept already.
     """
     block = _block(F.col("seat_id")).alias("block")
-    held = (
-        live_holds(t, trips if few_trips else None)
-        .groupBy(*DAY, block)
-        .agg(_bits("seat_id").alias("held"))
-    )
+    holds = live_holds(t, trips if few_trips else None) if held is None else held
+    held = holds.groupBy(*DAY, block).agg(_bits("seat_id").alias("held"))
     blocks = t.seats.groupBy("bus_id", block).agg(_bits("seat_id").alias("present"))
     return trips.select(*TRIP).join(blocks, "bus_id").join(held, [*DAY, "block"], "left")
 
 
 def seat_map(
-    t, trips: DataFrame, ordered: bool = False, few_trips: bool = False
+    t, trips: DataFrame, ordered: bool = False, few_trips: bool = False, held: DataFrame | None = None
 ) -> DataFrame:
     """Every seat of every trip's bus, flagged when a live booking holds it.
 
     ``trips`` holds distinct ``(bus_id, route_id, journey_date)``; with ``few_trips``
     the bookings of other routes and days are left out before their seats are read.
+    ``held``: the seats a booking store holds, instead of bookings and their seats.
     """
     seat_id = F.col("seat_id")
     seats = t.seats.select("seat_id", "bus_id", "seat_number", _block(seat_id).alias("block"))
     out = (
-        _held_by_block(t, trips, few_trips)
+        _held_by_block(t, trips, few_trips, held)
         .join(seats, ["bus_id", "block"])
         .select(
             *TRIP, "seat_id", "seat_number", _is_booked(F.col("held"), seat_id).alias("is_booked")
@@ -87,10 +86,10 @@ def seat_map(
     return out.orderBy(*TRIP, "seat_number", "seat_id") if ordered else out
 
 
-def trip_occupancy(t, trips: DataFrame, few_trips: bool = False) -> DataFrame:
-    """All, booked and free seats of each trip, counted block by block."""
+def trip_occupancy(t, trips: DataFrame, few_trips: bool = False, held: DataFrame | None = None) -> DataFrame:
+    """All, booked and free seats of each trip, counted block by block; ``held`` as in :func:`seat_map`."""
     taken = F.col("present").bitwiseAND(F.coalesce("held", F.lit(0).cast("long")))
-    counted = _held_by_block(t, trips, few_trips).select(
+    counted = _held_by_block(t, trips, few_trips, held).select(
         *TRIP, F.bit_count("present").alias("total"), F.bit_count(taken).alias("booked")
     )
     return counted.groupBy(*TRIP).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fareline.functions import display as D
 from fareline.functions import text as X
 from fareline.operators import audits, changes, counters, filters, listings, seats, signups
+from fareline.operators.booking_store import BookingStore
 from fareline.session import work_folder
 from fareline.sources.derived import DerivedTables
 from fareline.sources.schemas import RAW, TABLES
@@ -499,6 +500,73 @@ def _(t):
     return changes.apply_changes(t, t.change_log).bookings
 
 
+# ---- a booking store ----------------------------------------------------
+
+
+def _new_store(t) -> BookingStore:
+    return BookingStore.create(t.spark, work_folder(t.spark, "store"), t)
+
+
+def _store_after_log(t, batches: int = 1) -> BookingStore:
+    """A store that took the change log in some batches, whatever the order of their times."""
+    store = _new_store(t)
+    for k in range(batches):
+        store.apply_log(t.change_log.filter(F.col("change_id") % batches == k))
+    return store
+
+
+def _store_after_all(t) -> BookingStore:
+    store = _store_after_log(t, 3)
+    store.add_bookings(t, t.booking_requests, AS_OF)
+    return store
+
+
+@_query("w8_stored_update")
+def _(t):
+    """Bookings of a store after a batch of status changes; only their days are written."""
+    store = _new_store(t)
+    store.apply_status(t.booking_changes)
+    return store.bookings()
+
+
+@_query("w9_stored_no_clash")
+def _(t):
+    store = _new_store(t)
+    store.add_bookings(t, t.booking_requests, AS_OF, refuse_clashes=True)
+    return store.bookings()
+
+
+@_query("w10_stored_changes")
+def _(t):
+    return _store_after_log(t, 3).bookings()
+
+
+@_query("w10_stored_payments")
+def _(t):
+    return _store_after_log(t).payments()
+
+
+@_query("g1_kept_kpis")
+def _(t):
+    """Counters from totals that several batches changed, without reading a booking."""
+    return counters.dashboard_kpis(t, kept=_store_after_all(t))
+
+
+@_query("g2_kept_user_stats")
+def _(t):
+    return counters.user_stats(t, kept=_store_after_all(t))
+
+
+@_query("g4_kept_user_booking_stats")
+def _(t):
+    return counters.user_booking_stats(t, kept=_store_after_all(t))
+
+
+@_query("g6_kept_route_list")
+def _(t):
+    return counters.route_list(t, kept=_store_after_all(t))
+
+
 @_query("w11_admit_users")
 def _(t):
     return signups.admit_users(t.users, t.registrations).users
@@ -559,3 +627,14 @@ def _(t):
     pays = change_stream(t).filter(F.col("kind") == "pay")
     claims = live.run_available(pays, live.PAYMENT_VIEW, "st2")
     return live.settled_totals(claims, t.bookings)
+
+
+@_query("st3_occupancy")
+def _(t):
+    """Booked and free seats while the change log arrives in several micro-batches."""
+    arriving = work_folder(t.spark, "arriving")
+    t.change_log.repartition(3, "change_id").write.parquet(arriving)
+    store = _new_store(t)
+    stream = live.file_stream(t.spark, arriving, t.change_log.schema, files_per_batch=1)
+    store.follow(stream, work_folder(t.spark, "st3-checkpoint"), availableNow=True).awaitTermination()
+    return seats.trip_occupancy(t, seats.booked_trips(store.bookings()), held=store.held_seats())

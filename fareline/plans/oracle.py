@@ -543,6 +543,43 @@ _QUERIES: dict[str, str] = {
 }
 
 
+def _kept(name: str) -> str:
+    """A report over the bookings and payments after the change log and the requests."""
+    report = _QUERIES[name]
+    for table in ("bookings", "payments"):
+        report = report.replace(f"FROM {table}", f"FROM kept_{table}").replace(f"JOIN {table}", f"JOIN kept_{table}")
+    new = _with_requests("accepted_requests").replace("SELECT * FROM bookings UNION ALL", "")
+    return f"""WITH kept_bookings AS (
+      SELECT booking_id, user_id, route_id, bus_id, status, total_amount FROM ({_with_status("effective")})
+      UNION ALL SELECT n.booking_id, n.user_id, n.route_id, n.bus_id, n.status, n.total_amount
+      FROM ({new}) n({", ".join(TABLES["bookings"].names)})),
+    kept_payments AS (
+      SELECT booking_id, amount FROM payments UNION ALL SELECT booking_id, total_amount FROM accepted_pays)
+    {report}"""
+
+
+_QUERIES |= {
+    "w8_stored_update": _QUERIES["w8_apply_status"],
+    "w9_stored_no_clash": _QUERIES["w9_no_clash"],
+    "w10_stored_changes": _QUERIES["w10_apply_changes"],
+    "w10_stored_payments": _QUERIES["w10_post_payments"],
+    "g1_kept_kpis": _kept("g1_kpis"),
+    "g2_kept_user_stats": _kept("g2_user_stats"),
+    "g4_kept_user_booking_stats": _kept("g4_user_booking_stats"),
+    "g6_kept_route_list": _kept("g6_route_list"),
+    "st3_occupancy": f"""
+      WITH kept AS ({_with_status("effective")}),
+      kept_holds AS (
+        SELECT DISTINCT bs.seat_id, b.route_id, b.journey_date FROM booking_seat bs JOIN kept b
+          ON b.booking_id = bs.booking_id WHERE lower(b.status) <> 'cancelled')
+      SELECT t.bus_id, t.route_id, t.journey_date, count(*) AS total_seats, count(h.seat_id) AS booked_seats,
+        count(*) - count(h.seat_id) AS free_seats
+      FROM trips t JOIN seats s ON s.bus_id = t.bus_id LEFT JOIN kept_holds h
+        ON h.seat_id = s.seat_id AND h.route_id = t.route_id AND h.journey_date = t.journey_date
+      GROUP BY t.bus_id, t.route_id, t.journey_date""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in _QUERIES.items():
