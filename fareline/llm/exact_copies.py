@@ -7,9 +7,10 @@ the others pass straight through.
 
 The slot space is cut into segments of fixed size by hash; a segment holds the rows of a
 hash range, so their number grows with the table and their size does not. The driver hands
-out ``SEGMENTS_AT_ONCE`` segments at a time: a broadcast never exceeds
-``SEGMENTS_AT_ONCE * SEGMENT_SLOTS / 8`` bytes, and more rows mean more turns, each over
-its own partition of the hashes.
+out ``SEGMENTS_AT_ONCE`` segments at a time and takes them back before the next: what is
+broadcast never exceeds ``SEGMENTS_AT_ONCE * SEGMENT_SLOTS / 8`` bytes. More rows mean more
+turns, each over its own partition of the rows, which were written by turn when they were
+hashed. Every turn works alike, whether there is one or a thousand.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. The largest
 ``doc_id`` of a group stays (null ids are smallest); rows that repeat id and text count in
@@ -19,14 +20,14 @@ Texts are equal when identical after lower-casing A-Z; null counts as empty. The
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from typing import NamedTuple
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareline.llm import tables
@@ -143,40 +144,43 @@ def _probe(bits: dict[int, bytes], digests: list[bytes], segment: np.ndarray) ->
     return maybe
 
 
-class Flags(NamedTuple):
-    """``rows``: id, hash and flag of every row, in the shared work folder. ``handed``: the
-    filter in broadcast form, where one turn was enough."""
+def _turns(docs: DataFrame) -> tuple[int, int]:
+    """How many segments the rows need, and in how many turns these are handed out."""
+    segments = max(1, -(-docs.count() // ROWS_PER_SEGMENT))
+    return segments, -(-segments // SEGMENTS_AT_ONCE)
 
-    rows: DataFrame
-    handed: Broadcast | None
-    segments: int
 
+@contextmanager
+def _filter_of(keys: DataFrame) -> Iterator[Callable[..., Column]]:
+    """A column that asks the filter of the rows of one turn; the filter goes at the end.
+
+    ``keys`` holds ``segment`` and ``text_sha256``. What uses the column is to be written
+    before the end.
+    """
+    bits = {r["segment"]: r["bits"] for r in _filters(_marks(keys)).toLocalIterator()}
+    handed = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def maybe(sha: pa.Array, segment: pa.Array) -> pa.Array:
+        return pa.array(_probe(handed.value, sha.to_pylist(), segment.to_numpy(zero_copy_only=False)))
+
+    try:
+        yield maybe
+    finally:
+        handed.destroy()
 
-def flagged(docs: DataFrame) -> Flags:
-    """Ask the filter for each row whether its text may have a copy."""
-    segments = max(1, -(-docs.count() // ROWS_PER_SEGMENT))
-    turns = -(-segments // SEGMENTS_AT_ONCE)
-    keys = tables.kept(_hashed(docs, segments), "copies-hash", *(["turn"] if turns > 1 else []))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    out, handed = None, None
-    for turn in range(turns):
-        part = keys.filter(F.col("turn") == turn) if turns > 1 else keys
-        bits = {r["segment"]: r["bits"] for r in _filters(_marks(part)).toLocalIterator()}
-        handed = docs.sparkSession.sparkContext.broadcast(bits)
-
-        def probe(batches: Iterator[pa.RecordBatch], handed=handed) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                segment = batch.column(2).to_numpy(zero_copy_only=False)
-                maybe = _probe(handed.value, batch.column(1).to_pylist(), segment)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(maybe)], ["doc_id", "text_sha256", "maybe"]
-                )
 
-        told = part.select("doc_id", "text_sha256", "segment").mapInArrow(
-            probe, f"doc_id {id_type}, text_sha256 binary, maybe boolean"
-        )
-        out = told if out is None else out.unionByName(told)
-    return Flags(tables.kept(out, "copies-flag"), handed if turns == 1 else None, segments)
+def flagged(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_sha256, maybe)``: the answer of the filter for each row."""
+    segments, turns = _turns(docs)
+    keys = tables.kept(_hashed(docs, segments), "copies-hash", "turn")
+    out = []
+    for turn in range(turns):
+        part = keys.filter(F.col("turn") == turn).drop("turn")
+        with _filter_of(part) as maybe:
+            told = part.select("doc_id", "text_sha256", maybe("text_sha256", "segment").alias("maybe"))
+            out.append(tables.kept(told, "copies-flag"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def groups(rows: DataFrame) -> DataFrame:
@@ -188,7 +192,7 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def find_copies(docs: DataFrame) -> DataFrame:
     """One row per document with the row that stays in its place."""
-    rows = flagged(docs).rows
+    rows = flagged(docs)
     found = tables.kept(groups(rows), "copies-groups")
     own = F.col("doc_id")
     alone = rows.filter("not maybe").select("doc_id", own.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
@@ -202,42 +206,57 @@ def find_copies(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns.
-
-    The texts are read once more; rows that cannot have a copy go straight to the result,
-    the others meet the verdict on their text. Beyond one turn of the filter the flags are
-    joined from the first reading instead.
-    """
-    flags = flagged(docs)
-    handed, segments = flags.handed, flags.segments
-    look, sha, best_sha, best_id = (tables.unused(docs, n) for n in ("_look", "_sha", "_best_sha", "_best_id"))
-    winners = tables.kept(groups(flags.rows), "copies-groups").select(
-        F.col("text_sha256").alias(best_sha), F.col("keep_id").alias(best_id)
-    )
+def by_turn(docs: DataFrame) -> tuple[DataFrame, int, list[str]]:
+    """The documents beside their hash, written by turn; how many turns; the names of what was added."""
+    segments, turns = _turns(docs)
+    look, sha, segment, turn = (tables.unused(docs, n) for n in ("_look", "_sha", "_segment", "_turn"))
 
-    @F.arrow_udf("struct<sha:binary,maybe:boolean>")
+    @F.arrow_udf("struct<sha:binary,segment:int>")
     def looked(column: pa.Array) -> pa.Array:
-        digests = _digests([t or b"" for t in column.cast(pa.large_binary()).to_pylist()])
-        if handed is None:
-            maybe = np.ones(len(digests), dtype=bool)
-        else:
-            maybe = _probe(handed.value, digests, _segments(digests, segments))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(maybe)], ["sha", "maybe"])
-
-    seen = docs.withColumn(look, looked("text"))
-    own = F.col(look)["sha"]
-    apart = seen.filter(F.col(look)["maybe"]).join(
-        winners, (own == F.col(best_sha)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi"
+        digests, start = [], 0
+        lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+        while start < len(lengths):  # texts are taken out of the batch a few megabytes at a time
+            stop, size = start + 1, lengths[start]
+            while stop < len(lengths) and size + lengths[stop] <= tables.SLICE_BYTES:
+                size += lengths[stop]
+                stop += 1
+            digests += _digests([t or b"" for t in column.slice(start, stop - start).cast(pa.large_binary()).to_pylist()])
+            start = stop
+        found = pa.array(_segments(digests, segments), pa.int32())
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), found], ["sha", "segment"])
+
+    hashed = docs.withColumn(look, looked("text")).select(
+        *docs.columns,
+        F.col(look)["sha"].alias(sha),
+        F.col(look)["segment"].alias(segment),
+        F.floor(F.col(look)["segment"] / SEGMENTS_AT_ONCE).cast("int").alias(turn),
     )
-    if handed is None:
-        alone = flags.rows.filter("not maybe").select(F.col("text_sha256").alias(best_sha))
-        straight = seen.join(alone, own == F.col(best_sha), "left_semi")
-        apart = apart.join(alone, own == F.col(best_sha), "left_anti")
-    else:
-        straight = seen.filter(~F.col(look)["maybe"])
-    one_each = apart.withColumn(sha, own).dropDuplicates(["doc_id", sha]).drop(sha)
-    return straight.unionByName(one_each).drop(look)
+    return tables.kept(hashed, "copies-docs", turn), turns, [sha, segment, turn]
+
+
+def one_turn(part: DataFrame, maybe: Callable[..., Column], sha: str, segment: str) -> DataFrame:
+    """What stays of the rows of a turn: those that cannot have a copy pass straight through."""
+    flag, best_sha, best_id = (tables.unused(part, n) for n in ("_flag", "_best_sha", "_best_id"))
+    seen = part.withColumn(flag, maybe(sha, segment))
+    suspects = seen.filter(flag)
+    winners = suspects.groupBy(F.col(sha).alias(best_sha)).agg(F.max("doc_id").alias(best_id))
+    stay = suspects.join(
+        tables.kept(winners, "copies-groups"),
+        (F.col(sha) == F.col(best_sha)) & F.col("doc_id").eqNullSafe(F.col(best_id)),
+        "left_semi",
+    ).dropDuplicates(["doc_id", sha])
+    return seen.filter(~F.col(flag)).unionByName(stay).drop(flag, sha, segment)
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    stored, turns, (sha, segment, turn) = by_turn(docs)
+    out = []
+    for k in range(turns):
+        part = stored.filter(F.col(turn) == k).drop(turn)
+        with _filter_of(part.select(F.col(segment).alias("segment"), F.col(sha).alias("text_sha256"))) as maybe:
+            out.append(tables.kept(one_turn(part, maybe, sha, segment), "copies-left"))
+    return reduce(DataFrame.unionByName, out).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
