@@ -5,20 +5,21 @@ the element-wise product (binding) of its letters' vectors, each rotated by its
 text is the sum (bundle) of its n-grams, a language the sum of its training texts, and a
 text gets the language whose prototype has the largest cosine with it.
 
-Texts are lower-cased, runs of anything but letters count as one space, and a space is set
-at either end, so one letter is enough for an n-gram. A text without a letter, or null, is
+Texts are lower-cased, runs of anything but letters (Unicode's letter categories, with the
+marks that combine with them) count as one space, and a space is set at either end, so one
+letter is enough for an n-gram. Numerals of any kind are no letters. A text without a letter, or null, is
 ``und`` with score 0, as is every text if there is nothing to learn from. Equal cosines go
 to the language that sorts first. The score is the cosine moved to 0..1.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,14 @@ TRAIN_ROWS = 40_000
 #: Letters handled at once; a longer text is summed in pieces, which changes nothing.
 PIECE = 1 << 20
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def letters(text: str | None) -> np.ndarray:
     """Code points of the letters and single spaces; empty if there is no letter."""
     spaced = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-    if not spaced:
+    if not _LETTER.search(spaced):
         return np.empty(0, dtype=np.uint32)
     return np.frombuffer(f" {spaced} ".encode("utf-32-le"), dtype=np.uint32)
 
@@ -174,8 +176,8 @@ def with_language(
             scores.append(float(min(1.0, max(0.0, (1 + cosines[best]) / 2))))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [name, score])
 
-    told = docs.withColumn("_language", predict(F.col(text)))
-    return told.select(*docs.columns, f"_language.{name}", f"_language.{score}")
+    told = tables.unused(docs, "_language")
+    return docs.withColumn(told, predict(F.col(text))).select(*docs.columns, f"{told}.{name}", f"{told}.{score}")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,6 +1,8 @@
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from fareline.llm import languages as L
 from tests.llm.rows import documents
@@ -26,6 +28,34 @@ def test_bundle_against_a_plain_sum():
     assert L.Letters(64).bundle("x") is not None
 
 
+@pytest.mark.parametrize("text", ["½ ²", "①②", "Ⅷ", "٣", "12 _ ?", "́", "", None])
+def test_no_letter_is_no_language(text):
+    assert len(L.letters(text)) == 0
+
+
+def test_marks_belong_to_their_letters():
+    assert L.letters("हिन्दी").tolist() == [32, *map(ord, "हिन्दी"), 32]
+    assert L.letters("Ⅷa①b").tolist() == [32, ord("a"), 32, ord("b"), 32]
+
+
+def test_texts_without_a_letter_and_a_clashing_name(spark):
+    texts = ["und der", "½ ²", "①②", "Ⅷ", "٣"]
+    docs = documents(spark, texts).withColumn("_language", F.lit("kept"))
+    learned = {"de": L.Letters().bundle("der die und"), "en": L.Letters().bundle("the and with")}
+    out = L.with_language(docs, learned)
+    assert out.columns == [*docs.columns, "lang_pred", "score"]
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert [got[i]["lang_pred"] for i in range(5)] == ["de", *[L.UNKNOWN] * 4]
+    assert all(r["_language"] == "kept" for r in got.values())
+
+
+def test_repeated_rows(spark):
+    docs = documents(spark, ["und der", "und der", "the and"], ids=[1, 1, None])
+    learned = {"de": L.Letters().bundle("der die und"), "en": L.Letters().bundle("the and with")}
+    got = sorted((r["doc_id"] or -1, r["lang_pred"]) for r in L.with_language(docs, learned).collect())
+    assert got == [(-1, "en"), (1, "de"), (1, "de")]
+
+
 def test_pieces_of_long_texts_add_up(monkeypatch):
     text = "die schöne welt " * 50
     whole = L.Letters(64).bundle(text)
