@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
@@ -22,9 +25,44 @@ def is_empty(c: Column) -> Column:
     return c.isNull() | c.isin("", "0")
 
 
+@cache
+def _accented() -> tuple[str, str]:
+    """Lower-case characters with marks and what they are without, then the marks themselves."""
+    marked, plain = [], []
+    for i in range(128, sys.maxunicode + 1):
+        c = chr(i)
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and c == c.lower() and all(unicodedata.category(p) == "Mn" for p in parts[1:]):
+            marked.append(c)
+            plain.append(parts[0])
+    marks = [chr(i) for i in range(0x300, 0x370)]
+    return "".join(marked + marks), "".join(plain)
+
+
+def _is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def text_key(c: Column) -> Column:
+    """What the stored tables compare text by: equal keys are equal texts.
+
+    Case and accents do not count. A plain string, unlike a collated one, so that it can be
+    searched with wildcards and dealt to stored buckets by hash. ASCII takes the short way.
+    """
+    marked, plain = _accented()
+    return F.when(_is_ascii(c), F.lower(c)).otherwise(F.translate(F.lower(c), marked, plain))
+
+
+def key_of(value: str) -> str:
+    """The :func:`text_key` of a text at hand."""
+    marked, plain = _accented()
+    return value.lower().translate({ord(c): plain[i] if i < len(plain) else None for i, c in enumerate(marked)})
+
+
 def same_text(c: Column, value: str) -> Column:
-    """Equality as the stored tables compare text: without regard to case."""
-    return F.lower(c) == value.lower()
+    """Equality as the stored tables compare text; NULL is neither equal nor different."""
+    key = key_of(value)
+    return (F.lower(c) == key) | (~_is_ascii(c) & (text_key(c) == key))
 
 
 def sanitize(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fareline.functions.fixed_values import STATUS_CONFIRMED, STATUS_PENDING
-from fareline.functions.text import same_text
+from fareline.functions.text import same_text, text_key
 from fareline.functions.display import joined
 from fareline.operators.filters import active_buses, active_routes, matching_routes, passengers
 from fareline.operators.listings import newest_first
@@ -216,7 +216,7 @@ def popular_routes(routes: DataFrame, n: int = 5) -> DataFrame:
 def cities(routes: DataFrame) -> DataFrame:
     """Every city a route starts or ends in, in one pass over the routes.
 
-    Spellings that differ in case are one city, shown by the first in code-point order.
+    Spellings that differ in case or accents are one city, shown by the first in code-point order.
     """
     both = routes.select(F.explode(F.array("origin_city", "destination_city")).alias("city"))
-    return both.groupBy(F.lower("city")).agg(F.min("city").alias("city")).select("city").orderBy("city")
+    return both.groupBy(text_key(F.col("city"))).agg(F.min("city").alias("city")).select("city").orderBy("city")

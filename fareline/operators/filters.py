@@ -10,13 +10,14 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fareline.functions.text import contains_pattern, is_empty, same_text, sanitize
+from fareline.functions.text import contains_pattern, is_empty, same_text, sanitize, text_key
 
 
 def lookup(df: DataFrame, key: str, ids: DataFrame | Iterable[int]) -> DataFrame:
     """Rows whose key is asked for, by a short list of ids or by a frame holding them."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(key), key, "left_semi")
+        # Distinct keys combine before the shuffle; a semi join cannot cut a hot key on its right side.
+        return df.join(ids.select(key).distinct(), key, "left_semi")
     return df.filter(F.col(key).isin(list(ids)))
 
 
@@ -34,9 +35,9 @@ def passengers(users: DataFrame) -> DataFrame:
 
 
 def _holds(column: str, wanted: str | None):
-    """Case-insensitive substring test that an empty search text switches off."""
+    """Substring test without regard to case and accents, which an empty search text switches off."""
     text = sanitize(F.lit(wanted).cast("string"))
-    return is_empty(text) | F.ilike(F.col(column), contains_pattern(text))
+    return is_empty(text) | F.like(text_key(F.col(column)), contains_pattern(text_key(text)))
 
 
 def matching_routes(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fareline.functions import display as D
 from fareline.functions import text as X
-from fareline.operators import audits, changes, counters, filters, listings, seats, signups
+from fareline.operators import audits, changes, counters, filters, listings, searches, seats, signups
 from fareline.operators.booking_store import BookingStore
 from fareline.session import work_folder
 from fareline.sources.derived import DerivedTables
@@ -143,6 +143,21 @@ def _(t):
     return counters.search_results(t)
 
 
+def _search_batch(t) -> searches.SearchBatch:
+    return searches.search_batch(t.searches, t.routes, t.bus_route)
+
+
+@_query("p3_search_batch")
+def _(t):
+    """What every different search of the visitors finds."""
+    return _search_batch(t).found
+
+
+@_query("p3_search_batch_counts")
+def _(t):
+    return searches.search_counts(_search_batch(t))
+
+
 @_query("p4_filter_bookings")
 def _(t):
     return filters.filter_bookings(t.bookings, STATUS, JOURNEY_DATE)
@@ -648,3 +663,36 @@ def _(t):
     stream = live.file_stream(t.spark, arriving, t.change_log.schema, files_per_batch=1)
     store.follow(stream, work_folder(t.spark, "st3-checkpoint"), availableNow=True).awaitTermination()
     return seats.trip_occupancy(t, seats.booked_trips(store.bookings()), held=store.held_seats())
+
+
+def _signup_desk(t) -> signups.SignupDesk:
+    """A desk that took the sign-ups in the order of arrival, in several micro-batches."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _DESKS:
+        arriving = work_folder(t.spark, "sign-ups")
+        regs = t.registrations
+        # Files by time, each written as a whole before the next.
+        days = [r[0] for r in regs.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+        for low, high in zip(days[:: len(days) // 3 + 1], [*days[len(days) // 3 + 1 :: len(days) // 3 + 1], None]):
+            some = regs.filter(F.to_date("ts") >= F.lit(low))
+            some = some if high is None else some.filter(F.to_date("ts") < F.lit(high))
+            some.coalesce(1).write.mode("append").parquet(arriving)
+        desk = signups.SignupDesk.create(t.spark, work_folder(t.spark, "desk"), t.users)
+        stream = live.file_stream(t.spark, arriving, regs.schema, files_per_batch=1)
+        desk.follow(stream, work_folder(t.spark, "desk-checkpoint"), availableNow=True).awaitTermination()
+        _DESKS[key] = desk
+    return _DESKS[key]
+
+
+_DESKS: dict[tuple[str, str], signups.SignupDesk] = {}
+
+
+@_query("st4_users")
+def _(t):
+    """Users after a stream of sign-ups."""
+    return _signup_desk(t).users()
+
+
+@_query("st4_rejects")
+def _(t):
+    return _signup_desk(t).rejects().select("reg_id", F.array_join("reasons", "; ").alias("reasons"))

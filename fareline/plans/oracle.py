@@ -38,7 +38,8 @@ seats AS (
     FROM buses)),
 routes AS (
   SELECT p_partkey AS route_id, concat(p_name, ' #', CAST(p_partkey AS VARCHAR)) AS route_name,
-    CASE WHEN p_partkey % 31 = 0 THEN lower(o.n_name) ELSE o.n_name END AS origin_city, d.n_name AS destination_city, p_size * 10 AS distance,
+    CASE WHEN p_partkey % 31 = 0 THEN lower(o.n_name) WHEN p_partkey % 37 = 0 THEN replace(o.n_name, 'A', 'Á')
+      ELSE o.n_name END AS origin_city, d.n_name AS destination_city, p_size * 10 AS distance,
     CAST(p_retailprice AS DECIMAL(10,2)) AS fare,
     CASE WHEN p_size % 7 = 0 THEN NULL
       ELSE concat(lpad(CAST(1 + p_size % 12 AS VARCHAR), 2, '0'), ':30:00') END AS travel_time,
@@ -143,7 +144,7 @@ seated_requests AS (SELECT q.* FROM accepted_requests q JOIN seat_fold f ON f.re
 registrations AS (
   SELECT event_id AS reg_id, ts,
     CASE WHEN event_id % 3 = 0 THEN concat('Customer#', lpad(CAST(user_id AS VARCHAR), 9, '0'))
-      WHEN event_id % 3 = 1 THEN concat('new', CAST(event_id % 50 AS VARCHAR))
+      WHEN event_id % 3 = 1 THEN concat(CASE WHEN event_id // 50 % 2 = 0 THEN 'new' ELSE 'NÉW' END, CAST(event_id % 50 AS VARCHAR))
       ELSE concat('u', CAST(event_id // 2 AS VARCHAR)) END AS username,
     CASE WHEN event_id % 10 = 0 THEN '0' ELSE 'First' END AS first_name,
     CASE WHEN event_id % 13 = 0 THEN '' ELSE 'Last' END AS last_name,
@@ -154,12 +155,13 @@ registrations AS (
   FROM events WHERE event_type = 'signup'),
 checked_regs AS (
   SELECT r.*, (first_name IN ('', '0') OR last_name IN ('', '0')) AS incomplete,
-    EXISTS (SELECT 1 FROM users u WHERE lower(u.username) = lower(r.username)) AS name_known,
-    EXISTS (SELECT 1 FROM users u WHERE lower(u.email) = lower(r.email)) AS mail_known
+    EXISTS (SELECT 1 FROM users u WHERE strip_accents(lower(u.username)) = strip_accents(lower(r.username))) AS name_known,
+    EXISTS (SELECT 1 FROM users u WHERE strip_accents(lower(u.email)) = strip_accents(lower(r.email))) AS mail_known
   FROM registrations r),
 -- One by one in order of arrival: a sign-up gets in if no admitted one has its name or address.
 in_turn AS (
-  SELECT *, row_number() OVER (ORDER BY ts, reg_id) AS turn FROM checked_regs
+  SELECT *, strip_accents(lower(username)) AS name, strip_accents(lower(email)) AS mail,
+    row_number() OVER (ORDER BY ts, reg_id) AS turn FROM checked_regs
   WHERE NOT incomplete AND NOT name_known AND NOT mail_known),
 fold AS (
   SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS names, CAST([] AS VARCHAR[]) AS mails, false AS fits
@@ -167,16 +169,15 @@ fold AS (
   SELECT turn, CASE WHEN fits THEN list_append(names, name) ELSE names END,
     CASE WHEN fits THEN list_append(mails, mail) ELSE mails END, fits
   FROM (
-    SELECT i.turn, f.names, f.mails, lower(i.username) AS name, lower(i.email) AS mail,
-      NOT list_contains(f.names, lower(i.username)) AND NOT list_contains(f.mails, lower(i.email)) AS fits
+    SELECT i.turn, f.names, f.mails, i.name, i.mail, NOT list_contains(f.names, i.name) AND NOT list_contains(f.mails, i.mail) AS fits
     FROM fold f JOIN in_turn i ON i.turn = f.turn + 1)),
 admitted_regs AS (
   SELECT i.* FROM in_turn i JOIN fold f ON f.turn = i.turn WHERE f.fits),
 judged_regs AS (
   SELECT c.*, (c.name_known OR EXISTS (SELECT 1 FROM admitted_regs a
-      WHERE lower(a.username) = lower(c.username) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS name_taken,
+      WHERE a.name = strip_accents(lower(c.username)) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS name_taken,
     (c.mail_known OR EXISTS (SELECT 1 FROM admitted_regs a
-      WHERE lower(a.email) = lower(c.email) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS mail_taken
+      WHERE a.mail = strip_accents(lower(c.email)) AND (a.ts, a.reg_id) < (c.ts, c.reg_id))) AS mail_taken
   FROM checked_regs c),
 route_edits AS (
   SELECT event_id, event_id % n_route AS route_id, CAST(CAST(value AS DECIMAL(10,2)) + 25 AS DECIMAL(10,2)) AS fare,
@@ -210,8 +211,21 @@ booking_list AS (
     p.payment_status, p.payment_method, p.amount AS payment_amount
   FROM bookings b JOIN users u ON u.user_id = b.user_id JOIN routes r ON r.route_id = b.route_id
     JOIN buses bus ON bus.bus_id = b.bus_id LEFT JOIN payments p ON p.booking_id = b.booking_id),
+searches AS (
+  SELECT event_id AS search_id,
+    CASE event_id % 6 WHEN 1 THEN concat('nation_', CAST(event_id % 25 AS VARCHAR))
+      WHEN 2 THEN concat('n%', CAST(event_id % 10 AS VARCHAR)) WHEN 3 THEN concat('ation_', CAST(event_id % 3 AS VARCHAR))
+      WHEN 5 THEN concat('on\\_', CAST(event_id % 7 AS VARCHAR)) ELSE '' END AS origin,
+    CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN concat('_', CAST(event_id % 10 AS VARCHAR)) WHEN 2 THEN 'o'
+      WHEN 3 THEN 'nowhere' ELSE concat('ion__', CAST(event_id % 4 AS VARCHAR)) END AS destination
+  FROM events WHERE event_type = 'view'),
+found AS (
+  SELECT i.*, r.* FROM (SELECT origin, destination, count(*) AS n_searches FROM searches GROUP BY ALL) i JOIN routes r
+    ON r.is_active = 1 AND (i.origin = '' OR strip_accents(lower(r.origin_city)) LIKE concat('%', i.origin, '%') ESCAPE '\\')
+      AND (i.destination = '' OR strip_accents(lower(r.destination_city)) LIKE concat('%', i.destination, '%') ESCAPE '\\')),
 searched AS (
-  SELECT * FROM routes WHERE is_active = 1 AND origin_city ILIKE '%nation_1%' AND destination_city ILIKE '%N_2%'),
+  SELECT * FROM routes WHERE is_active = 1 AND strip_accents(origin_city) ILIKE '%nation_1%'
+    AND strip_accents(destination_city) ILIKE '%N_2%'),
 with_buses AS (
   SELECT r.*, (SELECT count(*) FROM bus_route br WHERE br.route_id = r.route_id) AS available_buses
   FROM routes r WHERE is_active = 1)
@@ -295,6 +309,12 @@ _QUERIES: dict[str, str] = {
       SELECT s.*, (SELECT count(*) FROM bus_route br WHERE br.route_id = s.route_id) AS available_buses
       FROM searched s ORDER BY departure_time, route_id""",
     "p3_search_routes_open": "SELECT * FROM with_buses ORDER BY departure_time, route_id",
+    "p3_search_batch": """
+      SELECT f.*, (SELECT count(*) FROM bus_route br WHERE br.route_id = f.route_id) AS available_buses FROM found f""",
+    "p3_search_batch_counts": """
+      SELECT s.search_id, coalesce(c.n, 0) AS routes_found FROM searches s LEFT JOIN (
+        SELECT origin, destination, count(*) AS n FROM found GROUP BY ALL) c
+        ON c.origin = s.origin AND c.destination = s.destination""",
     "p4_filter_bookings": f"""
       SELECT * FROM bookings WHERE lower(status) = '{STATUS}' AND journey_date = DATE '{JOURNEY_DATE}'""",
     "p5_lookup": "SELECT * FROM buses WHERE bus_id IN (SELECT bus_id FROM bookings)",
@@ -383,7 +403,7 @@ _QUERIES: dict[str, str] = {
     "t2_popular": "SELECT * FROM routes WHERE is_active = 1 ORDER BY route_id LIMIT 5",
     "s1_cities": """
       SELECT min(city) AS city FROM (SELECT origin_city AS city FROM routes UNION ALL SELECT destination_city FROM routes)
-      GROUP BY lower(city) ORDER BY city""",
+      GROUP BY strip_accents(lower(city)) ORDER BY city""",
     "f0_expressions": f"""
       SELECT l.booking_id, l.payment_amount, strftime(l.journey_date, '%d %b %Y') AS journey_text,
         strftime(CAST('2000-01-01 ' || r.departure_time AS TIMESTAMP), '%I:%M %p') AS departure_text,
@@ -559,6 +579,8 @@ def _kept(name: str) -> str:
 
 
 _QUERIES |= {
+    "st4_users": _QUERIES["w11_admit_users"],
+    "st4_rejects": _QUERIES["w11_admit_users_rejects"],
     "w8_stored_update": _QUERIES["w8_apply_status"],
     "w9_stored_no_clash": _QUERIES["w9_no_clash"],
     "w10_stored_changes": _QUERIES["w10_apply_changes"],

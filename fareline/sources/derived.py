@@ -67,8 +67,8 @@ class DerivedTables:
 
     @staticmethod
     def _some_lower(key: Column, city: Column) -> Column:
-        """A few cities in another spelling."""
-        return F.when(key % 31 == 0, F.lower(city)).otherwise(city)
+        """A few cities in another spelling: in lower case, or with an accent."""
+        return F.when(key % 31 == 0, F.lower(city)).when(key % 37 == 0, F.translate(city, "A", "Á")).otherwise(city)
 
     def _written(self, name: str, build, schema: StructType) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
@@ -351,6 +351,29 @@ class DerivedTables:
             F.lit("01700000000").alias("passenger_phones"),
         )
 
+    @cached_property
+    def searches(self) -> DataFrame:
+        """What visitors typed in to find a route: whole and partial names, wildcards, nothing."""
+        key = F.col("event_id")
+        origin = (
+            F.when(key % 6 == 0, "")
+            .when(key % 6 == 1, F.concat(F.lit(" nation_"), _text(key % 25)))
+            .when(key % 6 == 2, F.concat(F.lit("N%"), _text(key % 10)))
+            .when(key % 6 == 3, F.concat(F.lit("áTION_"), _text(key % 3)))
+            .when(key % 6 == 4, "0")
+            .otherwise(F.concat(F.lit("on\\_"), _text(key % 7)))
+        )
+        destination = (
+            F.when(key % 5 == 0, None)
+            .when(key % 5 == 1, F.concat(F.lit("_"), _text(key % 10)))
+            .when(key % 5 == 2, "o")
+            .when(key % 5 == 3, "nowhere")
+            .otherwise(F.concat(F.lit("ion__"), _text(key % 4)))
+        )
+        return self.events.filter(F.col("event_type") == "view").select(
+            key.alias("search_id"), origin.alias("origin"), destination.alias("destination")
+        )
+
     @cached_property
     def registrations(self) -> DataFrame:
         key, user = F.col("event_id"), F.lpad(_text(F.col("user_id")), 9, "0")
@@ -358,7 +381,7 @@ class DerivedTables:
             key.alias("reg_id"),
             "ts",
             F.when(key % 3 == 0, F.concat(F.lit("Customer#"), user))
-            .when(key % 3 == 1, F.concat(F.lit("new"), _text(key % 50)))
+            .when(key % 3 == 1, F.concat(F.when(F.floor(key / 50) % 2 == 0, "new").otherwise("NÉW"), _text(key % 50)))
             .otherwise(F.concat(F.lit(" <b>u"), _text(F.floor(key / 2)), F.lit("</b> ")))
             .alias("username"),
             F.when(key % 10 == 0, "0").otherwise("First").alias("first_name"),

@@ -5,11 +5,14 @@ owns the booking, and what the booking costs, is looked up when the view is read
 no micro-batch reads the bookings.
 
 Both views merge: the newest request of two parts is the newer of their newest, counts add
-up. So a micro-batch is aggregated by itself and written to a folder of its own, without
-any streaming state, and the parts are folded when the view is read. A repeated batch
-overwrites itself. From time to time the parts are merged into one snapshot, named by the
-last batch it holds; readers take the newest snapshot and later batches, so parts that are
-still there are not counted twice, and the number of folders stays bounded.
+up. So a micro-batch is aggregated by itself and written as a part of its own, without any
+streaming state, and the parts are folded when the view is read. From time to time the parts
+are merged into one, so their number stays bounded.
+
+A view changes by versions (see ``fareline.sources.versions``): each names its parts and the
+last micro-batch they hold, and appears in one rename. A repeated micro-batch is passed over, a
+writer that dies leaves the version before, and a reader goes on with the version it opened:
+the files of a version go only ``KEPT_VERSIONS`` versions later.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql.types import StructType
 
 from fareline.functions.fixed_values import STATUS_CONFIRMED
 from fareline.operators.changes import change_order, payable
-from fareline.session import delete_folder, list_folder, work_folder
+from fareline.session import work_folder
+from fareline.sources.versions import Version, VersionedTables
 
 CLAIM = ["booking_id", "kind", "payer"]
 PAYMENT = ["booking_id", "user_id", "payment_method"]
@@ -123,30 +127,34 @@ PAYMENT_VIEW = View(payment_claims, added_claims)
 
 #: The parts of a view are merged after this many micro-batches.
 MERGE_EVERY = 20
+#: The newest versions that keep their files.
+KEPT_VERSIONS = 50
 
 
-def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
-    """The numbers of finished parts or snapshots, in order."""
-    found = [n.removeprefix(prefix) for n in list_folder(spark, folder) if n.startswith(prefix)]
-    return sorted(int(n) for n in found if "_SUCCESS" in list_folder(spark, f"{folder}/{prefix}{n}"))
+def view_tables(spark: SparkSession, folder: str, schema: StructType) -> VersionedTables:
+    """The stored parts of a view; ``schema`` is that of a part."""
+    return VersionedTables(spark, folder, {"parts": schema})
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[list[str], list[int], int]:
-    """Folders that make up the view, the batches among them, and the batch the snapshot goes to."""
-    snapshots = _numbers(spark, folder, "snapshot-")
-    through = snapshots[-1] if snapshots else -1
-    batches = [n for n in _numbers(spark, folder, "batch-") if n > through]
-    paths = [f"{folder}/snapshot-{through}"] if snapshots else []
-    return paths + [f"{folder}/batch-{n}" for n in batches], batches, through
-
-
-def start_view(stream: DataFrame, view: View, folder: str, merge_every: int = MERGE_EVERY, **trigger) -> StreamingQuery:
+def start_view(
+    stream: DataFrame,
+    view: View,
+    folder: str,
+    merge_every: int = MERGE_EVERY,
+    kept_versions: int = KEPT_VERSIONS,
+    **trigger,
+) -> StreamingQuery:
     """Keep a view of a stream up to date below ``folder``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        view.part(batch).write.mode("overwrite").parquet(f"{folder}/batch-{batch_id}")
-        if (batch_id + 1) % merge_every == 0:
-            merge_parts(batch.sparkSession, view, folder)
+        part = view.part(batch)
+        tables = view_tables(batch.sparkSession, folder, part.schema)
+        version = tables.open()
+        if batch_id <= version.notes.get("batch", -1):
+            return
+        version = tables.publish(version, [tables.write("parts", part)], batch=batch_id)
+        if tables.parts_of(version, "parts") >= merge_every:
+            merge_parts(tables, view, kept_versions)
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -156,30 +164,23 @@ def start_view(stream: DataFrame, view: View, folder: str, merge_every: int = ME
     )
 
 
-def merge_parts(spark: SparkSession, view: View, folder: str) -> None:
-    """Merge snapshot and finished batches into a new snapshot, then delete what it holds.
+def merge_parts(tables: VersionedTables, view: View, kept_versions: int = KEPT_VERSIONS) -> Version:
+    """Merge all parts into one, as the next version, and delete what only old versions name.
 
     Runs between two micro-batches of the view's own stream, or while that is stopped.
     """
-    paths, batches, through = _parts(spark, folder)
-    if not batches:
-        return
-    last = batches[-1]
-    view.merge(spark.read.parquet(*paths)).write.mode("overwrite").parquet(f"{folder}/snapshot-{last}")
-    for n in _numbers(spark, folder, "snapshot-"):
-        if n < last:
-            delete_folder(spark, f"{folder}/snapshot-{n}")
-    for n in _numbers(spark, folder, "batch-"):
-        if n <= last:
-            delete_folder(spark, f"{folder}/batch-{n}")
+    version = tables.open()
+    if tables.parts_of(version, "parts") > 1:
+        merged = view.merge(tables.read(version, "parts"))
+        version = tables.publish(version, [tables.write("parts", merged, [""])])
+    tables.forget(kept_versions)
+    return version
 
 
 def read_view(spark: SparkSession, view: View, folder: str, schema: StructType) -> DataFrame:
-    """The present rows of a view; ``schema`` is that of a part."""
-    paths, _, _ = _parts(spark, folder)
-    if not paths:
-        return spark.createDataFrame([], schema)
-    return view.merge(spark.read.schema(schema).parquet(*paths))
+    """The present rows of a view; ``schema`` is that of a part. Later versions do not disturb a reader."""
+    tables = view_tables(spark, folder, schema)
+    return view.merge(tables.read(tables.open(), "parts"))
 
 
 def run_available(stream: DataFrame, view: View, purpose: str) -> DataFrame:

@@ -160,3 +160,29 @@ def test_fare_and_dates(spark):
     today = F.lit(dt.date(2024, 1, 2))
     assert one(spark, D.not_past(F.lit(dt.date(2024, 1, 2)), today)) is True
     assert one(spark, D.not_past(F.lit(dt.date(2024, 1, 1)), today)) is False
+
+
+@pytest.mark.parametrize(
+    "value, key",
+    [
+        ("José", "jose"),
+        ("JOSÉ", "jose"),
+        ("Jose\u0301", "jose"),
+        ("Ångström", "angstrom"),
+        ("ΆΛΦΑ", "αλφα"),
+        ("Ж Й", "ж и"),
+        ("한국", "한국"),
+        ("plain ASCII 1", "plain ascii 1"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_text_key(spark, value, key):
+    assert one(spark, X.text_key(text(value))) == key
+    if value is not None:
+        assert X.key_of(value) == key
+        for other in (key, value, value.upper()):
+            assert one(spark, X.same_text(text(value), other)) is True
+        assert one(spark, X.same_text(text(value), key + "x")) is False
+    else:
+        assert one(spark, X.same_text(text(value), "x")) is None

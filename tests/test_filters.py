@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from fareline.operators import counters, filters
-from tests.tiny import dicts, frame, tables
+from tests.tiny import dicts, frame, small_world, tables
 
 
 def ids(df, key="route_id"):
@@ -139,3 +139,25 @@ def test_search_results_list_active_buses(spark):
     )
     got = [(r["route_id"], r["available_buses"], r["bus_numbers"]) for r in counters.search_results(t).collect()]
     assert got == [(1, 3, "Z, A"), (2, 0, "")]
+
+
+def test_stored_text_compares_without_case_and_accents(spark):
+    cities = ["São Paulo", "SAO PAULO", "Zürich", "Zurich Nord", "Lima"]
+    t = small_world(
+        spark,
+        routes=[{"route_id": i, "origin_city": c, "destination_city": "X"} for i, c in enumerate(cities)],
+        bookings=[{"booking_id": i, "status": s} for i, s in enumerate(["Confirmed", "cónfirmed", "confirmedx"])],
+    )
+    found = lambda text: {r["route_id"] for r in dicts(filters.matching_routes(t.routes, text))}
+    assert found("são") == found("SAO") == {0, 1}
+    assert found("ZUR") == found("zür") == {2, 3}
+    assert found("z_rich n") == {3} and found("s%ulo") == {0, 1}
+    assert {r["booking_id"] for r in dicts(filters.filter_bookings(t.bookings, "confirmed"))} == {0, 1}
+    assert [r["city"] for r in dicts(counters.cities(t.routes))] == ["Lima", "SAO PAULO", "X", "Zurich Nord", "Zürich"]
+
+
+def test_lookup_combines_its_keys_before_the_shuffle(spark):
+    asked = spark.range(1000).selectExpr("id % 3 AS route_id")
+    t = small_world(spark)
+    plan = filters.lookup(t.routes, "route_id", asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [route_id" in plan

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import unicodedata
 
 import pytest
 
@@ -17,25 +18,31 @@ def regs(spark, rows):
     )
 
 
+def key(value):
+    """Without case and accents, by the standard library."""
+    parts = unicodedata.normalize("NFD", (value or "").lower())
+    return "".join(c for c in parts if not unicodedata.combining(c))
+
+
 def one_by_one(known, rows):
     """The rule as a plain loop over the batch in order of arrival."""
-    names = {u.lower() for u, _ in known}
-    mails = {e.lower() for _, e in known}
+    names = {key(u) for u, _ in known}
+    mails = {key(e) for _, e in known}
     admitted, refused = set(), {}
     for i, _, u, f, l, e in sorted(rows, key=lambda r: (r[1], r[0])):
         why = []
         if any(v in (None, "", "0") for v in (u, f, l, e)):
             why.append(V.REASON_REQUIRED)
-        if (u or "").lower() in names:
+        if key(u) in names:
             why.append(V.REASON_USERNAME)
-        if (e or "").lower() in mails:
+        if key(e) in mails:
             why.append(V.REASON_EMAIL)
         if why:
             refused[i] = why
         else:
             admitted.add(i)
-            names.add(u.lower())
-            mails.add(e.lower())
+            names.add(key(u))
+            mails.add(key(e))
     return admitted, refused
 
 
@@ -96,3 +103,17 @@ def test_random_batches_with_a_hot_name(spark, seed):
         name = "hot" if i % 3 == 0 else f"u{rnd.randrange(60)}"
         rows.append((i, rnd.randrange(100), name, rnd.choice(["F", "F", "F", "0"]), "L", f"E{rnd.randrange(60)}"))
     check(spark, known, rows)
+
+
+def test_accents_do_not_make_another_name(spark):
+    known = [("José", "jose@x")]
+    rows = [
+        (0, 0, "JOSE", "F", "L", "a@x"),
+        (1, 1, "Jos\u0065\u0301", "F", "L", "b@x"),
+        (2, 2, "Zoë", "F", "L", "c@x"),
+        (3, 3, "zoe", "F", "L", "ç@x"),
+        (4, 4, "zoé2", "F", "L", "Ç@x"),
+        (5, 5, "ångström", "F", "L", "d@x"),
+        (6, 6, "Angstrom", "F", "L", "e@x"),
+    ]
+    check(spark, known, rows)

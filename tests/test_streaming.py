@@ -127,26 +127,71 @@ def test_streams_read_a_declared_schema(spark):
     assert view.isStreaming and view.schema == RAW["events"]
 
 
-def test_folders_stay_bounded_and_parts_are_counted_once(spark, arrived, world, tmp_path):
+@pytest.fixture
+def payment_view(spark, arrived, tmp_path):
+    """A view that six micro-batches went into, its parts as a frame, and what it should hold."""
     schema = spark.createDataFrame([], LOG).schema
     folder = str(tmp_path / "view")
     batch = spark.read.schema(schema).parquet(arrived).filter("kind = 'pay'")
     stream = live.file_stream(spark, arrived, schema, files_per_batch=1).filter("kind = 'pay'")
-    live.start_view(stream, live.PAYMENT_VIEW, folder, merge_every=2, availableNow=True).awaitTermination()
-    names = lambda: sorted(n for n in os.listdir(folder) if n != "checkpoint")
-    assert names() == ["snapshot-5"]
-    key = lambda r: str(r)
-    want = sorted(dicts(live.payment_claims(batch)), key=key)
-    part = live.payment_claims(batch).schema
-    view = lambda: sorted(dicts(live.read_view(spark, live.PAYMENT_VIEW, folder, part)), key=key)
-    assert view() == want
-    # A repeat of a batch that the snapshot holds, and a part that was never finished.
-    live.payment_claims(batch.limit(9)).write.parquet(f"{folder}/batch-5")
-    os.makedirs(f"{folder}/batch-6")
-    assert view() == want
-    live.payment_claims(batch.limit(0)).write.mode("overwrite").parquet(f"{folder}/batch-7")
-    live.merge_parts(spark, live.PAYMENT_VIEW, folder)
-    assert names() == ["batch-6", "snapshot-7"] and view() == want
+    live.start_view(stream, live.PAYMENT_VIEW, folder, merge_every=4, kept_versions=2, availableNow=True).awaitTermination()
+    claims = live.payment_claims(batch)
+    return folder, live.view_tables(spark, folder, claims.schema), sorted(dicts(claims), key=str)
+
+
+def rows_of(df):
+    return sorted(dicts(df), key=str)
+
+
+def commits(tables):
+    return sorted(n for n in os.listdir(f"{tables.folder}/parts"))
+
+
+def test_parts_and_folders_stay_bounded(spark, payment_view):
+    folder, tables, want = payment_view
+    version = tables.open()
+    # Four batches, their merged part, two more batches; versions before the merge are gone.
+    assert (version.number, version.notes["batch"], tables.parts_of(version, "parts")) == (6, 5, 3)
+    assert tables.numbers() == [3, 4, 5, 6]
+    assert rows_of(live.read_view(spark, live.PAYMENT_VIEW, folder, tables.schemas["parts"])) == want
+    live.merge_parts(tables, live.PAYMENT_VIEW, kept_versions=1)
+    assert tables.numbers() == [7] and len(commits(tables)) == 1
+    assert rows_of(live.read_view(spark, live.PAYMENT_VIEW, folder, tables.schemas["parts"])) == want
+
+
+def test_a_reader_goes_on_beside_a_merge(spark, payment_view):
+    folder, tables, want = payment_view
+    reader = live.read_view(spark, live.PAYMENT_VIEW, folder, tables.schemas["parts"])
+    version = live.merge_parts(tables, live.PAYMENT_VIEW, kept_versions=2)
+    assert tables.parts_of(version, "parts") == 1
+    assert rows_of(reader) == want
+
+
+def test_a_crash_between_write_and_swap(spark, payment_view, monkeypatch):
+    folder, tables, want = payment_view
+
+    def dies(*args, **notes):
+        raise RuntimeError("lost")
+
+    before = commits(tables)
+    monkeypatch.setattr(live.VersionedTables, "publish", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        live.merge_parts(tables, live.PAYMENT_VIEW)
+    monkeypatch.undo()
+    assert len(commits(tables)) == len(before) + 1
+    assert rows_of(live.read_view(spark, live.PAYMENT_VIEW, folder, tables.schemas["parts"])) == want
+    tables.sweep()
+    assert commits(tables) == before
+
+
+def test_a_repeated_batch_is_passed_over(spark, arrived, payment_view):
+    """The stream lost its own notes after the swap: all six files come again as the same batches."""
+    folder, tables, want = payment_view
+    shutil.rmtree(f"{folder}/checkpoint")
+    schema = spark.createDataFrame([], LOG).schema
+    stream = live.file_stream(spark, arrived, schema, files_per_batch=1).filter("kind = 'pay'")
+    live.start_view(stream, live.PAYMENT_VIEW, folder, availableNow=True).awaitTermination()
+    assert rows_of(live.read_view(spark, live.PAYMENT_VIEW, folder, tables.schemas["parts"])) == want
 
 
 def test_owner_is_settled_when_the_view_is_read(spark, world):
