@@ -14,8 +14,9 @@ from fareline.functions.fixed_values import HTML_ESCAPES, TRIMMED
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
-# A tag opens at "<" unless blank space follows, and runs to ">" or the end of the text.
-TAG = r"<([^\s>][^>]*)?(>|\z)"
+# Blank space behind it makes "<" an ordinary character; it is put aside as one of private use.
+BARE = r"<(?=[ \t\n\x0B\f\r])"
+BARE_SIGN = "\ue0ff"
 WHOLE_NUMBER = r"^\s*([+-]?[0-9]+)"
 NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
@@ -65,10 +66,97 @@ def same_text(c: Column, value: str) -> Column:
     return (F.lower(c) == key) | (~_is_ascii(c) & (text_key(c) == key))
 
 
+# Where a character of a text stands: outside of markup, in a tag, in a "<?" block, behind "<!", in a comment.
+TEXT, IN_TAG, IN_CODE, IN_DECLARATION, IN_COMMENT = range(5)
+_STATE = (
+    "struct<at:int,place:int,depth:int,quote:string,last:string,brackets:int,xml:boolean,behind:string,"
+    "start:int,kept:array<struct<start:int,n:int>>>"
+)
+
+
+def _next_state(s: Column, c: Column) -> Column:
+    """The state after a character ``c``; ``behind`` holds the six characters before it."""
+    place, depth, quote, behind = s["place"], s["depth"], s["quote"], s["behind"]
+    before = F.right(behind, F.lit(1))
+    is_quote, unescaped = c.isin("\"", "'"), before != "\\"
+    outside = (depth == 0) & (quote == "")
+    marked = place.isin(IN_TAG, IN_CODE, IN_DECLARATION)
+    closes = (c == ">") & (
+        ((place == IN_TAG) & outside & ~(s["xml"] & (before == "-")))
+        | ((place == IN_CODE) & outside & (s["brackets"] == 0) & (s["last"] != "\"") & (before == "?"))
+        | ((place == IN_DECLARATION) & outside)
+        | ((place == IN_COMMENT) & (quote == "") & (F.right(behind, F.lit(2)) == "--"))
+    )
+    new_place = (
+        F.when(closes, TEXT)
+        .when((place == TEXT) & (c == "<"), IN_TAG)
+        .when((place == IN_TAG) & (c == "!") & (before == "<"), IN_DECLARATION)
+        .when((place == IN_TAG) & (c == "?") & (before == "<"), IN_CODE)
+        .when((place == IN_CODE) & (F.lower(c) == "l") & (s["at"] > 4) & (F.lower(F.right(behind, F.lit(4))) == "<?xm"), IN_TAG)
+        .when((place == IN_DECLARATION) & (c == "-") & (F.right(behind, F.lit(2)) == "!-"), IN_COMMENT)
+        .when((place == IN_DECLARATION) & (F.lower(c) == "e") & (s["at"] > 6) & (F.lower(behind) == "doctyp"), IN_TAG)
+        .otherwise(place)
+    )
+    new_depth = (
+        F.when((place == IN_TAG) & (c == "<") & (quote == ""), depth + 1)
+        .when(marked & (c == ">") & (depth > 0), depth - 1)
+        .otherwise(depth)
+    )
+    toggles = is_quote & ((place == IN_TAG) | (place.isin(IN_CODE, IN_DECLARATION) & unescaped))
+    new_quote = F.when(closes, "").when(toggles & (quote == ""), c).when(toggles & (quote == c), "").otherwise(quote)
+    bracket = (place == IN_CODE) & c.isin("(", ")") & ~s["last"].isin("\"", "'")
+    new_last = (
+        F.when(bracket, c)
+        .when((place == IN_CODE) & is_quote & unescaped, F.when(s["last"] == c, "").otherwise(c))
+        .when((place == TEXT) & (c == "<"), c)
+        .otherwise(s["last"])
+    )
+    opens_code = (place == IN_TAG) & (new_place == IN_CODE)
+    brackets = F.when(opens_code, 0).when(bracket, s["brackets"] + F.when(c == "(", 1).otherwise(-1)).otherwise(s["brackets"])
+    leaves = (place == TEXT) & (c == "<") & (s["at"] >= s["start"])
+    run = F.array(F.struct(s["start"].alias("start"), (s["at"] + 1 - s["start"]).alias("n")))
+    return F.struct(
+        (s["at"] + 1).alias("at"),
+        new_place.alias("place"),
+        new_depth.alias("depth"),
+        new_quote.alias("quote"),
+        new_last.alias("last"),
+        brackets.alias("brackets"),
+        F.when(closes, False).when((place == IN_CODE) & (new_place == IN_TAG), True).otherwise(s["xml"]).alias("xml"),
+        F.right(F.concat(behind, c), F.lit(6)).alias("behind"),
+        F.when(closes, s["at"] + 2).otherwise(s["start"]).alias("start"),
+        F.when(leaves, F.concat(s["kept"], run)).otherwise(s["kept"]).alias("kept"),
+    ).cast(_STATE)
+
+
+def strip_tags(c: Column) -> Column:
+    """The text without its markup: one pass over the characters with a small state.
+
+    A tag runs from "<", unless blank space follows, to the ">" that is in no quotes and
+    closes no inner "<"; comments end at "-->" and "<?" blocks at "?>" outside of brackets. What
+    is never closed goes to the end of the text.
+    """
+    marked = F.regexp_replace(F.replace(c, F.lit("\0"), F.lit("")), BARE, BARE_SIGN)
+    start = F.from_json(
+        F.lit('{"at":0,"place":0,"depth":0,"quote":"","last":"","brackets":0,"xml":false,"behind":"","start":1,"kept":[]}'), _STATE
+    )
+
+    def kept(chars: Column) -> Column:
+        def finish(s: Column) -> Column:
+            rest = F.array(F.struct(s["start"].alias("start"), (s["at"] + 1 - s["start"]).alias("n")))
+            return F.when((s["place"] == TEXT) & (s["at"] >= s["start"]), F.concat(s["kept"], rest)).otherwise(s["kept"])
+
+        runs = F.aggregate(chars, start, _next_state, finish)
+        return F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(chars, r["start"], r["n"]))), "")
+
+    # The characters are bound once, as the one element of an array.
+    out = F.element_at(F.transform(F.array(F.split(marked, "")), kept), 1)
+    return F.when(c.contains("<"), F.replace(out, F.lit(BARE_SIGN), F.lit("<"))).otherwise(F.replace(c, F.lit("\0"), F.lit("")))
+
+
 def sanitize(c: Column) -> Column:
     """Trim, drop markup, then escape what HTML treats specially; NULL becomes empty."""
-    out = F.trim(F.coalesce(c, F.lit("")), F.lit(TRIMMED))
-    out = F.regexp_replace(out, TAG, "")
+    out = strip_tags(F.trim(F.coalesce(c, F.lit("")), F.lit(TRIMMED)))
     for char, entity in HTML_ESCAPES:
         out = F.replace(out, F.lit(char), F.lit(entity))
     return out

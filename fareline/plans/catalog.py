@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fareline.functions import display as D
@@ -340,6 +340,27 @@ def _(t):
     )
 
 
+@_query("f14_markup")
+def _(t):
+    """Form texts with markup that is not plain: quotes, comments, nested and open tags."""
+    key, k = F.col("event_id"), F.col("event_id").cast("string")
+
+    def made(*parts):
+        return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+    typed = (
+        F.when(key % 8 == 0, made('a <b title="', k, ' > 1">', k, "</b> z"))
+        .when(key % 8 == 1, made("x<!-- ", k, " > -- -->", k))
+        .when(key % 8 == 2, made("<a <b> c>", k, " < 5"))
+        .when(key % 8 == 3, made(k, " <i"))
+        .when(key % 8 == 4, made("<?php if (", k, ' > 1) echo "?>" ?>', k))
+        .when(key % 8 == 5, made("<!DOCTYPE html>", k, ' & "', k, '"'))
+        .when(key % 8 == 6, made("<i title='never closed>", k, "</i>"))
+        .otherwise(made("\t", k, "\n"))
+    )
+    return t.events.select("event_id", X.sanitize(typed).alias("clean"))
+
+
 # ---- writes -------------------------------------------------------------
 
 

@@ -431,6 +431,13 @@ _QUERIES: dict[str, str] = {
         concat('BKG', strftime(l.booking_date, '%Y%m%d'), CAST(l.booking_id % 9000 + 1000 AS VARCHAR)) AS booking_code,
         (u.phone_number IS NULL OR u.phone_number IN ('', '0')) AS no_phone
       FROM booking_list l JOIN routes r ON r.route_id = l.route_id JOIN users u ON u.user_id = l.user_id""",
+    "f14_markup": """
+      SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat('a ', CAST(event_id AS VARCHAR), ' z')
+        WHEN 1 THEN concat('x', CAST(event_id AS VARCHAR)) WHEN 2 THEN concat(CAST(event_id AS VARCHAR), ' &lt; 5')
+        WHEN 3 THEN concat(CAST(event_id AS VARCHAR), ' ')
+        WHEN 5 THEN concat(CAST(event_id AS VARCHAR), ' &amp; &quot;', CAST(event_id AS VARCHAR), '&quot;')
+        WHEN 6 THEN '' ELSE CAST(event_id AS VARCHAR) END AS clean
+      FROM events""",
     "w1_add_buses": f"""
       SELECT * FROM buses UNION ALL
       SELECT (SELECT max(bus_id) FROM buses) + 1 + request_id, bus_number, 'Model &amp; Co', license_plate, capacity,
