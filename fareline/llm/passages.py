@@ -15,7 +15,8 @@ meet by content instead:
 3. Segments are sharded by anchor, so all occurrences of a window share a shard of bounded
    size. The suffix automaton of a shard holds for each state the smallest id in which its
    words occur; the shard's segments are streamed past it, and each window of length
-   WINDOW gets that id. An anchor with more than ``HOT_SEGMENTS`` different segments is cut
+   WINDOW gets that id. Segments whose anchor no other segment of the corpus has need neither.
+   An anchor with more than ``HOT_SEGMENTS`` different segments is cut
    into its windows instead, which are grouped by their words.
 4. The verdicts return to the documents, which drop the union of the windows that lost.
 
@@ -227,13 +228,19 @@ _VERDICT = "anchor long, segment_id long, least array<long>"
 def _by_automaton(segments: DataFrame, shards: int) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         automaton = SuffixAutomaton()
+        ids = rows["doc_id"].tolist()
+        # A segment that shares its anchor with no other has nothing to match but itself.
+        alone = (~rows["anchor"].duplicated(keep=False)).tolist()
         split = [s.split(" ") for s in rows["segment"]]
-        for sequence, doc_id in zip(split, rows["doc_id"].tolist(), strict=True):
-            automaton.add(sequence, doc_id)
+        for sequence, doc_id, single in zip(split, ids, alone, strict=True):
+            if not single:
+                automaton.add(sequence, doc_id)
         automaton.finish()
-        return pd.DataFrame(
-            {"anchor": rows["anchor"], "segment_id": rows["segment_id"], "least": [automaton.least_ids(s) for s in split]}
-        )
+        least = [
+            [doc_id] * (len(sequence) - WINDOW + 1) if single else automaton.least_ids(sequence)
+            for sequence, doc_id, single in zip(split, ids, alone, strict=True)
+        ]
+        return pd.DataFrame({"anchor": rows["anchor"], "segment_id": rows["segment_id"], "least": least})
 
     sharded = segments.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     return sharded.groupBy("shard").applyInPandas(run, _VERDICT)
@@ -289,22 +296,18 @@ def repeated(docs: DataFrame) -> DataFrame:
     ).groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
 
 
-def _removed(text: bytes, marks: dict[tuple[int, int], int]) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """The words of a text and the spans of words, first and last plus one, that go."""
-    in_order = text.split()
-    found = anchors(words.split([text]))
+def _removed(in_order: list[bytes], found: Anchors, marks: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """The spans of words, first and last plus one, that go; ``found`` are the text's anchors."""
     gone = np.zeros(len(in_order) + 1, dtype=np.int64)
-    anchored = {a for a, _ in marks}
-    for h, first, n in zip(*(x.tolist() for x in found[1:]), strict=True):
-        if h not in anchored:
-            continue
+    good = np.isin(found.hashes, np.fromiter({a for a, _ in marks}, dtype=np.int64))
+    for h, first, n in zip(*(x[good].tolist() for x in found[1:]), strict=True):
         lost = marks.get((h, _id(_segment(in_order, first, n))), 0)
         for i in range(n):
             if lost >> i & 1:
                 gone[first + i] += 1
                 gone[first + i + WINDOW] -= 1
     starts, ends = words.spans(np.cumsum(gone[:-1]) > 0)
-    return in_order, list(zip(starts.tolist(), ends.tolist(), strict=True))
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
 _CLEAN = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,last:int>>"
@@ -323,11 +326,18 @@ def cleaned(docs: DataFrame, with_text: bool = True) -> DataFrame:
         for batch in batches:
             for part in tables.slices(batch, "text"):
                 rows = []
-                for text, told in zip(tables.texts(part, "text"), part.column(2).to_pylist(), strict=True):
-                    if told:
-                        in_order, spans = _removed(text, {(m["anchor"], m["segment_id"]): m["lost"] for m in told})
-                    else:
-                        in_order, spans = text.split(), []
+                raw = tables.texts(part, "text")
+                marked = [bool(told) for told in part.column(2).is_valid().to_pylist()]
+                # One pass over all texts that lose something; the others need no anchors.
+                found = anchors(words.split([t for t, m in zip(raw, marked, strict=True) if m]))
+                cuts = np.searchsorted(found.owner, np.arange(sum(marked) + 1)).tolist()
+                nth = 0
+                for text, told in zip(raw, part.column(2).to_pylist(), strict=True):
+                    in_order, spans = text.split(), []
+                    if told is not None:
+                        mine = found.at(slice(cuts[nth], cuts[nth + 1]))
+                        spans = _removed(in_order, mine, {(m["anchor"], m["segment_id"]): m["lost"] for m in told})
+                        nth += 1
                     left, done = [], 0
                     for first, last in spans:
                         left += in_order[done:first]
