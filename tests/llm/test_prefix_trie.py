@@ -107,8 +107,9 @@ def test_the_tree_is_balanced():
     assert deepest == 10
 
 
-@pytest.mark.parametrize("shard_turns", [1, 3, 10, 40, None])
-@pytest.mark.parametrize("seed, n, choices", [(1, 60, 2), (2, 45, 4), (3, 80, 1)])
+@pytest.mark.parametrize(
+    "seed, n, choices, shard_turns", [(1, 60, 2, 1), (1, 60, 2, 10), (2, 45, 4, 3), (3, 80, 1, 40), (3, 80, 1, None)]
+)
 def test_against_plain_prefixes(spark, seed, n, choices, shard_turns):
     rows = made(seed, n, choices)
     assert rows_of(run(spark, rows, shard_turns)) == expected(rows)
