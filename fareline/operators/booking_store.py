@@ -54,6 +54,7 @@ SCHEMAS = {
     "payment_totals": _plus(StructType(), n_payments=LONG, revenue=MONEY),
 }
 PARTITIONED = {"bookings": "journey_date", "days": "block", "booking_seat": "block", "payments": "block", "holds": "journey_date"}
+SORTED = {"bookings": "created_at"}
 #: What the parts of a table of totals are added up by.
 KEYS = {"holds": ["journey_date", "route_id", "seat_id"], "user_totals": ["user_id"], "route_totals": ["route_id"], "payment_totals": []}
 
@@ -88,7 +89,7 @@ def _added(parts: DataFrame, table: str) -> DataFrame:
 class BookingStore:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
-        self.tables = VersionedTables(spark, folder, SCHEMAS, PARTITIONED)
+        self.tables = VersionedTables(spark, folder, SCHEMAS, PARTITIONED, SORTED)
 
     # ---- the first version ---------------------------------------------------
 
@@ -112,9 +113,19 @@ class BookingStore:
             "booking_id": t.bookings.agg(F.max("booking_id")).first()[0],
             "payment_id": t.payments.agg(F.max("payment_id")).first()[0],
         }
-        store.tables.publish(store.tables.open(), written, highest=highest)
+        store.tables.publish(store.tables.open(), written, highest=highest, newest=store._newest(t.bookings, {}))
         return store
 
+    @staticmethod
+    def _newest(bookings: DataFrame, before: dict[str, str]) -> dict[str, str]:
+        """The latest creation day of the bookings of each journey day: an entry per day."""
+        out = dict(before)
+        for day, at in bookings.groupBy("journey_date").agg(F.max("created_at")).collect():
+            name = partition_name("journey_date", day)
+            if at is not None:
+                out[name] = max(out.get(name, ""), str(at))
+        return out
+
     @staticmethod
     def _listed(bookings: DataFrame, t) -> DataFrame:
         """With a flag for bookings that lists show: those whose bus and route are there."""
@@ -312,7 +323,8 @@ class BookingStore:
             self._write("user_totals", self._user_totals(rows)),
         ]
         highest["booking_id"] = rows.agg(F.max("booking_id")).first()[0]
-        return Applied(self._publish(version, written, batch, highest=highest), new.rejects)
+        newest = self._newest(rows, version.notes["newest"])
+        return Applied(self._publish(version, written, batch, highest=highest, newest=newest), new.rejects)
 
     def follow(self, log: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Apply a stream of status changes and payments, a commit per micro-batch."""
@@ -346,6 +358,37 @@ class BookingStore:
     def bookings(self, version: Version | None = None) -> DataFrame:
         return self.tables.read(version or self.tables.open(), "bookings").select(*TABLES["bookings"].names)
 
+    def newest_bookings(self, n: int, whole=None, version: Version | None = None) -> DataFrame:
+        """The newest ``n`` bookings, read from as few days as hold them.
+
+        ``whole`` leaves out rows of a frame of bookings that are not to count. The day with the
+        latest creation is read first, then others in turn, until ``n`` rows stand; what
+        comes after the last of them is left unread, by days and by the statistics of files.
+        """
+        version = version or self.tables.open()
+        names = TABLES["bookings"].names
+        keep = whole or (lambda rows: rows)
+
+        def rows(partitions: list[str]) -> DataFrame:
+            return keep(self.tables.read(version, "bookings", partitions).select(*names))
+
+        def top(found: DataFrame) -> DataFrame:
+            return found.orderBy(F.col("created_at").desc(), F.col("booking_id").desc()).limit(n)
+
+        newest = version.notes["newest"]
+        order = sorted(newest, key=lambda p: (newest[p], p), reverse=True)
+        taken = 1
+        while True:
+            found = top(rows(order[:taken])).select("created_at").collect()
+            if len(found) == n or taken >= len(order):
+                break
+            taken *= 2
+        least = found[-1][0] if len(found) == n else None
+        if least is None:  # too few rows anywhere, or the last of them has no day of creation
+            return top(rows(list(version.parts.get("bookings", {}))))
+        later = [p for p in order if newest[p] >= str(least)]
+        return top(rows(later).filter(F.col("created_at") >= F.lit(least)))
+
     def booking_seat(self, version: Version | None = None) -> DataFrame:
         return self.tables.read(version or self.tables.open(), "booking_seat").drop("block")
 

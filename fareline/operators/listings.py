@@ -158,16 +158,23 @@ def route_buses(t, route_ids: DataFrame | Iterable[int] | None = None) -> DataFr
     return links.join(active_buses(t.buses), "bus_id")
 
 
-def recent_bookings(t, n: int = 5) -> DataFrame:
+def recent_bookings(t, n: int = 5, kept=None) -> DataFrame:
     """The newest ``n`` bookings with passenger, route and bus.
 
     Bookings whose partner is missing drop out before the cut, by their keys alone; the
-    names are joined to the ``n`` rows that are left.
+    names are joined to the ``n`` rows that are left. ``kept``: a booking store that is read
+    newest days first instead of all bookings.
     """
-    whole = t.bookings
-    for table, key in ((t.buses, "bus_id"), (t.routes, "route_id"), (t.users, "user_id")):
-        whole = whole.join(table.select(key), key, "left_semi")
-    newest = newest_first(whole, "booking_id").limit(n)
+
+    def whole(bookings: DataFrame) -> DataFrame:
+        for table, key in ((t.buses, "bus_id"), (t.routes, "route_id"), (t.users, "user_id")):
+            bookings = bookings.join(table.select(key), key, "left_semi")
+        return bookings
+
+    if kept is None:
+        newest = newest_first(whole(t.bookings), "booking_id").limit(n)
+    else:
+        newest = kept.newest_bookings(n, whole)
     named = (
         newest.join(t.buses.select("bus_id", "bus_number"), "bus_id")
         .join(t.routes.select("route_id", "route_name"), "route_id")

@@ -613,6 +613,12 @@ def _(t):
     return counters.route_list(t, kept=_changed_store(t)[0])
 
 
+@_query("t1_stored_recent")
+def _(t):
+    """The newest bookings of a store, read from the days that hold them."""
+    return listings.recent_bookings(t, kept=_changed_store(t)[0])
+
+
 @_query("w11_admit_users")
 def _(t):
     return signups.admit_users(t.users, t.registrations).users

@@ -596,6 +596,11 @@ _QUERIES |= {
     "g2_kept_user_stats": _kept("g2_user_stats"),
     "g4_kept_user_booking_stats": _kept("g4_user_booking_stats"),
     "g6_kept_route_list": _kept("g6_route_list"),
+    "t1_stored_recent": f"""
+      WITH kept_bookings AS (
+        SELECT {", ".join(TABLES["bookings"].names)} FROM ({_with_status("effective")})
+        UNION ALL {_with_requests("accepted_requests").replace("SELECT * FROM bookings UNION ALL", "")})
+      {_QUERIES["t1_recent"].replace("FROM bookings", "FROM kept_bookings")}""",
     "st3_occupancy": f"""
       WITH kept AS ({_with_status("effective")}),
       kept_holds AS (

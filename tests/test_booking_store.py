@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fareline.functions import fixed_values as V
-from fareline.operators import booking_store, changes, counters, seats
+from fareline.operators import booking_store, changes, counters, listings, seats
 from fareline.operators.booking_store import BookingStore
 from fareline.session import work_folder
 from fareline.sources.schemas import TABLES
@@ -272,3 +272,25 @@ def test_a_hot_user_and_day(spark):
     store.apply_log(log)
     whole = changes.apply_changes(t, log)
     check_reports(store, t, whole.bookings, t.booking_seat, whole.payments)
+
+
+def test_newest_bookings_come_from_few_days(spark):
+    t, ids = world(spark, 13)
+    created = F.date_add(F.lit(DAY), (F.col("booking_id") % 7).cast("int"))
+    late = F.when(F.col("journey_date") == F.lit(DAYS[3]), F.date_add(F.lit(DAY), 100)).otherwise(created)
+    late = F.when(F.col("journey_date") == F.lit(DAYS[1]), F.lit(None).cast("date")).otherwise(late)
+    t = Tables(**{**t.__dict__, "bookings": t.bookings.withColumn("created_at", late).select(*t.bookings.columns)})
+    store = store_of(spark, t)
+    for n in (1, 5, 12, 200):
+        for kept in (None, store):
+            got = listings.recent_bookings(t, n, kept=kept).collect()
+            want = want if kept else got
+            assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    read = store.newest_bookings(5)
+    assert {os.path.basename(os.path.dirname(f)) for f in inputs(read)} == {f"journey_date={DAYS[3]}"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(created_at" in plan and "InMemoryFileIndex(1 paths)" in plan
+    asked = spark.createDataFrame([(1, at(1), 1, 1, 1, DAYS[0], [1], "x", "y")], REQUESTS)
+    store.add_bookings(t, asked, DAY + dt.timedelta(days=500))
+    assert [r["journey_date"] for r in store.newest_bookings(1).collect()] == [DAYS[0]]
+    assert store_of(spark, tables(spark)).newest_bookings(5).count() == 0
