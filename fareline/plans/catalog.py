@@ -11,6 +11,7 @@ from fareline.functions import display as D
 from fareline.functions import text as X
 from fareline.operators import audits, changes, counters, filters, listings, searches, seats, signups
 from fareline.operators.booking_store import BookingStore
+from fareline.operators.catalog_store import CatalogStore
 from fareline.session import work_folder
 from fareline.sources.derived import DerivedTables
 from fareline.sources.schemas import RAW, TABLES
@@ -630,6 +631,45 @@ def _(t):
     return rejects.select("reg_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
+# ---- a catalog store ----------------------------------------------------
+
+_CATALOGS: dict[tuple[str, str], CatalogStore] = {}
+
+
+def _edited_catalog(t) -> CatalogStore:
+    """A store that took the edits of buses, of routes and of users; kept once per application."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _CATALOGS:
+        # Small blocks, as the given tables have few rows.
+        store = CatalogStore.create(t.spark, work_folder(t.spark, "catalog"), t, block_bits=9)
+        store.edit_buses(t.bus_edits)
+        store.edit_routes(t.route_edits)
+        store.set_user_active(t.user_toggles)
+        _CATALOGS[key] = store
+    return _CATALOGS[key]
+
+
+@_query("w2_stored_buses")
+def _(t):
+    """Buses of a store after a batch of edits; only the blocks of their ids are written."""
+    return _edited_catalog(t).rows("buses")
+
+
+@_query("w5_stored_routes")
+def _(t):
+    return _edited_catalog(t).rows("routes")
+
+
+@_query("w5_stored_assignments")
+def _(t):
+    return _edited_catalog(t).rows("bus_route")
+
+
+@_query("w7_stored_users")
+def _(t):
+    return _edited_catalog(t).rows("users")
+
+
 # ---- audits -------------------------------------------------------------
 
 

@@ -588,6 +588,10 @@ def _kept(name: str) -> str:
 _QUERIES |= {
     "st4_users": _QUERIES["w11_admit_users"],
     "st4_rejects": _QUERIES["w11_admit_users_rejects"],
+    "w2_stored_buses": _QUERIES["w2_edit_buses"],
+    "w5_stored_routes": _QUERIES["w5_edit_routes"],
+    "w5_stored_assignments": _QUERIES["w5_edit_routes_assignments"],
+    "w7_stored_users": _QUERIES["w7_set_user_active"],
     "w8_stored_update": _QUERIES["w8_apply_status"],
     "w9_stored_no_clash": _QUERIES["w9_no_clash"],
     "w10_stored_changes": _QUERIES["w10_apply_changes"],

@@ -1,0 +1,77 @@
+"""A catalog store against the same edits over whole tables."""
+
+import os
+
+import pytest
+
+from fareline.functions import fixed_values as V
+from fareline.operators import changes
+from fareline.operators.catalog_store import KEYS, CatalogStore
+from fareline.session import work_folder
+from tests.test_booking_store import same
+from tests.test_changes import at
+from tests.tiny import dicts, tables
+
+BUS_EDITS = "change_id long, ts timestamp_ntz, bus_id long, bus_number string, bus_model string, license_plate string, capacity string, is_active string"
+ROUTE_EDITS = "change_id long, ts timestamp_ntz, route_id long, route_name string, fare string, is_active int, buses array<long>"
+SWITCHES = "change_id long, ts timestamp_ntz, user_id long, is_active string"
+
+
+@pytest.fixture
+def world(spark):
+    t = tables(
+        spark,
+        users=[{"user_id": i, "username": f"u{i}"} for i in range(20)],
+        buses=[{"bus_id": i} for i in range(20)],
+        routes=[{"route_id": i} for i in range(20)],
+        bus_route=[{"bus_id": i % 7, "route_id": i % 15} for i in range(40)],
+    )
+    return t, CatalogStore.create(spark, work_folder(spark, "catalog"), t, block_bits=2)
+
+
+def files(store, table):
+    top = f"{store.tables.folder}/{table}"
+    return {os.path.join(d, f) for d, _, names in os.walk(top) for f in names if f.endswith(".parquet")}
+
+
+def blocks(found):
+    return {os.path.basename(os.path.dirname(f)) for f in found}
+
+
+def test_edits_equal_those_of_whole_tables_and_touch_their_blocks(spark, world):
+    t, store = world
+    before = {table: files(store, table) for table in KEYS}
+    buses = spark.createDataFrame(
+        [(1, at(1), 5, " <b>N</b>", "M", "L", "7", "on"), (2, at(2), 5, "late", "M", "L", "8", None), (3, at(1), 6, "x", "M", "L", "99999999999", "on"), (4, at(1), 99, "x", "M", "L", "9", "on")],
+        BUS_EDITS,
+    )
+    routes = spark.createDataFrame(
+        [(1, at(1), 1, "A", "7.5", 1, [3, 4]), (2, at(1), 17, "B", "8", None, []), (3, at(1), 18, "C", "1e99", 1, [1])], ROUTE_EDITS
+    )
+    switches = spark.createDataFrame([(1, at(1), 13, "0"), (2, at(3), 13, "0"), (3, at(2), 13, "1"), (4, at(1), None, "0")], SWITCHES)
+    whole_buses, whole_routes = changes.edit_buses(t.buses, buses), changes.edit_routes(t.routes, t.bus_route, routes)
+    same(store.edit_buses(buses, batch=0).rejects, whole_buses.rejects)
+    same(store.edit_routes(routes, batch=1).rejects, whole_routes.rejects)
+    store.set_user_active(switches, batch=2)
+    assert store.set_user_active(switches, batch=2).rejects is None
+    same(store.rows("buses"), whole_buses.buses)
+    same(store.rows("routes"), whole_routes.routes)
+    same(store.rows("bus_route"), whole_routes.bus_route)
+    same(store.rows("users"), changes.set_user_active(t.users, switches))
+    assert [r["reason"] for r in dicts(whole_buses.rejects)] == [V.REASON_CAPACITY]
+    new = {table: blocks(files(store, table) - before[table]) for table in KEYS}
+    assert new["buses"] == {"block=1"} and new["users"] == {"block=3"} and new["routes"] == {"block=0", "block=4"}
+    assert new["bus_route"] == {"block=0"}
+    reader = store.rows("buses", store.tables.open(0))
+    same(reader, t.buses)  # an older version still reads as it was
+
+
+def test_nothing_to_edit(spark, world):
+    t, store = world
+    store.edit_buses(spark.createDataFrame([], BUS_EDITS))
+    store.edit_routes(spark.createDataFrame([], ROUTE_EDITS))
+    same(store.rows("buses"), t.buses)
+    same(store.rows("bus_route"), t.bus_route)
+    empty = CatalogStore.create(spark, work_folder(spark, "catalog"), tables(spark))
+    empty.set_user_active(spark.createDataFrame([(1, at(1), 13, "0")], SWITCHES))
+    assert empty.rows("users").count() == 0
