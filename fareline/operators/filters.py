@@ -59,7 +59,8 @@ def filter_bookings(
     """
     tests = [F.lit(True)]
     if status:
-        tests.append(same_text(F.col("status"), status))
+        # Said apart, as the comparison itself is nothing a scan can be asked for.
+        tests.append(F.col("status").isNotNull() & same_text(F.col("status"), status))
     if journey_date:
         tests.append(F.col("journey_date") == F.lit(journey_date).try_cast("date"))
     return bookings.filter(reduce(and_, tests))
