@@ -1,28 +1,37 @@
-"""Packing of token sequences: optimal length buckets and batches of a token budget.
+"""Packing of token ids: optimal length buckets and batches of a token budget.
 
-A text longer than ``MAX_LENGTH`` tokens is cut into pieces of that length, so the global
+Texts become ids of a byte-level vocabulary. A text longer than ``MAX_LENGTH`` tokens is cut into pieces of that length, so the global
 histogram of piece lengths has at most ``MAX_LENGTH`` entries whatever the table holds. A
 dynamic program over it chooses the bucket boundaries for which padding every piece to the
 boundary of its bucket adds the fewest tokens. Inside a bucket, groups of about
 ``GROUP_ROWS`` pieces, dealt by hash, are cut into batches of as many pieces as the token
 budget holds at the bucket's boundary; only the last batch of a group may be smaller.
 
-Every document is packed whole. A null or empty text has no token and gives one piece of
-length 0 in the first bucket. Rows that repeat are packed one by one. Lengths are counts
-of words by default; any column of counts will do.
+Every document is packed whole: its pieces' ids in order decode to its text. A null or empty
+text has no token and gives one piece of length 0 in the first bucket. Rows that repeat, null
+ids included, are packed one by one and dealt to different groups. Strings of special tokens
+in a text are ordinary text. An empty table gives no row. :func:`batches` gives the padded
+batches themselves; :func:`pieces` does for lengths alone, from any column of counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fareline.llm import tables
+from fareline.llm.swap_packing import ByteVocabulary, token_ids
 
 NAME = "op9_packing"
 ORACLE = None  # boundaries come from a dynamic program: checked against every choice on small input
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PAD_ID = 0
 MAX_LENGTH = 2048
 BUCKETS = 12
 TOKEN_BUDGET = 65_536
@@ -43,6 +52,39 @@ def pieces(docs: DataFrame, length: Column, max_length: int = MAX_LENGTH) -> Dat
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_length), F.col("n") - start).alias("length"))
 
 
+def tokenised(docs: DataFrame, path: str = VOCABULARY, max_length: int = MAX_LENGTH) -> DataFrame:
+    """``(doc_id, piece, start, length, ids)``: the token ids of each text, cut as :func:`pieces` does."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    vocabulary = ByteVocabulary(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = vocabulary.encoder()
+        for batch in batches:
+            for part in tables.slices(batch, "text"):
+                found = [token_ids(encoder, t or "") for t in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in found], dtype=np.int64)
+                cuts = np.maximum(1, -(-n // max_length))
+                owner = np.repeat(np.arange(len(n)), cuts)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+                start = piece * max_length
+                length = np.minimum(max_length, n[owner] - start)
+                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(pa.array(owner)),
+                        pa.array(piece),
+                        pa.array(start),
+                        pa.array(length),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))),
+                    ],
+                    ["doc_id", "piece", "start", "length", "ids"],
+                )
+
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {id_type}, piece long, start long, length long, ids array<int>"
+    )
+
+
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding, in order.
 
@@ -79,8 +121,10 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 
 
 def packed(parts: DataFrame, token_budget: int = TOKEN_BUDGET, buckets: int = BUCKETS) -> DataFrame:
-    """Bucket, batch and padding of each piece; ``parts`` as :func:`pieces` gives them."""
-    parts = tables.kept(parts, "packing-pieces")
+    """Bucket, batch and padding of each piece; ``parts`` as :func:`pieces` or :func:`tokenised` gives them."""
+    held_ids = [c for c in parts.columns if c == "ids"]
+    # The number of a row deals rows that repeat to different groups.
+    parts = tables.kept(parts.withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     histogram = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # MAX_LENGTH + 1 rows at most
     ends = boundaries(histogram, buckets)
     if not ends:
@@ -97,10 +141,10 @@ def packed(parts: DataFrame, token_budget: int = TOKEN_BUDGET, buckets: int = BU
         {
             "boundary": of_bucket(ends).cast("long"),
             "per_batch": of_bucket([max(1, token_budget // max(1, e)) for e in ends]).cast("long"),
-            "group": F.pmod(F.xxhash64("doc_id", "piece", "length"), of_bucket(groups)).cast("int"),
+            "group": F.pmod(F.xxhash64("row"), of_bucket(groups)).cast("int"),
         }
     )
-    in_group = Window.partitionBy("bucket", "group").orderBy("doc_id", "piece", "length")
+    in_group = Window.partitionBy("bucket", "group").orderBy("doc_id", "piece", "row")
     place = F.row_number().over(in_group) - 1
     return placed.withColumn("at", place).select(
         "doc_id",
@@ -112,11 +156,30 @@ def packed(parts: DataFrame, token_budget: int = TOKEN_BUDGET, buckets: int = BU
         F.concat_ws("-", "bucket", "group", F.floor(F.col("at") / F.col("per_batch"))).alias("batch"),
         (F.col("at") % F.col("per_batch")).cast("int").alias("place"),
         (F.col("boundary") - F.col("length")).alias("padding"),
+        *held_ids,
+    )
+
+
+def batches(rows: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
+    """``(batch, boundary, doc_ids, pieces, lengths, ids)`` from the rows of :func:`pack`.
+
+    ``ids`` holds the batch row by row, each padded to the boundary: at most a token budget.
+    """
+    padding = F.array_repeat(F.lit(pad_id), F.col("padding").cast("int"))
+    row = F.struct("place", "doc_id", "piece", "length", F.concat("ids", padding).alias("ids"))
+    return rows.groupBy("batch", "boundary").agg(F.sort_array(F.collect_list(row)).alias("rows")).select(
+        "batch",
+        "boundary",
+        F.col("rows.doc_id").alias("doc_ids"),
+        F.col("rows.piece").alias("pieces"),
+        F.col("rows.length").alias("lengths"),
+        F.col("rows.ids").alias("ids"),
     )
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    return packed(pieces(docs, word_count()))
+def pack(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """A row per piece of a document: its ids, and its place in the batches."""
+    return packed(tokenised(docs, path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

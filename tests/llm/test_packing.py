@@ -50,6 +50,38 @@ def test_packed(spark, monkeypatch):
     assert sum(r["padding"] for r in rows) == padding(Counter(r["length"] for r in rows), {r["boundary"] for r in rows})
 
 
+def test_batches_of_token_ids(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_ROWS", 16)
+    texts = [None, "", " ", "<|endoftext|> é \U0001f600", *[prose(n, n) for n in range(1, 40)], *["same copy"] * 40, prose(4000, 1)]
+    docs = documents(spark, texts)
+    rows = P.packed(P.tokenised(docs, max_length=300), token_budget=2000, buckets=4)
+    encoder = P.ByteVocabulary(P.VOCABULARY).encoder()
+    parts = defaultdict(list)
+    for r in rows.collect():
+        assert r["length"] == len(r["ids"]) <= 300 and r["start"] == 300 * r["piece"]
+        parts[r["doc_id"]].append((r["piece"], r["ids"]))
+    for i, text in enumerate(texts):
+        assert [p for p, _ in sorted(parts[i])] == list(range(len(parts[i])))
+        assert encoder.decode([x for _, ids in sorted(parts[i]) for x in ids]) == (text or "")
+    histogram = Counter(len(ids) for p in parts.values() for _, ids in p)
+    again, added = defaultdict(dict), 0
+    for b in P.batches(rows, pad_id=-1).collect():
+        assert {len(x) for x in b["ids"]} == {b["boundary"]} and b["boundary"] * len(b["ids"]) <= 2000
+        for doc, piece, n, ids in zip(b["doc_ids"], b["pieces"], b["lengths"], b["ids"], strict=True):
+            again[doc][piece] = ids[:n]
+            assert ids[n:] == [-1] * (b["boundary"] - n)
+            added += b["boundary"] - n
+    assert {d: sorted(p.items()) for d, p in again.items()} == {d: sorted(p) for d, p in parts.items()}
+    assert added == padding(histogram, P.boundaries(histogram, 4))
+
+
+def test_rows_that_repeat_are_dealt_to_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP_ROWS", 16)
+    docs = documents(spark, ["one and the same"] * 400, [None] * 400)
+    rows = P.pack(docs).select("batch", "place").collect()
+    assert len(set(rows)) == 400 and len({r["batch"] for r in rows}) > 10
+
+
 def test_repeated_rows_and_empty_table(spark):
     docs = documents(spark, ["a b", "a b", None], [1, 1, None])
     assert P.pack(docs).count() == 3

@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 
+from fareline.llm import packing
 from tests.llm.rows import documents, prose
 
 
@@ -44,8 +45,11 @@ def test_run(spark, corpus):
     folder, texts = corpus
     rows = corpus_pipeline.run(spark, folder).collect()
     assert len({r["doc_id"] for r in rows}) == len(texts) - 20 - 5 - 2
-    words = {i: len((t or "").split()) for i, t in enumerate(texts)}
-    assert all(r["length"] == words[r["doc_id"]] for r in rows)
+    assert all(r["length"] == len(r["ids"]) for r in rows)
+    # What is packed decodes to the kept texts, personal data replaced.
+    encoder = packing.ByteVocabulary(packing.VOCABULARY).encoder()
+    texts = [(t or "").replace("a@b.cd", "<EMAIL>") for t in texts]
+    assert all(encoder.decode(r["ids"]) == texts[r["doc_id"]] for r in rows)
 
 
 def test_empty_documents(spark, corpus, tmp_path):
