@@ -55,6 +55,18 @@ def test_added_kinds_need_their_checks():
     assert kinds("part 123-45-6789 of the list") == []
 
 
+def test_account_numbers_end_by_country():
+    found = lambda t: [t[s.start : s.end] for s in P.find_spans(t) if s.kind == "iban"]
+    for text in ("BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034", "x BE68 5390 0754 7034, EUR", "BE68 5390 0754 7034 Euro"):
+        assert found(text) == ["BE68 5390 0754 7034"], text
+    assert found("BE68539007547034 IBAN") == ["BE68539007547034"]
+    assert found("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 NL") == ["BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    assert found("NO93 8601 1117 947 NOK") == ["NO93 8601 1117 947"]
+    # a word that goes on, one number too few, a wrong sum
+    for text in ("BE68539007547034EUR", "BE68 5390 0754 703", "BE68 5390 0754 7035 EUR", "AB12 " * 5000):
+        assert found(text) == [], text
+
+
 def test_context_raises_the_score():
     alone, beside = P.find_spans("so 10.0.0.1 it is")[0], P.find_spans("the server 10.0.0.1 it is")[0]
     assert alone.score < beside.score
