@@ -9,7 +9,9 @@ each query a kth score that the second wave starts from.
 Queries go out in blocks of a fixed number of rows, each block against all shards, so
 neither a broadcast nor a task grows with the table. Ties go to the smaller id. Vectors
 that are null or hold null or non-finite components take no part; shorter vectors count
-as padded with zeros. Ids must differ and not be null; rows with a null id are left out.
+as padded with zeros. Rows with a null id are left out. Rows that share an id are all
+candidates, but none of them for a query of that id; queries that share an id are one query,
+whose answer is the best of all their scores (a candidate once for each of them).
 """
 
 from __future__ import annotations
@@ -97,8 +99,7 @@ class Shard:
         # Larger keys are better: the score, then the smaller id.
         keys = np.full((len(queries), k), LOWEST, dtype=whole_kind)
         floor = least.copy()
-        own = np.searchsorted(self.ids, ids)
-        own[(own == n) | (self.ids[np.minimum(own, n - 1)] != ids)] = -1
+        own_from, own_to = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, side="right")
         real = queries.astype(np.float64)
         length = np.linalg.norm(real, axis=1)
 
@@ -121,7 +122,7 @@ class Shard:
             rows = self.order[ball.start : ball.stop]
             scores = (asked[who] @ dealt[:, ball.start : ball.stop]).astype(whole_kind)
             fresh = scores * n + (n - 1 - rows)
-            fresh[own[who][:, None] == rows] = LOWEST
+            fresh[(own_from[who][:, None] <= rows) & (rows < own_to[who][:, None])] = LOWEST
             both = np.concatenate([keys[who], fresh], axis=1)
             keys[who] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
             worst = keys[who].min(axis=1)

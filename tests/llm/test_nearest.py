@@ -42,6 +42,20 @@ def test_against_all_scores(spark, tmp_path, monkeypatch, shards):
     assert got == plain(rows)
 
 
+def test_rows_that_share_an_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(N, "SHARD_ROWS", 16)
+    monkeypatch.setattr(N, "LEAF_ROWS", 4)
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.normal(0, 0.3, 4).tolist()) for i in range(80)]
+    rows += [(0, rows[5][1]), (0, rows[0][1]), (20, rng.normal(0, 0.3, 4).tolist()), (7, rows[7][1]), (7, rows[9][1])]
+    whole = [(i, np.floor(64 * np.array(v, dtype=np.float32).astype(np.float64)).astype(int)) for i, v in rows]
+    want = []
+    for q in (0, 20, 40, 60):
+        scored = sorted((-int(a @ b), c) for i, a in whole if i == q for c, b in whole if c != q)[:20]
+        want += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(scored)]
+    assert sorted(tuple(r) for r in answer(spark, tmp_path, rows).collect()) == want
+
+
 def test_large_components(spark, tmp_path):
     rows = [(i, [float(2**20 + i), -3.0e5]) for i in range(45)]
     got = {tuple(r) for r in answer(spark, tmp_path, rows).collect()}
