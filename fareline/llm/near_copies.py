@@ -250,7 +250,8 @@ def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame) -> DataFrame:
     """Each text ``a`` of ``members(bucket, id)`` with the hubs ``b`` of its buckets."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    # Stored, as a join right above an aggregation is not cut at a hot bucket.
+    sizes = tables.kept(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "near-sizes")
     fame = members.join(sizes, "bucket").groupBy("id").agg(F.sum("size").alias("fame"))
     famous = F.struct("fame", -F.col("id"))
     hubs = tables.kept(
