@@ -262,10 +262,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_archives(tables.table(spark, sf_dir, "pages"), path)
     index = tables.kept(merged_index(captures(spark, path)), "warc-index")
     # A revisit's payload is that of the response it names.
-    sizes = (
+    sizes = tables.kept(
         index.filter((F.col("record_type") == "response") & (F.col("payload_bytes") >= REVISIT_BYTES))
         .groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
-        .agg(F.max("payload_bytes").alias("told"))
+        .agg(F.max("payload_bytes").alias("told")),
+        "warc-sizes",
     )
     own = index.filter("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
