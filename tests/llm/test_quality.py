@@ -1,6 +1,9 @@
 import re
+import struct
+from collections import Counter
 
 import numpy as np
+import xxhash
 
 from fareline.llm import quality as Q
 from tests.llm.rows import documents, prose
@@ -46,6 +49,57 @@ def test_weights_against_a_plain_sum(spark):
     assert model.cut == ranked[model.k - 1]
 
 
+def chosen_by_hash(ids, part):
+    """Spark's hash of the id and then the seed, as a share of one half per sample."""
+    out = set()
+    for i in ids:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42)
+        h = xxhash.xxh64_intdigest(struct.pack("<i", Q.SEED), seed=h)
+        if part / 2 <= (h >> 11) / 2**53 <= part / 2 + 0.5:
+            out.add(i)
+    return out
+
+
+def test_counts_and_ratios_against_plain_code(spark):
+    texts = [*corpus(120), None, "", "a a b", corpus()[1]]
+    marks = [(i, int(i % 4 > 0), int(i % 10 == 3)) for i in range(90)] + [(5, 0, 0), (None, 1, 0), (91, None, 0)]
+    scored, model = Q.weighed(documents(spark, texts), labels(spark, marks))
+    good = {i for i, q, toxic in marks if i is not None and q == 1 and not toxic} - {5}
+    target = chosen_by_hash(good, 0)
+
+    def plain_grams(text):
+        tokens = [t.decode() for t in TOKEN.findall((text or "").encode())]
+        return [(t,) for t in tokens] + list(zip(tokens, tokens[1:]))
+
+    def bucket(gram):  # only the hash is the operator's own
+        if len(gram) == 2 and gram[0] == gram[1]:
+            return 0
+        return int(Q.grams([" ".join(gram).encode()]).buckets[-1])
+
+    raw, aim = Counter(), Counter()
+    for i, text in enumerate(texts):
+        raw.update(plain_grams(text))
+        if i in target:
+            aim.update(plain_grams(text))
+    place = {g: bucket(g) for g in raw}
+    raw_of, aim_of = Counter(), Counter()
+    for g, n in raw.items():
+        raw_of[place[g]] += n
+        aim_of[place[g]] += aim[g]
+    all_raw, all_aim = sum(raw.values()), sum(aim.values())
+    size = len(model.weights)
+    for b in {*raw_of, 0, 17}:
+        p, q = (aim_of[b] + 1) / (all_aim + size), (raw_of[b] + 1) / (all_raw + size)
+        assert abs(model.weights[b] - np.log(p / q) * Q.UNIT) <= 1
+    told = {r["doc_id"]: r["weight"] for r in scored.collect()}
+    tried = chosen_by_hash({i for i, q, _ in marks if i is not None and q is not None}, 1)
+    # An id with both marks is bad; toxic ones that are not bad take no side.
+    bad = {i for i, q, _ in marks if i is not None and q == 0}
+    sides = [(told[i], i in good) for i in sorted(tried) if i in good or i in bad]
+    want = Q.best_level(np.array([s for s, _ in sides]), np.array([g for _, g in sides]))
+    assert model.level == want and model.k == sum(w >= want for w in told.values())
+
+
 def test_good_documents_stay_and_bad_ones_go(spark):
     texts = corpus()
     docs = documents(spark, texts)
