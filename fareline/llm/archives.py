@@ -1,8 +1,9 @@
 """Web archives: writing WARC records, reading them back, and an ordered capture index.
 
-Records are written as text files in the shared work folder, ``RECORDS_PER_FILE`` at most
-in each: a record ends in CR LF CR LF, the last LF being the writer's line end, so a file is
-a plain sequence of WARC/1.1 records. Files are read whole and cut by Content-Length, so a
+Records are written as text files in the shared work folder: a record ends in CR LF CR LF,
+the last LF being the writer's line end, so a file is a plain sequence of WARC/1.1 records.
+Records of one size class share files, fewer to a file the larger they are, so a file holds
+about 64 MB at most or a single record. Files are read whole and cut by Content-Length, so a
 payload may hold anything.
 
 Of records with equal payloads of ``REVISIT_BYTES`` or more, that with the smallest page id
@@ -46,7 +47,8 @@ FROM f
 """
 
 REVISIT_BYTES = 100
-RECORDS_PER_FILE = 1000
+#: Payload bytes up to which records share files, and how many a file has.
+SIZE_CLASSES = ((64 << 10, 1000), (1 << 20, 64), (16 << 20, 4), (1 << 62, 1))
 #: Index rows that a range holds on average.
 RANGE_ROWS = 50_000
 # Fixed values of the format.
@@ -66,7 +68,10 @@ def _record_id(page_id: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """One WARC record per row of ``pages(page_id, url, html)``, without the last line feed."""
+    """One WARC record per row of ``pages(page_id, url, html)``, without the last line feed.
+
+    ``size`` is the bytes of the page, ``carried`` those that the record has of it.
+    """
     rows = pages.filter(F.col("page_id").isNotNull()).select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
@@ -105,11 +110,23 @@ def records(pages: DataFrame) -> DataFrame:
         field("Content-Length", str(len(HTTP_HEAD))),
         F.lit(f"\r\n{HTTP_HEAD}\r\n\r"),
     )
-    return told.select(F.when(revisit, repeat).otherwise(response).alias("value"))
+    carried = F.when(revisit, F.lit(0)).otherwise(F.col("size"))
+    return told.select(F.when(revisit, repeat).otherwise(response).alias("value"), "size", carried.alias("carried"))
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    records(pages).write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    found = records(pages)
+    # Read the pages again only for classes that they have.
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    above = -1
+    for limit, per_file in SIZE_CLASSES:
+        one = found.filter((F.col("carried") > above) & (F.col("carried") <= limit))
+        if above >= 0:
+            one = one.filter(F.col("size") > above)  # for the scan: before digests and the join
+        one.select("value").write.mode("append").option("maxRecordsPerFile", per_file).text(path)
+        above = limit
+        if longest <= limit:
+            break
 
 
 # ---- reading ----------------------------------------------------------------

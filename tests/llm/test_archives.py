@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from fareline.llm import archives as A
 
@@ -46,6 +47,28 @@ def test_files_are_plain_warc(spark, tmp_path):
             assert seen[f"<urn:page:{page}>"] == (html or "").encode()
 
 
+def test_files_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(A, "SIZE_CLASSES", ((1000, 50), (10_000, 4), (1 << 62, 1)))
+    rows = [(i, "u", f"{i} " + "z" * (100, 3000, 90_000)[i % 3]) for i in range(120)]
+    rows += [(200 + i, "u", rows[2][2]) for i in range(60)]  # revisits of a large page are small records
+    A.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert sum(s > 90_000 for s in sizes) == 40 and max(sizes) < 92_000
+    index = A.captures(spark, str(tmp_path / "w")).collect()
+    assert sorted(r["page_id"] for r in index) == sorted(r[0] for r in rows)
+    assert len({r["file"] for r in index if r["record_type"] == "revisit"}) <= 3
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Extra columns take no part, whatever their names; repeated rows are archived one by one."""
+    clash = {n: F.lit("x") for n in ("digest", "size", "value", "first_id", "n", "carried", "url_key", "part")}
+    pages(spark, [*ROWS, *ROWS]).withColumns(clash).write.parquet(str(tmp_path / "pages.parquet"))
+    pages(spark, ROWS).write.parquet(str(tmp_path / "plain" / "pages.parquet"))
+    twice = sorted(map(str, A.query(spark, str(tmp_path)).collect()))
+    once = sorted(map(str, A.query(spark, str(tmp_path / "plain")).collect()))
+    assert twice == sorted(once * 2)
+
+
 def test_index_is_in_global_order(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(A, "RANGE_ROWS", 40)
     rows = [(i, f"http://h{i % 3}.org/p" if i % 2 else "http://hot.org/", f"page {i}") for i in range(400)]
