@@ -1,3 +1,4 @@
+import collections
 import itertools
 
 import numpy as np
@@ -86,3 +87,55 @@ def test_banded_alignment(seed):
     need, want = N._needed(len(a) + len(b)), lcs(a.tolist(), b.tolist())
     got = N.aligned(a, b, need)
     assert got == want if want >= need else got < need
+
+
+def similar_pairs(texts):
+    """All pairs of different texts that are similar, by an index of all shingles; texts by position."""
+    found = [N.shingles(t.encode()) for t in texts]
+    holders = collections.defaultdict(list)
+    for i, own in enumerate(found):
+        for x in N.labelled(own).tolist():
+            holders[x].append(i)
+    common = collections.Counter(
+        (j, i) for own, i in zip(found, range(len(found)), strict=True) for x in N.labelled(own).tolist() for j in holders[x] if j < i
+    )
+    enough = [(i, j) for (i, j), n in common.items() if n >= N._needed(len(found[i]) + len(found[j]))]
+    return {(i, j): s for i, j in enough if (s := N.similarity(found[i], found[j])) >= N.SIMILARITY}
+
+
+def test_pairs_by_edit_rate(spark):
+    """Every pair of 0.8 or more is found, whatever share of its words was edited."""
+    texts, rates = [], {}
+    for n in range(1, 41):
+        for copy in range(5):
+            words = 120 + 40 * (n % 12)
+            edits = 1 + (n + 8 * copy) % max(1, words // 45)
+            rates[len(texts) + 1] = edits / words
+            origin = prose(words, 10_000 + 5 * n + copy, 50_000)
+            texts += [origin, edited(origin, edits, 20_000 + 5 * n + copy)]
+    pairs = similar_pairs(texts)
+    assert len(pairs) > 150 and max(rates[j] for _, j in pairs) > 0.02 and min(pairs.values()) < 0.82
+    got = {r["doc_id"]: r["class_id"] for r in N.find_near_copies(documents(spark, texts)).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert [i for i in got if got[i] != i and (got[i], i) not in pairs] == []
+
+
+def test_classes_of_a_given_table(spark):
+    """On a given table no similar pair is missed and no class holds texts that no chain of links joins."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r["doc_id"], " ".join((r["text"] or "").split())) for r in docs.collect()]
+    by_text = collections.defaultdict(list)
+    for i, t in rows:
+        by_text[t].append(i)
+    texts = [t for t in by_text if t]
+    name = {min(by_text[t]): min(by_text[t]) for t in by_text}
+    links = [(min(by_text[texts[i]]), min(by_text[texts[j]])) for i, j in similar_pairs(texts)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(name[a], name[b])
+            changed |= name[a] != low or name[b] != low
+            name[a] = name[b] = low
+    want = {i: name[min(ids)] for ids in by_text.values() for i in ids}
+    assert {r["doc_id"]: r["class_id"] for r in N.find_near_copies(docs).collect()} == want
