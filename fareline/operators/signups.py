@@ -148,8 +148,10 @@ def admit_users(users: DataFrame, regs: DataFrame) -> Admission:
 
 # ---- sign-ups that arrive over time ------------------------------------------
 
-#: Keys are stored in so many buckets by their hash; a batch reads those that its forms fall into.
-BUCKETS = 1024
+#: Keys are stored in buckets by their hash; a batch reads those that its forms fall into. A desk gets
+#: a bucket for so many users it starts with, within these bounds.
+BUCKET_USERS = 1 << 16
+FEWEST_BUCKETS, BUCKETS = 16, 1024
 #: The files of a bucket are put together beyond this many commits.
 PARTS = 20
 
@@ -161,8 +163,12 @@ DESK = {
 }
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _buckets_of(version: Version) -> int:
+    return version.notes.get("buckets", BUCKETS)
 
 
 class SignupDesk:
@@ -179,21 +185,23 @@ class SignupDesk:
     @classmethod
     def create(cls, spark: SparkSession, folder: str, users: DataFrame) -> SignupDesk:
         desk = cls(spark, folder)
-        highest = users.agg(F.max("user_id")).first()[0]
-        written = [desk.tables.write("users", users), *desk._taken(users)]
+        highest, n = users.agg(F.max("user_id"), F.count(F.lit(1))).first()
+        buckets = min(BUCKETS, max(FEWEST_BUCKETS, -(-n // BUCKET_USERS)))
+        written = [desk.tables.write("users", users), *desk._taken(users, buckets)]
         # Ids go on from the users at the start, so that they do not depend on the batches.
-        desk.tables.publish(desk.tables.open(), written, first_id=0 if highest is None else highest + 1)
+        desk.tables.publish(desk.tables.open(), written, first_id=0 if highest is None else highest + 1, buckets=buckets)
         return desk
 
-    def _taken(self, users: DataFrame) -> list[Written]:
+    def _taken(self, users: DataFrame, buckets: int) -> list[Written]:
         out = []
         for table, column, key in (("names", "username", "name_key"), ("mails", "email", "mail_key")):
             keys = users.select(text_key(F.col(column)).alias(key)).filter(F.col(key).isNotNull()).distinct()
-            out.append(self.tables.write(table, keys.select(key, _bucket(key))))
+            out.append(self.tables.write(table, keys.select(key, _bucket(key, buckets))))
         return out
 
     def _held(self, version: Version, table: str, key: str, batch: DataFrame) -> DataFrame:
-        buckets = [partition_name("bucket", r[0]) for r in batch.select(_bucket(key)).distinct().collect()]
+        bucket = _bucket(key, _buckets_of(version))
+        buckets = [partition_name("bucket", r[0]) for r in batch.select(bucket).distinct().collect()]
         return _of_batch(self.tables.read(version, table, buckets), batch, key)
 
     def admit(self, regs: DataFrame, batch: int | None = None) -> Version:
@@ -202,13 +210,15 @@ class SignupDesk:
         if batch is not None and batch <= version.notes.get("batch", -1):
             return version
         enable_checkpoints(regs.sparkSession)
-        keyed = stored(keyed_forms(regs), "forms")
+        # Dealt out first: cleaning takes most of the time, and a batch may come as one file.
+        keyed = stored(keyed_forms(regs.repartition("reg_id")), "forms")
         judged = judged_forms(
             keyed, self._held(version, "names", "name_key", keyed), self._held(version, "mails", "mail_key", keyed)
         )
         judged = stored(judged, "judged-forms")
         users = _as_users(judged, F.lit(version.notes["first_id"]))
-        written = [self.tables.write("users", users), self.tables.write("rejects", _refused(judged)), *self._taken(users)]
+        written = [self.tables.write("users", users), self.tables.write("rejects", _refused(judged))]
+        written += self._taken(users, _buckets_of(version))
         version = self.tables.publish(version, written, **({} if batch is None else {"batch": batch}))
         return self._put_together(version)
 

@@ -94,3 +94,30 @@ def test_nobody_yet(spark):
     assert [r["user_id"] for r in dicts(desk.users())] == [0]
     desk.admit(regs(spark, []))
     assert desk.users().count() == 1
+
+
+def test_buckets_follow_the_number_of_users(spark, monkeypatch):
+    users = known_users(spark)
+    desk = signups.SignupDesk.create(spark, work_folder(spark, "desk"), users)
+    assert desk.tables.open().notes["buckets"] == signups.FEWEST_BUCKETS
+    monkeypatch.setattr(signups, "BUCKET_USERS", 1)
+    monkeypatch.setattr(signups, "FEWEST_BUCKETS", 1)
+    desk = signups.SignupDesk.create(spark, work_folder(spark, "desk"), users)
+    assert desk.tables.open().notes["buckets"] == len(KNOWN)
+    monkeypatch.undo()  # a desk keeps the buckets it was made with
+    forms = made(4, 60)
+    desk.admit(regs(spark, forms))
+    same(desk, users, signups.admit_users(users, regs(spark, forms)))
+
+
+def test_forms_of_one_file_are_cleaned_by_several_tasks(spark, monkeypatch):
+    desk = signups.SignupDesk.create(spark, work_folder(spark, "desk"), known_users(spark))
+    spread, keyed_forms = [], signups.keyed_forms
+    monkeypatch.setattr(signups, "keyed_forms", lambda df: spread.append(df.rdd.getNumPartitions()) or keyed_forms(df))
+    monkeypatch.setattr(signups, "stored", lambda df, purpose: df.checkpoint())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        desk.admit(regs(spark, made(5)).coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread[0] > 1
