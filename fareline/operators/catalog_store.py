@@ -20,8 +20,8 @@ from fareline.session import stored
 from fareline.sources.schemas import TABLES
 from fareline.sources.versions import Version, VersionedTables, partition_name
 
-#: Rows of a block have the same id up to this many bits.
-BLOCK_BITS = 16
+#: The blocks a table has at most when a store is made, unless a size of blocks is asked for.
+BLOCKS = 64
 #: The id that puts a row into its block.
 KEYS = {"users": "user_id", "buses": "bus_id", "routes": "route_id", "bus_route": "route_id"}
 SCHEMAS = {name: StructType([*TABLES[name].fields, StructField("block", LongType())]) for name in KEYS}
@@ -35,12 +35,20 @@ class Edited(NamedTuple):
 
 
 class CatalogStore:
-    def __init__(self, spark: SparkSession, folder: str, block_bits: int = BLOCK_BITS) -> None:
+    def __init__(self, spark: SparkSession, folder: str, block_bits: int) -> None:
+        """``block_bits``: rows of a block have the same id up to this many bits."""
         self.block_bits = block_bits
         self.tables = VersionedTables(spark, folder, SCHEMAS, dict.fromkeys(KEYS, "block"), KEYS)
 
     @classmethod
-    def create(cls, spark: SparkSession, folder: str, t, block_bits: int = BLOCK_BITS) -> CatalogStore:
+    def create(cls, spark: SparkSession, folder: str, t, block_bits: int | None = None) -> CatalogStore:
+        """A store of the tables of ``t``, in blocks that grow with the ids unless their bits are given.
+
+        So the number of files of a table and of the names in a version stays the same at any size.
+        """
+        if block_bits is None:
+            widest = [getattr(t, name).agg(F.max(F.abs(key))).first()[0] or 0 for name, key in KEYS.items()]
+            block_bits = (max(widest) // BLOCKS).bit_length()
         store = cls(spark, folder, block_bits)
         written = [store.tables.write(name, store._placed(name, getattr(t, name))) for name in KEYS]
         store.tables.publish(store.tables.open(), written, block_bits=block_bits)
@@ -50,7 +58,7 @@ class CatalogStore:
         return rows.withColumn("block", F.shiftright(KEYS[table], self.block_bits))
 
     def _blocks(self, edits: DataFrame, key: str) -> list[str]:
-        """The blocks of the edited rows: one name per 2^16 ids at most."""
+        """The blocks of the edited rows, by name."""
         ids = edits.filter(F.col(key).isNotNull()).select(F.shiftright(key, self.block_bits)).distinct()
         return [partition_name("block", r[0]) for r in ids.collect()]
 

@@ -75,3 +75,18 @@ def test_nothing_to_edit(spark, world):
     empty = CatalogStore.create(spark, work_folder(spark, "catalog"), tables(spark))
     empty.set_user_active(spark.createDataFrame([(1, at(1), 13, "0")], SWITCHES))
     assert empty.rows("users").count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 1000])
+def test_blocks_grow_with_the_ids(spark, step):
+    t = tables(
+        spark,
+        users=[{"user_id": i * step, "username": f"u{i}"} for i in range(200)],
+        routes=[{"route_id": i * step} for i in range(200)],
+        bus_route=[{"bus_id": 1, "route_id": i * step} for i in range(200)],
+    )
+    store = CatalogStore.create(spark, work_folder(spark, "catalog"), t)
+    parts = store.tables.open().parts
+    assert 25 <= len(parts["routes"]) <= 64 and 25 <= len(parts["bus_route"]) <= 64
+    same(store.rows("routes"), t.routes)
+    same(store.rows("bus_route"), t.bus_route)
