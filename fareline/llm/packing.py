@@ -7,6 +7,9 @@ boundary of its bucket adds the fewest tokens. Inside a bucket, groups of about
 ``GROUP_ROWS`` pieces, dealt by hash, are cut into batches of as many pieces as the token
 budget holds at the bucket's boundary; only the last batch of a group may be smaller.
 
+Ids are stored and shuffled as bytes, two an id where the vocabulary is small enough for it, and
+become numbers again in the result.
+
 Every document is packed whole: its pieces' ids in order decode to its text. A null or empty
 text has no token and gives one piece of length 0 in the first bucket. Rows that repeat, null
 ids included, are packed one by one and dealt to different groups. Strings of special tokens
@@ -36,6 +39,8 @@ MAX_LENGTH = 2048
 BUCKETS = 12
 TOKEN_BUDGET = 65_536
 GROUP_ROWS = 2048
+#: Rows whose ids a task turns into numbers at a time.
+SENT_ROWS = 1024
 
 
 def word_count(text: str = "text") -> Column:
@@ -52,10 +57,15 @@ def pieces(docs: DataFrame, length: Column, max_length: int = MAX_LENGTH) -> Dat
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(max_length), F.col("n") - start).alias("length"))
 
 
-def tokenised(docs: DataFrame, path: str = VOCABULARY, max_length: int = MAX_LENGTH) -> DataFrame:
-    """``(doc_id, piece, start, length, ids)``: the token ids of each text, cut as :func:`pieces` does."""
+def _id_type(vocabulary: ByteVocabulary) -> str:
+    """Two bytes an id where the vocabulary's highest id fits, else four."""
+    return "<u2" if max(vocabulary.ranks.values()) < 1 << 16 else "<i4"
+
+
+def _narrow(docs: DataFrame, vocabulary: ByteVocabulary, max_length: int = MAX_LENGTH) -> DataFrame:
+    """The rows of :func:`tokenised` with the ids as bytes, which is how they are stored and shuffled."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    vocabulary = ByteVocabulary(path)
+    width = np.dtype(_id_type(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocabulary.encoder()
@@ -68,23 +78,51 @@ def tokenised(docs: DataFrame, path: str = VOCABULARY, max_length: int = MAX_LEN
                 piece = np.arange(len(owner)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
                 start = piece * max_length
                 length = np.minimum(max_length, n[owner] - start)
-                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(length * width.itemsize))).astype(np.int32)
+                ids = np.concatenate(found).astype(width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(pa.array(owner)),
                         pa.array(piece),
                         pa.array(start),
                         pa.array(length),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32))),
+                        pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends), pa.py_buffer(ids)]),
                     ],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, piece long, start long, length long, ids array<int>"
+        run, f"doc_id {id_type}, piece long, start long, length long, ids binary"
     )
 
 
+def _widened(rows: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
+    """The ids of :func:`_narrow` as numbers; the other columns stay as they are."""
+    width, at = np.dtype(_id_type(vocabulary)), rows.columns.index("ids")
+    fields = ", ".join(f"`{f.name}` {'array<int>' if f.name == 'ids' else f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SENT_ROWS):
+                part = batch.slice(first, SENT_ROWS)
+                # Cast and joined anew, so that the offsets are of 32 bits and begin at 0.
+                held = pa.concat_arrays([part.column(at).cast(pa.binary())])
+                ends = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1]
+                data = held.buffers()[2] or b""
+                ids = np.frombuffer(data, dtype=np.uint8, count=ends[-1] - ends[0], offset=ends[0]).view(width).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // width.itemsize), pa.array(ids))
+                columns = [lists if i == at else c for i, c in enumerate(part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return rows.mapInArrow(run, fields)
+
+
+def tokenised(docs: DataFrame, path: str = VOCABULARY, max_length: int = MAX_LENGTH) -> DataFrame:
+    """``(doc_id, piece, start, length, ids)``: the token ids of each text, cut as :func:`pieces` does."""
+    vocabulary = ByteVocabulary(path)
+    return _widened(_narrow(docs, vocabulary, max_length), vocabulary)
+
+
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
     """Upper ends of at most ``buckets`` buckets with the least padding, in order.
 
@@ -179,7 +217,8 @@ def batches(rows: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
 
 def pack(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """A row per piece of a document: its ids, and its place in the batches."""
-    return packed(tokenised(docs, path))
+    vocabulary = ByteVocabulary(path)
+    return _widened(packed(_narrow(docs, vocabulary)), vocabulary)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

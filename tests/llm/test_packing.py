@@ -87,3 +87,25 @@ def test_repeated_rows_and_empty_table(spark):
     assert P.pack(docs).count() == 3
     assert P.pack(docs.limit(0)).count() == 0
     assert P.boundaries({}) == []
+
+
+def test_ids_are_stored_and_shuffled_as_bytes(spark, monkeypatch):
+    stored = []
+    kept = P.tables.kept
+    monkeypatch.setattr(P.tables, "kept", lambda df, *a: stored.append(df.schema["ids"].dataType.simpleString()) or kept(df, *a))
+    texts = [None, "", "é \U0001f600", *[prose(n, n) for n in range(1, 1500, 60)], prose(9000, 1)]
+    docs = documents(spark, texts)
+    rows = P.pack(docs)
+    assert stored == ["binary"] and rows.schema["ids"].dataType.simpleString() == "array<int>"
+    want = {(r["doc_id"], r["piece"]): r["ids"] for r in P.tokenised(docs).collect()}
+    assert {(r["doc_id"], r["piece"]): r["ids"] for r in rows.collect()} == want
+    encoder = P.ByteVocabulary(P.VOCABULARY).encoder()
+    for i, text in enumerate(texts):
+        assert encoder.decode([x for d, piece in sorted(want) if d == i for x in want[d, piece]]) == (text or "")
+
+
+def test_ids_of_a_large_vocabulary_take_four_bytes(spark, monkeypatch):
+    docs = documents(spark, [None, "a b", prose(300, 1)])
+    want = sorted(map(str, P.tokenised(docs).collect()))
+    monkeypatch.setattr(P, "_id_type", lambda vocabulary: "<i4")
+    assert sorted(map(str, P.tokenised(docs).collect())) == want
