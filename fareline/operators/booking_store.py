@@ -55,6 +55,8 @@ SCHEMAS = {
 }
 PARTITIONED = {"bookings": "journey_date", "days": "block", "booking_seat": "block", "payments": "block", "holds": "journey_date"}
 SORTED = {"bookings": "created_at"}
+#: What a batch of changes reads of the bookings it names.
+KNOWN = ["booking_id", "user_id", "route_id", "journey_date", "status", "total_amount", "is_listed", "changed_ts", "changed_id"]
 #: What the parts of a table of totals are added up by.
 KEYS = {"holds": ["journey_date", "route_id", "seat_id"], "user_totals": ["user_id"], "route_totals": ["route_id"], "payment_totals": []}
 
@@ -102,29 +104,33 @@ class BookingStore:
             {"changed_ts": F.lit(None).cast("timestamp_ntz"), "changed_id": F.lit(None).cast("long")}
         )
         n_paid = t.payments.groupBy("booking_id").agg(F.count(F.lit(1)).alias("k"))
+        newest, n_days = store._newest(t.bookings, {})
+        last = t.bookings.agg(F.min("booking_id"), F.max("booking_id")).first()
+        n_blocks = 0 if last[0] is None else (last[1] >> BLOCK_BITS) - (last[0] >> BLOCK_BITS) + 1
         written = [
-            *store._new_rows(bookings, t.booking_seat),
-            store._write("payments", t.payments.select("*", _block())),
+            *store._new_rows(bookings, t.booking_seat, n_days, n_blocks),
+            store._write("payments", t.payments.select("*", _block()), values=n_blocks),
             store._write("holds", seats.live_holds(t).groupBy(*KEYS["holds"]).agg(F.count(F.lit(1)).alias("n"))),
             store._write("user_totals", cls._user_totals(bookings.join(n_paid, "booking_id", "left"))),
             store._write("payment_totals", cls._payment_totals(t.payments)),
         ]
         highest = {
-            "booking_id": t.bookings.agg(F.max("booking_id")).first()[0],
+            "booking_id": last[1],
             "payment_id": t.payments.agg(F.max("payment_id")).first()[0],
         }
-        store.tables.publish(store.tables.open(), written, highest=highest, newest=store._newest(t.bookings, {}))
+        store.tables.publish(store.tables.open(), written, highest=highest, newest=newest)
         return store
 
     @staticmethod
-    def _newest(bookings: DataFrame, before: dict[str, str]) -> dict[str, str]:
-        """The latest creation day of the bookings of each journey day: an entry per day."""
+    def _newest(bookings: DataFrame, before: dict[str, str]) -> tuple[dict[str, str], int]:
+        """The latest creation day of the bookings of each journey day, an entry per day, and the days of these."""
         out = dict(before)
-        for day, at in bookings.groupBy("journey_date").agg(F.max("created_at")).collect():
+        days = bookings.groupBy("journey_date").agg(F.max("created_at")).collect()
+        for day, at in days:
             name = partition_name("journey_date", day)
             if at is not None:
                 out[name] = max(out.get(name, ""), str(at))
-        return out
+        return out, len(days)
 
     @staticmethod
     def _listed(bookings: DataFrame, t) -> DataFrame:
@@ -154,14 +160,19 @@ class BookingStore:
             F.count(F.lit(1)).alias("n_payments"), F.coalesce(F.sum("amount"), F.lit(0)).cast(MONEY).alias("revenue")
         )
 
-    def _write(self, table: str, rows: DataFrame, replaced: list[str] | None = None) -> Written:
-        return self.tables.write(table, rows, replaced)
+    def _write(
+        self, table: str, rows: DataFrame, replaced: list[str] | None = None, values: int | None = None
+    ) -> Written:
+        return self.tables.write(table, rows, replaced, values)
 
-    def _new_rows(self, bookings: DataFrame, booking_seat: DataFrame) -> list[Written]:
+    def _new_rows(
+        self, bookings: DataFrame, booking_seat: DataFrame, n_days: int, n_blocks: int | None = None
+    ) -> list[Written]:
         by_route = bookings.groupBy("route_id").agg(F.count(F.lit(1)).alias("booking_count"))
         return [
-            self._write("bookings", bookings),
-            self._write("days", bookings.select("booking_id", "journey_date", _block())),
+            self._write("bookings", bookings, values=n_days),
+            self._write("days", bookings.select("booking_id", "journey_date", _block()), values=n_blocks),
+            # A link may name a booking that is not there, and so any block.
             self._write("booking_seat", booking_seat.select("*", _block())),
             self._write("route_totals", by_route),
         ]
@@ -192,7 +203,7 @@ class BookingStore:
         if self._is_done(version, batch):
             return Applied(version, None)
         asked = stored(log.select("booking_id", "ts", "change_id", "new_status"), "changes")
-        return Applied(self._publish(version, self._changed(version, asked)[1], batch), None)
+        return Applied(self._publish(version, self._changed(version, asked, self._named(version, asked)), batch), None)
 
     def apply_log(self, log: DataFrame, batch: int | None = None) -> Applied:
         """Status changes and payments of one log, as :func:`fareline.operators.changes.apply_changes`.
@@ -204,14 +215,13 @@ class BookingStore:
             return Applied(version, None)
         named = ["change_id", "ts", "booking_id", "kind", "new_status", "payment_method", "user_id"]
         log = stored(log.select(*named), "log")
-        days = self._days(version, log)
-        old = self.tables.read(version, "bookings", days)
-        owners = old.select("booking_id", F.col("user_id").alias("owner_id"))
-        owned = log.join(owners, "booking_id").withColumn("user_id", F.coalesce("user_id", "owner_id")).drop("owner_id")
+        old = self._named(version, log)
+        owners = old.select("booking_id", F.col("user_id").alias("owner_id"), "total_amount")
+        owned = log.join(owners, "booking_id").withColumn("user_id", F.coalesce("user_id", "owner_id"))
         owned = stored(owned, "owned-log")
-        effective = stored(changes.effective_status(owned, old), "effective")
-        accepted = stored(changes.payable(owned.filter(F.col("kind") == "pay"), old), "accepted-payments")
-        written = self._changed(version, effective, days)[1]
+        effective = changes.effective_entries(owned)
+        accepted = owned.filter((F.col("kind") == "pay") & (F.col("user_id") == F.col("owner_id")))
+        written = self._changed(version, effective, old)
         highest = dict(version.notes["highest"])
         if not accepted.isEmpty():
             first = -1 if highest["payment_id"] is None else highest["payment_id"]
@@ -226,9 +236,13 @@ class BookingStore:
         rejects = changes.refused_payments(log.filter(F.col("kind") == "pay"), accepted)
         return Applied(self._publish(version, written, batch, highest=highest), rejects)
 
-    def _changed(self, version: Version, asked: DataFrame, days: list[str] | None = None) -> tuple[DataFrame, list[Written]]:
-        """The bookings that get another status or time of change, and the files this makes."""
-        old = self.tables.read(version, "bookings", self._days(version, asked) if days is None else days)
+    def _named(self, version: Version, log: DataFrame) -> DataFrame:
+        """What a batch has to know of the bookings it names, stored: the days are read and shuffled once."""
+        old = self.tables.read(version, "bookings", self._days(version, log)).select(*KNOWN)
+        return stored(old.join(log.select("booking_id").distinct(), "booking_id", "left_semi"), "named-bookings")
+
+    def _changed(self, version: Version, asked: DataFrame, old: DataFrame) -> list[Written]:
+        """The files made by the bookings that get another status or time of change; ``old`` as :meth:`_named`."""
         wanted = asked.groupBy("booking_id").agg(
             F.max_by(F.struct(sanitize(F.col("new_status")).alias("status"), "ts", "change_id"), changes.change_order()).alias("to")
         )
@@ -250,7 +264,7 @@ class BookingStore:
         )
         touched = [partition_name("journey_date", r[0]) for r in changed.select("journey_date").distinct().collect()]
         if not touched:
-            return changed, []
+            return []
         to = changed.select("booking_id", "new_status", "new_ts", "new_id")
         edited = F.col("new_id").isNotNull()
         new = self.tables.read(version, "bookings", touched).join(to, "booking_id", "left").withColumns(
@@ -271,8 +285,8 @@ class BookingStore:
         held = self.tables.read(version, "booking_seat", self._blocks(signs)).join(
             signs.select("booking_id", "route_id", "journey_date", "sign"), "booking_id"
         )
-        return changed, [
-            self._write("bookings", new, touched),
+        return [
+            self._write("bookings", new, touched, len(touched)),
             self._write("user_totals", moved.filter((F.col("confirmed") != 0) | (F.col("pending") != 0))),
             self._write("holds", held.groupBy(*KEYS["holds"]).agg(F.sum("sign").alias("n"))),
         ]
@@ -317,13 +331,13 @@ class BookingStore:
         if rows.isEmpty():
             return Applied(self._publish(version, [], batch), new.rejects)
         holds = links.join(rows.filter(_is_live() == 1).select("booking_id", "route_id", "journey_date"), "booking_id")
+        newest, n_days = self._newest(rows, version.notes["newest"])
         written = [
-            *self._new_rows(rows, links),
+            *self._new_rows(rows, links, n_days),
             self._write("holds", holds.groupBy(*KEYS["holds"]).agg(F.count(F.lit(1)).alias("n"))),
             self._write("user_totals", self._user_totals(rows)),
         ]
         highest["booking_id"] = rows.agg(F.max("booking_id")).first()[0]
-        newest = self._newest(rows, version.notes["newest"])
         return Applied(self._publish(version, written, batch, highest=highest, newest=newest), new.rejects)
 
     def follow(self, log: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:

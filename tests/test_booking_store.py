@@ -297,3 +297,12 @@ def test_newest_bookings_come_from_few_days(spark):
     store.add_bookings(t, asked, DAY + dt.timedelta(days=500))
     assert [r["journey_date"] for r in store.newest_bookings(1).collect()] == [DAYS[0]]
     assert store_of(spark, tables(spark)).newest_bookings(5).count() == 0
+
+
+def test_a_batch_reads_the_bookings_of_its_days_once_and_once_to_write_them(spark, monkeypatch):
+    t, ids = world(spark, 5)
+    store = BookingStore.create(spark, work_folder(spark, "store"), t)
+    reads, read = [], store.tables.read
+    monkeypatch.setattr(store.tables, "read", lambda version, table, *rest: reads.append(table) or read(version, table, *rest))
+    store.apply_log(spark.createDataFrame(log_rows(ids, 5), LOG))
+    assert reads.count("bookings") == 2

@@ -166,3 +166,12 @@ def test_work_folder_follows_the_cluster_setting(tmp_path):
         [sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120
     )
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_few_partition_values_are_written_without_a_shuffle(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 4).select("id", (F.col("id") % 2).alias("day"))
+    for values, files in ((2, 8), (100, 2), (None, 2)):
+        path = str(tmp_path / f"v{values}")
+        write_table(rows, path, ["day"], ["id"], values)
+        assert len([f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]) == files
+        assert sorted(map(tuple, spark.read.parquet(path).select("id", "day").collect())) == [(i, i % 2) for i in range(100)]
