@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fareline import session
 from fareline.operators import filters, listings, seats
 from fareline.plans import catalog
+from fareline.sources.derived import DerivedTables
 from fareline.sources.schemas import TABLES
 from fareline.sources.tables import Tables, load_tables, open_tables, save_tables, write_table, write_tables
 from tests.tiny import DAY, dicts, small_world
@@ -175,3 +176,33 @@ def test_few_partition_values_are_written_without_a_shuffle(spark, tmp_path):
         write_table(rows, path, ["day"], ["id"], values)
         assert len([f for _, _, names in os.walk(path) for f in names if f.endswith(".parquet")]) == files
         assert sorted(map(tuple, spark.read.parquet(path).select("id", "day").collect())) == [(i, i % 2) for i in range(100)]
+
+
+MIN_SIZE = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+
+
+@pytest.fixture
+def own_shuffles(spark):
+    session._FITTED.clear()
+    yield
+    session._FITTED.clear()
+    for key in (session._START, session._TARGET, MIN_SIZE):
+        spark.conf.unset(key)
+
+
+def test_shuffles_grow_in_number_with_the_input(spark, own_shuffles, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    DerivedTables(spark, folder)
+    assert spark.conf.get(session._START, None) is None  # small: as the session has it
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 4096)
+    t = DerivedTables(spark, folder)
+    n = int(spark.conf.get(session._START))
+    assert n > 8
+    spark.conf.set(MIN_SIZE, "1b")  # the rows are too few to stay apart otherwise
+    assert seats.live_holds(t).groupBy("seat_id").count().rdd.getNumPartitions() > 8
+    monkeypatch.setattr(session, "SHUFFLE_BYTES", 2048)
+    DerivedTables(spark, folder)
+    assert int(spark.conf.get(session._START)) > n
+    spark.conf.set(session._START, "9")  # the session's own
+    DerivedTables(spark, folder)
+    assert spark.conf.get(session._START) == "9"
