@@ -26,7 +26,7 @@ from pyspark.sql.types import DecimalType, LongType, StructField, StructType, Ti
 
 from fareline.functions import fixed_values as V
 from fareline.functions.text import same_text, sanitize
-from fareline.operators import changes, seats
+from fareline.operators import changes
 from fareline.session import stored
 from fareline.sources.schemas import TABLES
 from fareline.sources.versions import Version, VersionedTables, Written, partition_name
@@ -99,24 +99,29 @@ class BookingStore:
     def create(cls, spark: SparkSession, folder: str, t) -> BookingStore:
         """A store of the bookings, seats and payments of ``t``; the only time that all are read."""
         store = cls(spark, folder)
-        bookings = cls._listed(t.bookings, t)
-        bookings = bookings.withColumns(
+        bookings = cls._listed(t.bookings, t).withColumns(
             {"changed_ts": F.lit(None).cast("timestamp_ntz"), "changed_id": F.lit(None).cast("long")}
         )
-        n_paid = t.payments.groupBy("booking_id").agg(F.count(F.lit(1)).alias("k"))
         newest, n_days = store._newest(t.bookings, {})
         last = t.bookings.agg(F.min("booking_id"), F.max("booking_id")).first()
         n_blocks = 0 if last[0] is None else (last[1] >> BLOCK_BITS) - (last[0] >> BLOCK_BITS) + 1
-        written = [
-            *store._new_rows(bookings, t.booking_seat, n_days, n_blocks),
+        # All else is made from the files of these two, so that nothing is joined or derived again for it.
+        first = [
+            store._write("bookings", bookings, values=n_days),
             store._write("payments", t.payments.select("*", _block()), values=n_blocks),
-            store._write("holds", seats.live_holds(t).groupBy(*KEYS["holds"]).agg(F.count(F.lit(1)).alias("n"))),
-            store._write("user_totals", cls._user_totals(bookings.join(n_paid, "booking_id", "left"))),
-            store._write("payment_totals", cls._payment_totals(t.payments)),
+        ]
+        bookings, payments = (store.tables.read_written(w) for w in first)
+        user_rows = cls._user_rows(bookings).unionByName(cls._paid_again(bookings, payments))
+        written = [
+            *first,
+            *store._new_rows(bookings, t.booking_seat, n_blocks),
+            store._write("holds", cls._holds(bookings, t.booking_seat), values=n_days),
+            store._write("user_totals", _added(user_rows, "user_totals")),
+            store._write("payment_totals", cls._payment_totals(payments)),
         ]
         highest = {
             "booking_id": last[1],
-            "payment_id": t.payments.agg(F.max("payment_id")).first()[0],
+            "payment_id": payments.agg(F.max("payment_id")).first()[0],
         }
         store.tables.publish(store.tables.open(), written, highest=highest, newest=newest)
         return store
@@ -143,17 +148,38 @@ class BookingStore:
         )
 
     @staticmethod
-    def _user_totals(bookings: DataFrame) -> DataFrame:
-        """What bookings add to their users' totals; ``k`` is how often each was paid."""
-        rows = F.greatest(F.coalesce("k", F.lit(0)), F.lit(1)) * F.col("is_listed")
-        return bookings.groupBy("user_id").agg(
-            F.sum(rows).alias("list_rows"),
-            F.count(F.lit(1)).alias("total_bookings"),
-            F.sum(_is(V.STATUS_CONFIRMED)).alias("confirmed"),
-            F.sum(_is(V.STATUS_PENDING)).alias("pending"),
-            F.coalesce(F.sum("total_amount"), F.lit(0)).cast(MONEY).alias("total_spent"),
+    def _user_rows(bookings: DataFrame) -> DataFrame:
+        """What each booking adds to its user's totals; unless it is paid twice, it is one row of a list."""
+        return bookings.select(
+            "user_id",
+            F.col("is_listed").alias("list_rows"),
+            F.lit(1).cast("long").alias("total_bookings"),
+            _is(V.STATUS_CONFIRMED).alias("confirmed"),
+            _is(V.STATUS_PENDING).alias("pending"),
+            F.coalesce("total_amount", F.lit(0)).cast(MONEY).alias("total_spent"),
+        )
+
+    @staticmethod
+    def _only_list_rows(rows: DataFrame) -> DataFrame:
+        """``user_id`` and ``list_rows`` as parts of totals that add nothing else."""
+        zero = F.lit(0).cast("long")
+        return rows.filter(F.col("list_rows") != 0).select(
+            "user_id", "list_rows", *[zero.alias(c) for c in ("total_bookings", "confirmed", "pending")], F.lit(0).cast(MONEY).alias("total_spent")
         )
 
+    @classmethod
+    def _paid_again(cls, bookings: DataFrame, payments: DataFrame) -> DataFrame:
+        """The list rows that payments after a booking's first add."""
+        again = payments.groupBy("booking_id").agg((F.count(F.lit(1)) - 1).alias("more")).filter(F.col("more") > 0)
+        rows = bookings.join(stored(again, "paid-again"), "booking_id")
+        return cls._only_list_rows(rows.select("user_id", (F.col("more") * F.col("is_listed")).alias("list_rows")))
+
+    @staticmethod
+    def _holds(bookings: DataFrame, booking_seat: DataFrame) -> DataFrame:
+        """How many live ones of the bookings hold each seat."""
+        live = bookings.filter(_is_live() == 1).select("booking_id", "route_id", "journey_date")
+        return booking_seat.join(live, "booking_id").groupBy(*KEYS["holds"]).agg(F.count(F.lit(1)).alias("n"))
+
     @staticmethod
     def _payment_totals(payments: DataFrame) -> DataFrame:
         return payments.agg(
@@ -165,12 +191,10 @@ class BookingStore:
     ) -> Written:
         return self.tables.write(table, rows, replaced, values)
 
-    def _new_rows(
-        self, bookings: DataFrame, booking_seat: DataFrame, n_days: int, n_blocks: int | None = None
-    ) -> list[Written]:
+    def _new_rows(self, bookings: DataFrame, booking_seat: DataFrame, n_blocks: int | None = None) -> list[Written]:
+        """What follows from new bookings, which are stored, and their seats."""
         by_route = bookings.groupBy("route_id").agg(F.count(F.lit(1)).alias("booking_count"))
         return [
-            self._write("bookings", bookings, values=n_days),
             self._write("days", bookings.select("booking_id", "journey_date", _block()), values=n_blocks),
             # A link may name a booking that is not there, and so any block.
             self._write("booking_seat", booking_seat.select("*", _block())),
@@ -298,13 +322,10 @@ class BookingStore:
         had = had.groupBy("booking_id").agg(F.count(F.lit(1)).alias("had"))
         before = F.coalesce("had", F.lit(0))
         more = F.greatest(before + F.col("more"), F.lit(1)) - F.greatest(before, F.lit(1))
-        zero = F.lit(0).cast("long")
         rows = old.join(new, "booking_id").join(had, "booking_id", "left").groupBy("user_id").agg(
             F.sum(more * F.col("is_listed")).alias("list_rows")
         )
-        return rows.filter(F.col("list_rows") != 0).select(
-            "user_id", "list_rows", *[zero.alias(c) for c in ("total_bookings", "confirmed", "pending")], F.lit(0).cast(MONEY).alias("total_spent")
-        )
+        return self._only_list_rows(rows)
 
     def add_bookings(
         self, t, requests: DataFrame, as_of: str | dt.date, refuse_clashes: bool = False, batch: int | None = None
@@ -324,18 +345,18 @@ class BookingStore:
             held = self.held_seats(version, asked)
         new = changes.added_bookings(t.routes, F.lit(first + 1), requests, as_of, held)
         rows = self._listed(new.bookings, t).withColumns(
-            {"k": F.lit(0), "changed_ts": F.lit(None).cast("timestamp_ntz"), "changed_id": F.lit(None).cast("long")}
+            {"changed_ts": F.lit(None).cast("timestamp_ntz"), "changed_id": F.lit(None).cast("long")}
         )
         rows = stored(rows, "added-bookings")
         links = stored(new.booking_seat, "added-seats")
         if rows.isEmpty():
             return Applied(self._publish(version, [], batch), new.rejects)
-        holds = links.join(rows.filter(_is_live() == 1).select("booking_id", "route_id", "journey_date"), "booking_id")
         newest, n_days = self._newest(rows, version.notes["newest"])
         written = [
-            *self._new_rows(rows, links, n_days),
-            self._write("holds", holds.groupBy(*KEYS["holds"]).agg(F.count(F.lit(1)).alias("n"))),
-            self._write("user_totals", self._user_totals(rows)),
+            self._write("bookings", rows, values=n_days),
+            *self._new_rows(rows, links),
+            self._write("holds", self._holds(rows, links)),
+            self._write("user_totals", _added(self._user_rows(rows), "user_totals")),
         ]
         highest["booking_id"] = rows.agg(F.max("booking_id")).first()[0]
         return Applied(self._publish(version, written, batch, highest=highest, newest=newest), new.rejects)
@@ -410,9 +431,19 @@ class BookingStore:
         return self.tables.read(version or self.tables.open(), "payments").drop("block")
 
     def totals(self, table: str, version: Version | None = None) -> DataFrame:
-        return _added(self.tables.read(version or self.tables.open(), table), table)
+        return self._sums(version or self.tables.open(), table)
 
     def held_seats(self, version: Version | None = None, partitions: Iterable[str] | None = None) -> DataFrame:
         """``(journey_date, route_id, seat_id, n)`` of the seats that live bookings hold."""
-        parts = self.tables.read(version or self.tables.open(), "holds", partitions)
-        return _added(parts, "holds").filter(F.col("n") > 0)
+        return self._sums(version or self.tables.open(), "holds", partitions).filter(F.col("n") > 0)
+
+    def _sums(self, version: Version, table: str, partitions: Iterable[str] | None = None) -> DataFrame:
+        """A table of totals; a partition of one commit has a row per key already and is only read."""
+        held = version.parts.get(table, {})
+        chosen = list(held if partitions is None else partitions)
+        single = [p for p in chosen if KEYS[table] and len(held.get(p, ())) == 1]
+        parts = [p for p in chosen if p not in single]
+        if not single:
+            return _added(self.tables.read(version, table, parts), table)
+        rows = self.tables.read(version, table, single)
+        return rows.unionByName(_added(self.tables.read(version, table, parts), table)) if parts else rows

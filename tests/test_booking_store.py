@@ -13,6 +13,7 @@ from fareline.operators.booking_store import BookingStore
 from fareline.session import work_folder
 from fareline.sources.schemas import TABLES
 from fareline.sources.tables import Tables
+from fareline.sources.versions import VersionedTables
 from tests.test_admission import REQUESTS
 from tests.test_changes import LOG, at
 from tests.tiny import DAY, dicts, tables
@@ -306,3 +307,40 @@ def test_a_batch_reads_the_bookings_of_its_days_once_and_once_to_write_them(spar
     monkeypatch.setattr(store.tables, "read", lambda version, table, *rest: reads.append(table) or read(version, table, *rest))
     store.apply_log(spark.createDataFrame(log_rows(ids, 5), LOG))
     assert reads.count("bookings") == 2
+
+
+def test_a_new_store_joins_buses_and_routes_only_for_its_bookings(spark, monkeypatch):
+    t, _ = world(spark, 6)
+    plans, write = {}, VersionedTables.write
+
+    def noted(self, table, rows, *rest):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return write(self, table, rows, *rest)
+
+    monkeypatch.setattr(VersionedTables, "write", noted)
+    store = store_of(spark, t)
+    assert "Join" in plans["bookings"]
+    assert not [table for table in ("days", "route_totals", "payment_totals") if "Join" in plans[table]]
+    check_reports(store, t, t.bookings, t.booking_seat, t.payments)
+
+
+def test_only_days_of_several_commits_have_their_holds_added_up(spark):
+    t, ids = world(spark, 7)
+    store = store_of(spark, t)
+
+    def check(bookings):
+        after = Tables(**{**t.__dict__, "bookings": bookings})
+        held = seats.live_holds(after).groupBy("journey_date", "route_id", "seat_id").agg(F.count(F.lit(1)).alias("n"))
+        same(store.held_seats(), held)
+
+    def is_added():
+        return "Aggregate" in store.held_seats()._jdf.queryExecution().executedPlan().toString()
+
+    check(t.bookings)
+    assert not is_added()
+    changed = t.bookings.filter(F.col("journey_date") == DAYS[0]).select(
+        F.lit(at(1)).alias("ts"), F.col("booking_id").alias("change_id"), "booking_id", F.lit("cancelled").alias("new_status")
+    )
+    store.apply_status(changed)
+    check(changes.apply_status(t.bookings, changed))
+    assert is_added()
