@@ -135,3 +135,14 @@ def test_seat_map_agrees(spark):
     after = Tables(**{**t.__dict__, "bookings": out.bookings, "booking_seat": out.booking_seat})
     free = [r for r in dicts(seats.seat_map(after, seats.booked_trips(after.bookings))) if r["journey_date"] == DAY and not r["is_booked"]]
     assert free == [] and out.rejects.count() == 16
+
+
+def test_texts_are_cleaned_by_tasks_that_grow_in_number_with_the_requests(spark, monkeypatch):
+    monkeypatch.setattr(changes, "CLEANED_ROWS", 10)
+    t = small_world(spark)
+    rows = [(i, at(i), 1, 1, 1, NEXT, [i], f" <b>n{i}</b>", "0") for i in range(95)]
+    requests = spark.createDataFrame(rows, REQUESTS).coalesce(1)
+    new = changes.added_bookings(t.routes, F.lit(1000), requests, "2024-06-01").bookings
+    assert new.rdd.getNumPartitions() == 10
+    got = {r["booking_id"]: r["passenger_names"] for r in new.collect()}
+    assert got == {1000 + i: f"n{i}" for i in range(95)}
