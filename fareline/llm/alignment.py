@@ -12,7 +12,9 @@ block keeps, per document, its different id pairs and how often they occur, and
 corpus-wide count of each of its pairs once. Those questions meet the counts by a join on the
 pair, where no pair comes more than once a block, and go back to their block. Neither the
 counts nor the documents are ever in one place; a block is bounded by ``BLOCK_BYTES`` of text
-or one text, and of a longer text no more than ``CHUNK_CHARS`` are in work at a time.
+or one text, and no more than ``CHUNK_CHARS`` of text are in work at a time. Between the steps
+a document is a row and a pair of a block is a row: Spark never holds a block as one value, and
+a block's answers come to its documents in order, as a stream.
 
 A text that is null or empty, or whose bytes one of the vocabularies does not give back, has
 no tokens: counts of zero and an empty digest. Strings of special tokens are ordinary text.
@@ -29,9 +31,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from fareline.llm import tables
 from fareline.llm.swap_packing import ByteVocabulary, parts_of
@@ -43,7 +46,11 @@ BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 BLOCK_BYTES = 2 << 20
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 18
+#: Documents go to a task by so many bytes at a time: a block, unless the last of them is long.
+BATCH_BYTES = BLOCK_BYTES - (64 << 10)
+#: Pairs of a block go out by so many rows at a time.
+PAIR_ROWS = 1 << 16
 #: Every so many ends one is looked up from afar; those between start from their neighbours.
 STRIDE = 32
 
@@ -148,14 +155,14 @@ class Coders:
         a = list(a)
         self.spelled = [*[";" + t for t in a], *["," + t for t in a], *["|" + t for t in b], *["," + t for t in b]]
 
-    def encode(self, part: str, first: bool) -> tuple[list[int], list[int]] | None:
+    def encode(self, part: str, first: bool) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids of a part of a text by both, none if one of them does not give its bytes back."""
         spaced = " " + part if first else part  # later parts begin with a space
         a = self.entries.encode_ordinary(spaced)
         b = self.pieces.encode(spaced[1:])
         raw = spaced.encode()
         same = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-        return (a, b) if same else None
+        return (np.array(a, dtype=np.int32), np.array(b, dtype=np.int32)) if same else None
 
 
 class Block(NamedTuple):
@@ -175,10 +182,10 @@ class Block(NamedTuple):
     counts: np.ndarray
 
 
-def _chunk(coders: Coders, units: list[tuple[int, list[int], list[int]]], totals: np.ndarray, digests: list) -> np.ndarray:
+def _chunk(coders: Coders, units: list[tuple[int, np.ndarray, np.ndarray]], totals: np.ndarray, digests: list) -> np.ndarray:
     """Align the parts of texts in ``units``; the keys of (text, pair) and how often each occurs."""
-    a = np.concatenate([np.array(u[1], dtype=np.int64) for u in units])
-    b = np.concatenate([np.array(u[2], dtype=np.int64) for u in units])
+    a = np.concatenate([u[1] for u in units]).astype(np.int64)
+    b = np.concatenate([u[2] for u in units]).astype(np.int64)
     owner = np.array([u[0] for u in units])
     # Both lists end every part at the same byte, so the ends of all parts make one list.
     found = cuts(np.cumsum(coders.a_widths[a]), np.cumsum(coders.b_widths[b]))
@@ -269,30 +276,57 @@ def _coders(byte_vocabulary: str, pieces: str) -> tuple[ByteVocabulary, bytes]:
         return ByteVocabulary(byte_vocabulary), f.read()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 0 to 2^64 - 1 by as few bytes each as the largest needs; the first byte says how many."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def blocks(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, pieces: str = PIECES) -> DataFrame:
-    """A row per block of documents, in the shared work folder."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """The blocks in the shared work folder: a row per pair of a block and a row per document.
+
+    ``pair`` and ``count``: how often a pair occurs in the block; null for a document. ``place``
+    (as steps from one to the next) and ``times``: which of the block's pairs, in ascending order,
+    a document has how often; null for a pair.
+    """
+    id_type = docs.schema["doc_id"].dataType
     made_of = _coders(byte_vocabulary, pieces)
-    lists = {**{n: pa.int64() for n in _TOTALS}, "digest": pa.string(), "ends": pa.int64(), "place": pa.int32()}
-    lists |= {"times": pa.int64(), "pairs": pa.int64(), "counts": pa.int64()}
+    kinds = {"pair": pa.int64(), "count": pa.int64(), "doc_id": None, **{n: pa.int64() for n in _TOTALS}}
+    kinds |= {"digest": pa.string(), "place": pa.binary(), "times": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Coders(*made_of)
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in tables.slices(batch, "text", BLOCK_BYTES):
-                b = align(coders, part.column(1).to_pylist())
-                values = [*b.totals.T, b.digests, b.ends, b.place.astype(np.int32), b.times, b.pairs, b.counts]
-                columns = [
-                    pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
-                    for v, kind in zip(values, lists.values(), strict=True)
-                ]
-                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *lists])
 
-    names = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}
-    schema = ", ".join([f"doc_id array<{id_type}>", *(f"{n} array<{names[kind]}>" for n, kind in lists.items())])
-    found = docs.select("doc_id", "text").mapInArrow(run, schema)
-    return tables.kept(found.withColumn("block", F.monotonically_increasing_id()), "alignment-blocks")
+                def rows(n: int, part=part, number=number, **filled: pa.Array) -> pa.RecordBatch:
+                    of = {name: part.column(0).type if kind is None else kind for name, kind in kinds.items()}
+                    columns = [filled[name] if name in filled else pa.nulls(n, kind) for name, kind in of.items()]
+                    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), *columns], ["block", *kinds])
+
+                b = align(coders, part.column(1).to_pylist())
+                for at in range(0, len(b.pairs), PAIR_ROWS):
+                    pairs, counts = b.pairs[at : at + PAIR_ROWS], b.counts[at : at + PAIR_ROWS]
+                    yield rows(len(pairs), pair=pa.array(pairs), count=pa.array(counts))
+                spans = list(zip([0, *b.ends[:-1].tolist()], b.ends.tolist(), strict=True))
+                seen = {
+                    "place": pa.array([packed(np.diff(b.place[i:j], prepend=0)) for i, j in spans], pa.binary()),
+                    "times": pa.array([packed(b.times[i:j]) for i, j in spans], pa.binary()),
+                }
+                totals = {name: pa.array(t) for name, t in zip(_TOTALS, b.totals.T, strict=True)}
+                yield rows(part.num_rows, doc_id=part.column(0), digest=pa.array(b.digests, pa.string()), **totals, **seen)
+                number += 1
+
+    types = [("block", LongType()), ("pair", LongType()), ("count", LongType()), ("doc_id", id_type)]
+    types += [*((n, LongType()) for n in _TOTALS), ("digest", StringType()), ("place", BinaryType()), ("times", BinaryType())]
+    found = docs.select("doc_id", "text").mapInArrow(run, StructType([StructField(*t) for t in types]))
+    return tables.kept(found, "alignment-blocks", batch_bytes=BATCH_BYTES)
 
 
 def pair_counts(blocks: DataFrame, n_a: int) -> DataFrame:
@@ -300,9 +334,9 @@ def pair_counts(blocks: DataFrame, n_a: int) -> DataFrame:
 
     ``best``: no other id has more links with this ``b_id``.
     """
-    each = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts")
+    each = blocks.where("pair is not null").select("pair", "count")
     counted = tables.kept(
-        each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("n")).select(
+        each.groupBy("pair").agg(F.sum("count").alias("n")).select(
             "pair", (F.col("pair") % n_a).alias("a_id"), F.floor(F.col("pair") / n_a).cast("long").alias("b_id"), "n"
         ),
         "alignment-counts",
@@ -316,42 +350,43 @@ def aligned(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, pieces: str
     found = blocks(docs, byte_vocabulary, pieces)
     n_a = 1 + max(ByteVocabulary(byte_vocabulary).ranks.values())
     rated = tables.kept(pair_counts(found, n_a), "alignment-rated")
-    asked = found.select("block", F.posexplode("pairs").alias("at", "pair"))
-    told = asked.join(rated.select("pair", "n", "best"), "pair").groupBy("block").agg(
-        F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("told")
-    )
-    told = told.select(F.col("block").alias("of"), F.col("told.n").alias("n"), F.col("told.best").alias("best"))
-    both = found.drop("pairs", "counts").join(tables.kept(told, "alignment-told"), F.col("block") == F.col("of"), "left")
+    asked = found.where("pair is not null").select("block", "pair")
+    told = asked.join(rated.select("pair", "n", "best"), "pair").select("block", "pair", "n", "best")
+    texts = found.where("pair is null").drop("pair", "count")
+    both = told.unionByName(texts, allowMissingColumns=True)
+    # A block's answers in the order of its pairs, then its documents.
+    dealt = both.repartition("block").sortWithinPartitions("block", F.col("pair").asc_nulls_last())
     id_type = docs.schema["doc_id"].dataType
     names = [*_TOTALS, "n_best", "count_sum"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, answers, n, best = None, [], None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(k).slice(i, 1) for k, name in enumerate(batch.schema.names)}
-
-                def values(name: str, row=row) -> np.ndarray:
-                    return row[name].flatten().to_numpy(zero_copy_only=False)
-
-                place, times = values("place"), values("times")
-                n, best = values("n"), values("best")
-                ends = values("ends")
-
-                def summed(each: np.ndarray, ends=ends) -> np.ndarray:
-                    return np.diff(np.concatenate(([0], np.cumsum(each)))[ends], prepend=0)
-
-                some = len(place) > 0
-                zero = np.zeros(0, dtype=np.int64)
-                n_best = summed(times * best[place].astype(np.int64) if some else zero)
-                count_sum = summed(times * n[place] if some else zero)
-                columns = [row["doc_id"].flatten(), *(pa.array(values(t), pa.int64()) for t in _TOTALS)]
-                columns += [pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), row["digest"].flatten()]
+            of = batch["block"].to_numpy()
+            text = batch["pair"].is_null().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((np.diff(of) != 0) | (text[1:] != text[:-1])) + 1
+            for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(of)], strict=True):
+                rows = batch.slice(start, stop - start)
+                if of[start] != block:
+                    block, answers, n, best = of[start], [], None, None
+                if not text[start]:
+                    answers.append((rows["n"].to_numpy(), rows["best"].to_numpy(zero_copy_only=False)))
+                    continue
+                if n is None:
+                    zero = np.zeros(0, dtype=np.int64)
+                    n, best = (np.concatenate([zero, *x]) for x in (zip(*answers, strict=True) if answers else ([], [])))
+                    answers = []
+                sums = np.zeros((2, stop - start), dtype=np.int64)
+                for i, (steps, often) in enumerate(zip(rows["place"].to_pylist(), rows["times"].to_pylist(), strict=True)):
+                    place, times = np.cumsum(unpacked(steps)), unpacked(often)
+                    sums[:, i] = times @ best[place], times @ n[place]
+                columns = [rows["doc_id"], *(rows[t] for t in _TOTALS), *map(pa.array, sums), rows["digest"]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "groups_sha256"])
 
     schema = StructType(
         [StructField("doc_id", id_type), *(StructField(n, LongType()) for n in names), StructField("groups_sha256", StringType())]
     )
-    return both.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, pieces: str = PIECES) -> DataFrame:
@@ -369,7 +404,7 @@ def groups(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, pieces: str
             found = cuts(np.cumsum(coders.a_widths[a]), np.cumsum(coders.b_widths[b]))
             i = j = 0
             for p, q in zip(found.a_last.tolist(), found.b_last.tolist(), strict=True):
-                out.append({"a": a[i : p + 1], "b": b[j : q + 1]})
+                out.append({"a": a[i : p + 1].tolist(), "b": b[j : q + 1].tolist()})
                 i, j = p + 1, q + 1
         return out
 

@@ -1,4 +1,6 @@
 import hashlib
+import pickle
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -187,3 +189,42 @@ def test_given_table(spark, plain):
     got = {r[0]: r for r in rows(A.query(spark, folder))}
     for w in want:  # counts over the corpus differ, those of the document do not
         assert got[w[0]][:5] == w[:5] and got[w[0]][7] == w[7]
+
+
+def test_a_block_is_never_one_value(spark):
+    docs = documents(spark, [prose(200, n) for n in range(300)])
+    found = A.blocks(docs).collect()
+    assert sum(r["doc_id"] is not None and not isinstance(r["doc_id"], list) for r in found) == 300
+    assert max(len(pickle.dumps(tuple(r))) for r in found) < 5_000
+    assert "collect_list" not in A.aligned(docs)._jdf.queryExecution().toString()
+
+
+def test_answers_of_a_block_in_many_batches(spark, plain, monkeypatch):
+    monkeypatch.setattr(A, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(A, "PAIR_ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows(A.aligned(documents(spark, TEXTS)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected(TEXTS, plain)
+
+
+def test_memory_of_a_task_on_a_block(plain):
+    with open(A.PIECES, "rb") as f:
+        coders = A.Coders(ByteVocabulary(A.BYTE_VOCABULARY), f.read())
+    texts = [prose(400, n) for n in range(A.BLOCK_BYTES // 2200)]
+    tracemalloc.start()
+    try:
+        A.align(coders, texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60 << 20, most
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 65_535, 65_536, 1 << 32, 1 << 60])
+def test_packed(most):
+    values = np.array([0, most, 0, most // 2], dtype=np.int64)
+    assert A.unpacked(A.packed(values)).tolist() == values.tolist()
+    assert A.unpacked(A.packed(values[:0])).tolist() == []
