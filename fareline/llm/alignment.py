@@ -12,7 +12,7 @@ block keeps, per document, its different id pairs and how often they occur, and
 corpus-wide count of each of its pairs once. Those questions meet the counts by a join on the
 pair, where no pair comes more than once a block, and go back to their block. Neither the
 counts nor the documents are ever in one place; a block is bounded by ``BLOCK_BYTES`` of text
-or one text, and no more than ``CHUNK_CHARS`` of text are in work at a time. Between the steps
+or one text, and about ``CHUNK_CHARS`` or one part of a text are in work at a time. Between the steps
 a document is a row and a pair of a block is a row: Spark never holds a block as one value, and
 a block's answers come to its documents in order, as a stream.
 
